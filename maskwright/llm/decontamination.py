@@ -17,7 +17,7 @@ WORDS = re.compile(r"\w+")
 #: Share of an item's words that may be inserted, deleted or replaced.
 EDITS = 0.2
 #: Repetitions of the embedding, samples of positions drawn from each, and positions a sample compares.
-WALKS, SAMPLES, BITS = 6, 8, 2
+WALKS, SAMPLES, BITS = 9, 8, 2
 #: Bytes of item texts held by a task at once; more items are taken block by block.
 BLOCK_BYTES = 8 << 20
 
@@ -41,50 +41,47 @@ def gram_rule(n: int) -> tuple[int, int]:
 
 
 @functools.lru_cache(maxsize=64)
-def _coins(walk: int, steps: int) -> np.ndarray:
-    """Random odd words that, with a word's code, toss the coin of each step."""
-    return np.random.default_rng((11, walk)).integers(0, 1 << 63, 4096, dtype=np.uint64)[:steps] | np.uint64(1)
+def _coins(steps: int) -> np.ndarray:
+    """Random odd words (step, walk) that, with a word's code, toss the coin of each step."""
+    return np.random.default_rng((11, steps)).integers(0, 1 << 63, (steps, WALKS), dtype=np.uint64) | np.uint64(1)
 
 
-def embed(codes: np.ndarray, walk: int) -> np.ndarray:
-    """CGK embedding of equally long rows of word codes into 3 n positions.
+def embed(codes: np.ndarray) -> np.ndarray:
+    """CGK embeddings of equally long rows of word codes: (3 n positions, rows, WALKS).
 
     A pointer walks over the row; every step writes the word under it and moves
     on if the coin that step and word toss says so. Rows a few edits apart fall
     into step again, so their embeddings differ in few positions. Past the end
-    zeros are written.
+    zeros are written. All walks are taken at once.
     """
     rows, n = codes.shape
-    out, at = np.zeros((rows, 3 * n), dtype=np.int64), np.zeros(rows, dtype=np.int64)
-    padded = np.concatenate([codes, np.zeros((rows, 1), dtype=np.int64)], axis=1)
-    coins = _coins(walk, 3 * n) if 3 * n <= 4096 else np.resize(_coins(walk, 4096), 3 * n)
-    every = np.arange(rows)
+    padded = np.concatenate([codes, np.zeros((rows, 1), dtype=np.int64)], axis=1).ravel()
+    at = np.repeat(np.arange(rows)[:, None] * (n + 1), WALKS, axis=1)
+    last, coins = at + n, _coins(3 * n)
+    out = np.empty((3 * n, rows, WALKS), dtype=np.uint64)
     for step in range(3 * n):
-        word = padded[every, at]
-        out[:, step] = word
-        toss = (word.astype(np.uint64) * coins[step]) >> np.uint64(63)
-        at = np.minimum(at + toss.astype(np.int64), n)
+        word = padded[at].view(np.uint64)
+        out[step] = word
+        at = np.minimum(at + ((word * coins[step]) >> np.uint64(63)).view(np.int64), last)
     return out
 
 
 @functools.lru_cache(maxsize=256)
-def _sampled(n: int, walk: int) -> np.ndarray:
-    """Positions that each sample compares, from the first two thirds, where walks have not ended."""
-    return np.random.default_rng((12, n, walk)).integers(0, max(1, 2 * n), (SAMPLES, BITS))
+def _sampled(n: int) -> np.ndarray:
+    """Positions (WALKS, SAMPLES, BITS) compared, from the first two thirds, where walks have not ended."""
+    return np.random.default_rng((12, n)).integers(0, max(1, 2 * n), (WALKS, SAMPLES, BITS))
 
 
 def sketches(codes: np.ndarray) -> np.ndarray:
     """(rows, WALKS * SAMPLES) keys; rows that agree in the sampled positions of one sample share its key."""
-    keys = []
-    for walk in range(WALKS):
-        image = embed(codes, walk).astype(np.uint64)
-        for s, positions in enumerate(_sampled(codes.shape[1], walk)):
-            key = np.full(len(codes), walk * SAMPLES + s + 1, dtype=np.uint64)
-            for p in positions:
-                key = (key ^ image[:, p]) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
-            keys.append(key)
-    return np.stack(keys, axis=1)
+    image, positions = embed(codes), _sampled(codes.shape[1])
+    key = np.broadcast_to(np.arange(1, WALKS * SAMPLES + 1, dtype=np.uint64), (len(codes), WALKS * SAMPLES)).copy()
+    walk = np.repeat(np.arange(WALKS), SAMPLES)
+    for bit in range(BITS):
+        seen = image[positions[:, :, bit].ravel(), :, walk].T
+        key = (key ^ seen) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
 
 
 def edit_distance(a: list, b: list, most: int) -> int:
@@ -109,7 +106,7 @@ class Items:
     ids: list[int]
     texts: list[list[str]]
     codes: dict[str, int]
-    grams: dict[int, np.ndarray]
+    grams: dict[int, tuple[np.ndarray, np.ndarray]]
     sizes: dict[int, tuple[np.ndarray, dict]]
 
     @staticmethod
@@ -118,11 +115,12 @@ class Items:
         ids, texts = [i for i, _ in kept], [w for _, w in kept]
         codes: dict[str, int] = {}
         coded = [np.array([codes.setdefault(w, len(codes) + 1) for w in t], dtype=np.int64) for t in texts]
-        grams: dict[int, list[np.ndarray]] = {}
+        grams: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         by_size: dict[int, list[int]] = {}
         for k, t in enumerate(coded):
             q, _ = gram_rule(len(t))
-            grams.setdefault(q, []).append(gram_codes(t, q, len(codes) + 1))
+            mine = np.unique(gram_codes(t, q))
+            grams.setdefault(q, []).append((mine, np.full(len(mine), k)))
             by_size.setdefault(len(t), []).append(k)
         scrambled = np.random.default_rng(13).permutation(len(codes) + 1).astype(np.int64) * 0x5851F42D4C957F + 1
         scrambled[0] = 0
@@ -133,7 +131,26 @@ class Items:
                 for s, key in enumerate(row):
                     table.setdefault((s, key), []).append(k)
             sizes[n] = (scrambled, table)
-        return Items(ids, texts, codes, {q: np.unique(np.concatenate(g)) for q, g in grams.items()}, sizes)
+        joined = {}
+        for q, parts in grams.items():
+            gram, item = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(gram, kind="stable")
+            joined[q] = (gram[order], item[order])
+        return Items(ids, texts, codes, joined, sizes)
+
+    def plausible(self, ids: np.ndarray) -> tuple[dict[int, np.ndarray], set[int]]:
+        """Running counts of grams that any item has, by q, and the items whose own grams are numerous enough."""
+        hits, items = {}, set()
+        for q, (known, item) in self.grams.items():
+            gram = gram_codes(ids, q)
+            lo, hi = np.searchsorted(known, gram), np.searchsorted(known, gram, side="right")
+            hits[q] = np.concatenate(([0], np.cumsum(hi > lo)))
+            if hits[q][-1]:
+                n = (hi - lo)[hi > lo]
+                at = np.repeat(lo[hi > lo] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                which, count = np.unique(item[at], return_counts=True)
+                items |= {k for k, c in zip(which.tolist(), count.tolist(), strict=True) if c >= gram_rule(len(self.texts[k]))[1]}
+        return hits, items
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item id, first word, words, edits) of the best window for every item found in the text."""
@@ -141,11 +158,10 @@ class Items:
         ids = np.fromiter((self.codes.get(w, 0) for w in doc), np.int64, len(doc))
         if not ids.any():
             return []
-        hits = {q: np.concatenate(([0], np.cumsum(np.isin(gram_codes(ids, q, len(self.codes) + 1), known)))) for q, known in self.grams.items()}
-        if not any(h[-1] for h in hits.values()):
-            return []
+        hits, items = self.plausible(ids)
         best: dict[int, tuple[int, int]] = {}
-        for n, (scrambled, table) in self.sizes.items():
+        for n in sorted({len(self.texts[k]) for k in items}):
+            scrambled, table = self.sizes[n]
             q, least = gram_rule(n)
             k, seen = most_edits(n), hits[q]
             size = n + 2 * k
@@ -158,7 +174,7 @@ class Items:
             padded = np.concatenate([ids, np.zeros(n, dtype=np.int64)])
             windows = scrambled[padded[first[:, None] + np.arange(n)]]
             for start, keys in zip(first.tolist(), sketches(windows).tolist(), strict=True):
-                found = {x for s, key in enumerate(keys) for x in table.get((s, key), ())}
+                found = {x for s, key in enumerate(keys) for x in table.get((s, key), ())} & items
                 for x in found:
                     if x in best and best[x][0] == 0:
                         continue
@@ -168,7 +184,7 @@ class Items:
         return [(self.ids[x], start, len(self.texts[x]), edits) for x, (edits, start) in sorted(best.items())]
 
 
-def gram_codes(ids: np.ndarray, q: int, base: int) -> np.ndarray:
+def gram_codes(ids: np.ndarray, q: int) -> np.ndarray:
     """One number for each q words in a row; 0 where a word is unknown."""
     if len(ids) < q:
         return np.zeros(0, dtype=np.int64)

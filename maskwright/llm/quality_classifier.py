@@ -131,3 +131,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     scored = S.map_batches(stats, run, "doc_id long, score double")
     out = F.coalesce(text_stats.remainder("doc_id") == 0, F.lit(True))
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_predicted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """``docs`` without the documents that the classifier rejects; columns and null texts unchanged.
+
+    Rows with equal ids are kept or rejected by the better of them; rows with a
+    null id are kept.
+    """
+    rejected = score_documents(docs, labels, threshold).groupBy("doc_id").agg(F.max("predicted").alias("good")).where("good = 0")
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
