@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -242,7 +243,18 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return leaks(docs, benchmark).withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a leak; columns and null texts unchanged."""
-    leaked = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents without a leak; columns, null texts and null or repeated ids unchanged.
+
+    Documents are judged where they lie, so nothing is joined or shuffled.
+    """
+    for rows in item_blocks(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(Items.of(rows))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+                yield batch.filter(pa.array([not sent.value.matches(t or "") for t in texts], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

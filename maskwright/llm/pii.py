@@ -163,7 +163,8 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     """Chance that a candidate with each vote pattern is real, from the votes' agreement alone.
 
     Starts at the votes' majority; each round re-estimates every labeler's
-    chances given the truth (with one added count) and then the truths.
+    chances given the truth (with one added count) and then the truths. A
+    labeler that does not vote (1) says nothing either way.
     """
     kind, vote = _unpack(patterns)
     real = np.clip(0.5 + 0.45 * (vote.astype(float) - 1).sum(axis=1) / len(LABELERS) * 2, 0.05, 0.95)
@@ -175,7 +176,8 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         for j in range(len(LABELERS)):
             for truth, weight in ((0, 1 - real), (1, real)):
                 seen = np.bincount(vote[:, j], counts * weight, minlength=3) + 1
-                chances[j, truth] = seen / seen.sum()
+                chances[j, truth] = seen / (seen[0] + seen[2])
+                chances[j, truth, 1] = 1
         odds = np.log(prior[kind] / (1 - prior[kind]))
         for j in range(len(LABELERS)):
             odds += np.log(chances[j, 1, vote[:, j]] / chances[j, 0, vote[:, j]])

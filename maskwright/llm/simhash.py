@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import re
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -210,6 +210,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, id_col:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest id of their component; columns unchanged."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The documents that are the smallest id of their component; columns unchanged.
+
+    Of rows with one id one stays (that of the smallest text hash). Rows
+    without an id cannot be told apart and all stay.
+    """
+    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("__row", F.row_number().over(one)).where("__row = 1")
+    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
