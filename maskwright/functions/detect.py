@@ -100,7 +100,7 @@ def domain_matches(text: Column, domains: Column) -> Column:
         spans = _placed(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(outer)), outer)
 
         def tight(s: Column, value: Column) -> Column:
-            lead = F.octet_length(F.substring_index(s["value"], value, 1))
+            lead = F.octet_length(F.left(s["value"], F.position(value, s["value"]) - 1))
             begin = s["start"] + lead
             return _ranked(begin, begin + F.octet_length(value), 1, "domain", value)
 

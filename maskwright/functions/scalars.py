@@ -240,7 +240,7 @@ def render_template(template: Column, **values: Column) -> Column:
 def protection_enabled(state: Column) -> Column:
     """The JSON flag ``enabled``, else the old text form; on where nothing is said."""
     flag = F.get_json_object(state, "$.enabled")
-    return F.when(flag.isin("true", "false"), flag == "true").otherwise(F.coalesce(F.lower(F.trim(state)) != "disabled", F.lit(True)))
+    return F.when(flag.isin("true", "false"), flag == "true").otherwise(F.coalesce(F.lower(F.regexp_replace(state, r"^\s+|\s+$", "")) != "disabled", F.lit(True)))
 
 
 def route_readiness(known: Column, protocol: Column) -> Column:
@@ -290,6 +290,6 @@ def reference_id(salt: str, kind: Column, value: Column, *more: Column) -> Colum
 
     def digit(i: Column) -> Column:
         n = F.conv(F.substring(h, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
-        return F.substring(alphabet, F.when(i == 0, n % 31 + 2).otherwise(n % 58 + 1), F.lit(1))
+        return F.substring(alphabet, F.when(i == 0, n % 30 + 2).otherwise(n % 58 + 1), F.lit(1))
 
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(21)), digit), "")

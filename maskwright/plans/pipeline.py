@@ -41,7 +41,7 @@ def decide(df: DataFrame, policy: policies.Policy, default: str = "tokenize", co
 def expand_allowed(df: DataFrame, vault: DataFrame, consents: DataFrame, now: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """References whose values have an active consent are replaced by the values."""
     refs = df.where(F.col(text_col).contains("[")).select(F.col(id_col).alias("id"), F.explode(rewrite.find_references(F.col(text_col))).alias("r"))
-    valued = refs.select("id", "r.*").join(vault.select("key", "value"), "key")
+    valued = refs.select("id", "r.start", "r.end", "r.kind", "r.key").join(vault.select("key", "value"), "key")
     valued = valued.withColumn("value_fingerprint", fn.fingerprint(F.col("kind"), F.col("value")))
     allowed = valued.join(consents_.active(consents, now), ["kind", "value_fingerprint"], "left_semi")
     grouped = allowed.groupBy("id").agg(F.collect_list(F.struct("start", "end", F.col("value").alias("text"))).alias("__r"))
@@ -107,7 +107,7 @@ def resolve(df: DataFrame, vault: DataFrame, failed: DataFrame | None = None, st
     resolves, and under ``strict`` where any does not.
     """
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    refs = texts.where(F.col("text").contains("[")).select("id", F.explode(rewrite.find_references(F.col("text"))).alias("r")).select("id", "r.*")
+    refs = texts.where(F.col("text").contains("[")).select("id", F.explode(rewrite.find_references(F.col("text"))).alias("r")).select("id", "r.start", "r.end", "r.kind", "r.key")
     broken = (vault.sparkSession.createDataFrame([], "key string") if failed is None else failed).select("key", F.lit(True).alias("broken")).distinct()
     looked = refs.join(vault.select("key", "value"), "key", "left").join(broken, "key", "left")
     state = F.when(F.col("broken"), "failed").when(F.col("value").isNull(), "missing").otherwise("resolved")
