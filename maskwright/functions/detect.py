@@ -66,10 +66,14 @@ def _placed(gaps: Column, matches: Column) -> Column:
     return F.aggregate(pairs, start, add, lambda acc: acc["spans"])
 
 
+def located(text: Column, splitter: str | Column, pattern: Column) -> Column:
+    """Byte spans of all matches of a pattern (given for splitting, too), found once."""
+    return scalars.let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: _placed(F.slice(F.split(text, splitter, -1), F.lit(1), F.size(found)), found))
+
+
 def matches(text: Column, detector: Detector) -> Column:
     """Spans of one detector, in text order, with its rank."""
-    found = F.regexp_extract_all(text, F.lit(detector.pattern), F.lit(0))
-    spans = _placed(F.slice(F.split(text, detector.pattern, -1), F.lit(1), F.size(found)), found)
+    spans = located(text, detector.pattern, F.lit(detector.pattern))
     if detector.valid is not None:
         spans = F.filter(spans, lambda s: detector.valid(s["value"]))
     ranked = F.transform(spans, lambda s: _ranked(s["start"], s["end"], detector.rank, detector.kind, s["value"]))
@@ -94,17 +98,13 @@ def known_domains(emails: Column, related: Column | None = None) -> Column:
 def domain_matches(text: Column, domains: Column) -> Column:
     """Whole mentions of each domain; a mention uses up the character on either side of it."""
 
+    def tight(s: Column, value: Column) -> Column:
+        begin = s["start"] + F.octet_length(F.left(s["value"], F.position(value, s["value"]) - 1))
+        return _ranked(begin, begin + F.octet_length(value), 1, "domain", value)
+
     def of(domain: Column) -> Column:
         pattern = F.concat(F.lit(DOMAIN_BEFORE), F.regexp_replace(domain, r"\.", DOMAIN_DOT), F.lit(DOMAIN_AFTER))
-        outer, inner = F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(1))
-        spans = _placed(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(outer)), outer)
-
-        def tight(s: Column, value: Column) -> Column:
-            lead = F.octet_length(F.left(s["value"], F.position(value, s["value"]) - 1))
-            begin = s["start"] + lead
-            return _ranked(begin, begin + F.octet_length(value), 1, "domain", value)
-
-        return F.zip_with(spans, inner, tight)
+        return scalars.let(pattern, lambda p: F.zip_with(located(text, p, p), F.regexp_extract_all(text, p, F.lit(1)), tight))
 
     return F.flatten(F.transform(domains, of))
 
@@ -128,8 +128,12 @@ def detections(text: Column, related: Column | None = None, detectors: tuple[Det
     own addresses.
     """
     emails = next((matches(text, d) for d in detectors if d.kind == "email"), _none())
-    domains = domain_matches(text, known_domains(emails, related))
-    if related is None:
-        domains = F.when(text.contains("@"), domains).otherwise(_none())
-    found = F.concat(*[matches(text, d) for d in detectors], domains)
-    return F.coalesce(keep_disjoint(found), F.array().cast(SPAN_TYPE))
+    others = [matches(text, d) for d in detectors if d.kind != "email"]
+
+    def with_domains(own: Column) -> Column:
+        domains = domain_matches(text, known_domains(own, related))
+        if related is None:
+            domains = F.when(F.size(own) > 0, domains).otherwise(_none())
+        return keep_disjoint(F.concat(own, *others, domains))
+
+    return F.coalesce(scalars.let(emails, with_domains), F.array().cast(SPAN_TYPE))

@@ -28,10 +28,9 @@ def splice(text: Column, replacements: Column) -> Column:
 
 def find_references(text: Column) -> Column:
     """array<struct<start,end,kind,id,key>> of the valid references in a text, in order."""
-    from .detect import _placed
+    from .detect import located
 
-    found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
-    spans = _placed(F.slice(F.split(text, REFERENCE, -1), F.lit(1), F.size(found)), found)
+    spans = located(text, REFERENCE, F.lit(REFERENCE))
 
     def parsed(s: Column) -> Column:
         kind, id_ = fn.kind_tag(F.regexp_extract(s["value"], REFERENCE, 1)), F.regexp_extract(s["value"], REFERENCE, 2)

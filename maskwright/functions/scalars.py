@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ LARGEST_ID = ("YcVfxkQb6JRzqk5kF2tNLv", "8AQGAut7N92awznwCnjuQ", "2d7dWtQMvj9Wtt
 SPACE = r"[ \t\r\n]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def squeeze(value: Column) -> Column:
     """Without blanks, tabs and line ends."""
     return F.regexp_replace(value, SPACE, "")
@@ -22,23 +29,24 @@ def squeeze(value: Column) -> Column:
 
 def normalize_domain(value: Column) -> Column:
     """Squeezed, lower case, without trailing dots; null unless a valid domain name."""
-    domain = F.lower(F.regexp_replace(squeeze(value), r"\.+$", ""))
     label = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
-    return F.when(domain.rlike(rf"^(?:{label}\.)+[a-z]{{2,63}}$"), domain)
+    return let(F.lower(F.regexp_replace(squeeze(value), r"\.+$", "")), lambda domain: F.when(domain.rlike(rf"^(?:{label}\.)+[a-z]{{2,63}}$"), domain))
 
 
 def luhn_valid(value: Column) -> Column:
     """13 to 19 ASCII digits, not all zero, with a right check digit."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    n = F.length(digits)
 
-    def weigh(acc: Column, k: Column) -> Column:
-        d = F.substring(digits, n - k, F.lit(1)).cast("int")
-        twice = F.when(2 * d > 9, 2 * d - 9).otherwise(2 * d)
-        return acc + F.when(k % 2 == 1, twice).otherwise(d)
+    def check(digits: Column) -> Column:
+        n = F.length(digits)
+
+        def weigh(acc: Column, k: Column) -> Column:
+            d = F.substring(digits, n - k, F.lit(1)).cast("int")
+            return acc + F.when(k % 2 == 1, 2 * d - F.when(d > 4, 9).otherwise(0)).otherwise(d)
+
+        total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), weigh)
+        return F.when(n.between(13, 19) & digits.rlike("[1-9]"), total % 10 == 0).otherwise(F.lit(False))
 
-    total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), weigh)
-    return F.when(n.between(13, 19) & digits.rlike("[1-9]"), total % 10 == 0).otherwise(F.lit(False))
+    return let(F.regexp_replace(value, "[^0-9]", ""), check)
 
 
 def valid_ssn(value: Column) -> Column:
@@ -49,15 +57,12 @@ def valid_ssn(value: Column) -> Column:
 
 def canonical(kind: Column, value: Column) -> Column:
     """One spelling for one value: addresses with a lower-case domain, bare lower-case domains."""
-    tight = squeeze(value)
-    domain = F.substring_index(tight, "@", -1)
-    local = F.left(tight, F.length(tight) - F.length(domain))
-    return (
-        F.when((kind == "email") & tight.contains("@"), F.concat(local, F.lower(domain)))
-        .when(kind == "email", tight)
-        .when(kind == "domain", F.lower(F.regexp_replace(tight, r"\.+$", "")))
-        .otherwise(value)
-    )
+
+    def address(tight: Column) -> Column:
+        domain = F.substring_index(tight, "@", -1)
+        return F.when(tight.contains("@"), F.concat(F.left(tight, F.length(tight) - F.length(domain)), F.lower(domain))).otherwise(tight)
+
+    return F.when(kind == "email", let(squeeze(value), address)).when(kind == "domain", F.lower(F.regexp_replace(squeeze(value), r"\.+$", ""))).otherwise(value)
 
 
 def fingerprint(kind: Column, value: Column, prefix: str = "maskwright-consent-v1") -> Column:
@@ -288,8 +293,11 @@ def reference_id(salt: str, kind: Column, value: Column, *more: Column) -> Colum
     h = F.sha2(F.concat(F.lit(salt), zero, kind, zero, value, *[x for m in more for x in (zero, m.cast("string"))]), 256)
     alphabet = F.lit(BASE58)
 
-    def digit(i: Column) -> Column:
-        n = F.conv(F.substring(h, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
-        return F.substring(alphabet, F.when(i == 0, n % 30 + 2).otherwise(n % 58 + 1), F.lit(1))
+    def spell(h: Column) -> Column:
+        def digit(i: Column) -> Column:
+            n = F.conv(F.substring(h, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+            return F.substring(alphabet, F.when(i == 0, n % 30 + 2).otherwise(n % 58 + 1), F.lit(1))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(21)), digit), "")
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(21)), digit), "")
+    return let(h, spell)
