@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,18 +21,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_roots: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by spark.checkpoint.dir.
 
-    Only where the cluster names none (tests on one machine) a temporary
-    folder is made and kept for the session.
+    Only where the session names none (tests on one machine) a temporary
+    folder is made and kept for the application.
     """
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="maskwright-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+        app = spark.sparkContext.applicationId
+        if app not in _own_roots:
+            _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="maskwright-")
+        root = _own_roots[app]
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(root)  # a path without a scheme is of the cluster's own file system
+    whole = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/(?!/)", "file:///", whole).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
