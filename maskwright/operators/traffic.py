@@ -133,3 +133,14 @@ def traffic_apps(profile_ids: DataFrame, profiles: DataFrame) -> DataFrame:
     rows = profile_ids.join(profiles, "id").select("ordinal", F.posexplode("traffic_app_ids").alias("pos", "app_id"))
     first = rows.groupBy("app_id").agg(F.min(F.struct("ordinal", "pos")).alias("at"))
     return first.select("app_id", F.row_number().over(Window.orderBy("at")).alias("ordinal"))  # a handful of apps
+
+
+def canonical_profiles(enabled: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id, ordinal): enabled ids with aliases (alias, id) replaced, many to one or to none (null), each once at its first place."""
+    named = enabled.join(aliases.select(F.col("alias").alias("id"), F.col("id").alias("to"), F.lit(True).alias("known")), "id", "left")
+    return named.select(F.when(F.col("known"), F.col("to")).otherwise(F.col("id")).alias("id"), "ordinal").where("id IS NOT NULL").groupBy("id").agg(F.min("ordinal").alias("ordinal"))
+
+
+def enabled_profiles(from_file: Column, active: Column, default: Column) -> Column:
+    """The enabled list of the state file, else the active profile alone, else the default."""
+    return F.coalesce(from_file, F.when(active.isNotNull(), F.array(active)), default)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import rewrite, structured
+from ..functions import headers, rewrite, structured
 from ..functions import scalars as fn
 from ..functions.detect import DETECTORS, detections, matches
 from ..operators import consent, events, traffic, vault
@@ -482,6 +482,21 @@ def route_target(spark, sf_dir):
     return traffic.choose_target(requests, TARGETS).select("id", "target")
 
 
+@query("SELECT CASE WHEN r_regionkey IN (0, 1) THEN 'one' WHEN r_regionkey = 3 THEN 'p3' ELSE 'p4' END AS id, min(r_regionkey) AS ordinal FROM region WHERE r_regionkey <> 2 GROUP BY 1")
+def enabled_profiles(spark, sf_dir):
+    enabled = _read(spark, sf_dir, "region").selectExpr("concat('p', cast(r_regionkey as string)) AS id", "r_regionkey AS ordinal")
+    aliases = spark.createDataFrame([("p0", "one"), ("p1", "one"), ("p2", None)], "alias string, id string")
+    return traffic.canonical_profiles(enabled, aliases)
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN ['x-keep'] ELSE ['Digest', 'authorization', 'x-keep'] END AS names FROM nation")
+def header_rewrite(spark, sf_dir):
+    held = F.create_map(*[F.lit(x) for pair in (("Digest", "d"), ("authorization", "a"), ("connection", "close, X-Gone"), ("x-gone", "g"), ("x-keep", "k"), ("TE", "t")) for x in pair])
+    changed = F.col("n_nationkey") % 2 == 0
+    kept = headers.forwarded(headers.without_integrity(held, changed), changed)
+    return _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.array_sort(F.map_keys(kept)).alias("names"))
+
+
 # Bodies and streams
 
 DELTA = """CASE turn % 4 WHEN 0 THEN concat('{"delta":{"text":"', t, '"}}') WHEN 1 THEN concat('{"delta":"', t, '"}') WHEN 2 THEN concat('{"choices":[{"delta":{}},{"delta":{"content":"', t, '"}}]}') ELSE concat('{"message":{"content":[{"type":"x"},{"text":"', t, '"}]}}') END"""
