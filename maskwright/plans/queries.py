@@ -196,7 +196,7 @@ def _vault(spark, sf_dir, now: int = NOW) -> DataFrame:
     return vault.write_values(empty, pipeline.written_values(pipeline.protect(_composed(spark, sf_dir), OPEN, salt=SALT)), now)
 
 
-VAULT_SQL = f"vault AS (SELECT DISTINCT kind || ':' || {O.reference_id(SALT, 'kind', 'canonical')} AS key, canonical AS value, {NOW} AS created_at, {NOW} AS updated_at FROM (SELECT kind, {O.canonical()} AS canonical FROM kept WHERE {ACTION(OPEN)} = 'tokenize'))"
+VAULT_SQL = f"vault AS (SELECT DISTINCT kind || ':' || {O.reference_id(SALT, 'kind', 'canonical')} AS key, canonical AS value, CAST({NOW} AS BIGINT) AS created_at, CAST({NOW} AS BIGINT) AS updated_at FROM (SELECT kind, {O.canonical()} AS canonical FROM kept WHERE {ACTION(OPEN)} = 'tokenize'))"
 
 
 @query(f"WITH {O.spans(COMPOSED_SQL)}, {VAULT_SQL} SELECT * FROM vault")
@@ -374,7 +374,7 @@ def resolve_events(spark, sf_dir):
 
 
 @query(f"""WITH {O.spans(COMPOSED_SQL)}, w AS (SELECT DISTINCT id, kind, {O.canonical()} FROM kept WHERE {ACTION(OPEN)} = 'tokenize')
-SELECT (SELECT count(*) FROM src) AS texts, 0 AS blocked_texts, count(*) AS detections, count(*) FILTER ({ACTION(OPEN)} = 'tokenize') AS tokenized, 0 AS fallback_redacted, count(*) FILTER ({ACTION(OPEN)} = 'redact') AS policy_redacted, 0 AS blocked, (SELECT count(*) FROM w) AS vault_writes, 0 AS vault_failures FROM kept""")
+SELECT (SELECT count(*) FROM src) AS texts, CAST(0 AS BIGINT) AS blocked_texts, count(*) AS detections, count(*) FILTER ({ACTION(OPEN)} = 'tokenize') AS tokenized, CAST(0 AS BIGINT) AS fallback_redacted, count(*) FILTER ({ACTION(OPEN)} = 'redact') AS policy_redacted, CAST(0 AS BIGINT) AS blocked, (SELECT count(*) FROM w) AS vault_writes, CAST(0 AS BIGINT) AS vault_failures FROM kept""")
 def report_summary(spark, sf_dir):
     return reports.filter_summary(pipeline.protect(_composed(spark, sf_dir), OPEN, salt=SALT))
 
@@ -443,7 +443,7 @@ def event_evidence(spark, sf_dir):
     return events.evidence(_log(spark, sf_dir)).select("id", "label", "value")
 
 
-@query("SELECT n_nationkey AS id, 'legacy log event migrated without raw preview; kind=' || n_name || '; destination=' || CAST(n_regionkey AS VARCHAR) AS message, 'info' AS level, n_name AS kind FROM nation")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, 'legacy log event migrated without raw preview; kind=' || n_name || '; destination=' || CAST(n_regionkey AS VARCHAR) AS message, 'info' AS level, n_name AS kind FROM nation")
 def migrate_log(spark, sf_dir):
     old = _read(spark, sf_dir, "nation").selectExpr("n_nationkey AS id", "n_name AS data_type", "cast(n_regionkey as string) AS destination", "n_name AS value_preview")
     return events.migrate_log(old).select("id", "message", "level", "kind")
@@ -489,12 +489,12 @@ def enabled_profiles(spark, sf_dir):
     return traffic.canonical_profiles(enabled, aliases)
 
 
-@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN ['x-keep'] ELSE ['Digest', 'authorization', 'x-keep'] END AS names FROM nation")
+@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'x-keep' ELSE 'Digest,authorization,x-keep' END AS names FROM nation")
 def header_rewrite(spark, sf_dir):
     held = F.create_map(*[F.lit(x) for pair in (("Digest", "d"), ("authorization", "a"), ("connection", "close, X-Gone"), ("x-gone", "g"), ("x-keep", "k"), ("TE", "t")) for x in pair])
     changed = F.col("n_nationkey") % 2 == 0
     kept = headers.forwarded(headers.without_integrity(held, changed), changed)
-    return _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.array_sort(F.map_keys(kept)).alias("names"))
+    return _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("names"))
 
 
 # Bodies and streams
@@ -524,14 +524,14 @@ def sse_rewrite(spark, sf_dir):
     return done.select("stream_id", F.decode("body", "UTF-8").alias("body"))
 
 
-@query("SELECT conv_id, turn, list_sort(list_distinct(coalesce(list(CASE WHEN turn % 2 = 0 THEN 'd' || (conv_id + turn) % 5 || '.example.com' END) FILTER (turn % 2 = 0) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []))) AS related FROM conversations")
+@query("SELECT conv_id, turn, array_to_string(list_sort(list_distinct(coalesce(list(CASE WHEN turn % 2 = 0 THEN 'd' || (conv_id + turn) % 5 || '.example.com' END) FILTER (turn % 2 = 0) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []))), ',') AS related FROM conversations")
 def related_domains_by_conv(spark, sf_dir):
     text = F.expr("CASE WHEN turn % 2 = 0 THEN concat('mail a@D', cast((conv_id + turn) % 5 as string), '.example.com or so') ELSE text END")
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
-    return streams.related_domains(rows).select("conv_id", "turn", "related")
+    return streams.related_domains(rows).select("conv_id", "turn", F.array_join("related", ",").alias("related"))
 
 
-@query("WITH b AS (SELECT conv_id, turn, turn = 3 OR turn = 5 AND conv_id % 2 = 0 AS blocked FROM conversations), w AS (SELECT *, coalesce(sum(CAST(blocked AS INT)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM b) SELECT conv_id, turn, CASE WHEN blocked THEN 'blocked' ELSE 'protected' END AS status FROM w WHERE n = 0")
+@query("WITH b AS (SELECT conv_id, turn, turn = 3 OR turn = 5 AND conv_id % 2 = CAST(0 AS BIGINT) AS blocked FROM conversations), w AS (SELECT *, coalesce(sum(CAST(blocked AS INT)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM b) SELECT conv_id, turn, CASE WHEN blocked THEN 'blocked' ELSE 'protected' END AS status FROM w WHERE n = 0")
 def conversation_gate(spark, sf_dir):
     text = F.expr("CASE WHEN turn = 3 OR turn = 5 AND conv_id % 2 = 0 THEN 'my ssn is 123-45-6789' ELSE 'hello' END")
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
