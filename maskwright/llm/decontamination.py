@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +42,11 @@ def gram_rule(n: int) -> tuple[int, int]:
     return next((q, n - q + 1 - q * k) for q in (3, 2, 1) if n - q + 1 - q * k >= 1)
 
 
+def walk_codes(words: list[str]) -> np.ndarray:
+    """The codes that the walk sees: a hash of each word, in a benchmark or not; 0 is the end only."""
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) or 1 for w in words), np.uint64, len(words)).view(np.int64)
+
+
 @functools.lru_cache(maxsize=64)
 def _coins(steps: int) -> np.ndarray:
     """Random odd words (step, walk) that, with a word's code, toss the coin of each step."""
@@ -108,7 +114,7 @@ class Items:
     texts: list[list[str]]
     codes: dict[str, int]
     grams: dict[int, tuple[np.ndarray, np.ndarray]]
-    sizes: dict[int, tuple[np.ndarray, dict]]
+    sizes: dict[int, dict]
 
     @staticmethod
     def of(rows: list[tuple[int, str]]) -> Items:
@@ -123,15 +129,13 @@ class Items:
             mine = np.unique(gram_codes(t, q))
             grams.setdefault(q, []).append((mine, np.full(len(mine), k)))
             by_size.setdefault(len(t), []).append(k)
-        scrambled = np.random.default_rng(13).permutation(len(codes) + 1).astype(np.int64) * 0x5851F42D4C957F + 1
-        scrambled[0] = 0
         sizes = {}
         for n, members in by_size.items():
-            keys, table = sketches(scrambled[np.stack([coded[k] for k in members])]), {}
+            keys, table = sketches(np.stack([walk_codes(texts[k]) for k in members])), {}
             for k, row in zip(members, keys.tolist(), strict=True):
                 for s, key in enumerate(row):
                     table.setdefault((s, key), []).append(k)
-            sizes[n] = (scrambled, table)
+            sizes[n] = table
         joined = {}
         for q, parts in grams.items():
             gram, item = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -161,8 +165,9 @@ class Items:
             return []
         hits, items = self.plausible(ids)
         best: dict[int, tuple[int, int]] = {}
+        walked = walk_codes(doc) if items else ids
         for n in sorted({len(self.texts[k]) for k in items}):
-            scrambled, table = self.sizes[n]
+            table = self.sizes[n]
             q, least = gram_rule(n)
             k, seen = most_edits(n), hits[q]
             size = n + 2 * k
@@ -172,8 +177,8 @@ class Items:
             first = first[seen[np.maximum(last, first)] - seen[first] >= least] if len(first) else first
             if not len(first):
                 continue
-            padded = np.concatenate([ids, np.zeros(n, dtype=np.int64)])
-            windows = scrambled[padded[first[:, None] + np.arange(n)]]
+            padded = np.concatenate([walked, np.zeros(n, dtype=np.int64)])
+            windows = padded[first[:, None] + np.arange(n)]
             for start, keys in zip(first.tolist(), sketches(windows).tolist(), strict=True):
                 found = {x for s, key in enumerate(keys) for x in table.get((s, key), ())} & items
                 for x in found:

@@ -488,6 +488,19 @@ def test_recall_under_edits(items):
     assert hits / 300 >= 0.95
 
 
+def test_recall_under_edits_with_words_of_no_benchmark(items):
+    rnd, index = random.Random(3), decontamination.Items.of(items)
+    hits = 0
+    for _ in range(300):
+        i, x = rnd.choice(items)
+        words = decontamination.words(x)
+        for p in rnd.sample(range(len(words)), decontamination.most_edits(len(words))):
+            words[p] = f"novel{rnd.getrandbits(40)}"
+        around = " ".join(f"other{rnd.getrandbits(40)}" for _ in range(30))
+        hits += any(m[0] == i for m in index.matches(f"{around} {' '.join(words)} {around}"))
+    assert hits / 300 >= 0.98
+
+
 def test_edit_distance_against_brute_force():
     rnd = random.Random(8)
 
