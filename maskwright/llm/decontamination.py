@@ -110,7 +110,7 @@ def edit_distance(a: list, b: list, most: int) -> int:
 class Items:
     """A block of benchmark items, indexed by words, grams and LSH keys."""
 
-    ids: list[int]
+    ids: list[int | None]
     texts: list[list[str]]
     codes: dict[str, int]
     grams: dict[int, tuple[np.ndarray, np.ndarray]]
@@ -204,11 +204,11 @@ def gram_codes(ids: np.ndarray, q: int) -> np.ndarray:
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
-    """The items as lists of bounded size, read one block at a time."""
-    sized = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text", F.octet_length("text").cast("long").alias("n"))
+    """The items as lists of bounded size, read one block at a time; an item needs a text, not an id."""
+    sized = benchmark.where("text IS NOT NULL").select("item_id", "text", F.octet_length("text").cast("long").alias("n"))
     total = sized.agg(F.sum("n")).first()[0] or 0
     blocks = -(-total // block_bytes)
-    sized = sized.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(max(1, blocks))))
+    sized = sized.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks))))
     for b in range(blocks):
         yield [(r["item_id"], r["text"]) for r in sized.where(F.col("block") == b).select("item_id", "text").collect()]
 
@@ -222,8 +222,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     lemma are passed over, which loses none. For the others LSH on the CGK
     embedding proposes items, and the exact edit distance decides.
 
-    Null and empty texts or items match nothing; repeated rows are found alike;
-    empty tables give no rows. Documents are read where they lie and never
+    Null and empty texts or items match nothing; repeated rows are found alike,
+    and an item without an id with a null item_id; empty tables give no rows. Documents are read where they lie and never
     shuffled; items go out in blocks of bounded size, one pass over the
     documents for each.
     """
@@ -243,9 +243,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`leaks` with the rows of each pair numbered down to the closest match."""
+    """`leaks` with the rows of each pair numbered down to the closest match; rows that lack an id cannot be told apart and all stay."""
     best = Window.partitionBy("doc_id", "item_id").orderBy("edits", "first_word")
-    return leaks(docs, benchmark).withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
+    return leaks(docs, benchmark).withColumn("__n", F.row_number().over(best)).where("__n = 1 OR doc_id IS NULL OR item_id IS NULL").drop("__n")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:

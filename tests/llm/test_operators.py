@@ -531,6 +531,13 @@ def test_leaks_awkward(spark, awkward):
     assert decontamination.clean(awkward, marks).count() == len(AWKWARD) - 5
 
 
+def test_items_without_an_id_are_searched_for(spark, awkward):
+    marks = spark.createDataFrame([(None, PASSAGE), (None, "a b c d e"), (None, None)], "item_id long, text string")
+    rows = {(r["doc_id"], r["item_id"]) for r in decontamination.report(awkward, marks).collect()}
+    assert rows == {(7, None), (8, None), (0, None), (4, None)}
+    assert decontamination.clean(awkward, marks).count() == len(AWKWARD) - 5
+
+
 # 9
 
 
