@@ -8,13 +8,14 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from maskwright.llm import _shared, decontamination, encoding, licenses, packing, pii, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, text_stats, token_records
+from maskwright.llm import _shared, decontamination, encoding, licenses, near_copies, packing, pii, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, text_stats, token_records
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, slot long, fp long, gram long, row long, raw string, length long, score double, features int, block int, piece string"
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -330,6 +331,49 @@ def test_simhash_awkward(awkward, spark):
     assert sorted(i for i in kept if i is not None) == [0, 1, 3, 6, 7, 8, 9] and kept.count(None) == 1
 
 
+def brute_similar(texts: dict[int, str]) -> list[tuple[int, int]]:
+    sets = {}
+    for i, t in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    ids = sorted(sets)
+    return [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+def brute_kept(texts: dict[int, str], links: list[tuple[int, int]]) -> set[int]:
+    root = {i: i for i in texts}
+    for a, b in links:
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        root[max(a, b)] = min(a, b)
+    return {i for i, r in root.items() if i == r}
+
+
+def test_near_copies_go_as_by_brute_force(spark):
+    rnd, made = random.Random(9), {}
+    for base in range(60):
+        words = [f"t{rnd.randrange(5000)}" for _ in range(rnd.randrange(60, 300))]
+        for copy in range(4):
+            mine = list(words)
+            for p in rnd.sample(range(len(mine)), copy * len(mine) // 100):
+                mine[p] = f"u{rnd.getrandbits(32)}"
+            made[base + 60 * copy] = " ".join(mine)
+    docs = spark.createDataFrame(rows_of(list(made.items())), SCHEMA)
+    want = brute_kept(made, brute_similar(made))
+    assert len(want) < 120
+    assert {r["doc_id"] for r in near_copies.keep_first(spark, docs).collect()} == want
+    stage = dict(corpus_pipeline.STAGES)["simhash_dedup"]
+    assert {r["doc_id"] for r in stage(spark, docs, "").collect()} == want
+
+
+def test_near_copies_awkward(spark, awkward, empty):
+    kept = [r["doc_id"] for r in near_copies.keep_first(spark, awkward).collect()]
+    assert sorted(i for i in kept if i is not None) == [0, 1, 3, 6, 7, 9] and kept.count(None) == 1
+    assert near_copies.keep_first(spark, empty).count() == 0
+
+
 # 6
 
 BASE = {
