@@ -58,6 +58,13 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def save_bucketed(df: DataFrame, key: str, n: int, label: str) -> DataFrame:
+    """Write ``df`` into the shared folder in ``n`` buckets of ``key``: what groups or joins by it later does not move its rows."""
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).option("path", fresh_path(spark, label)).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id and whole text (null: empty); other columns, clashing names too, are left out."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -135,17 +135,31 @@ def test_repeats_on_documents(documents, texts):
 def test_repeats_across_pieces_of_a_long_text(monkeypatch):
     rnd = random.Random(1)
     raw = ("".join(rnd.choices("abcd", k=3000)) * 2).encode()
-    whole = {}
-    for k, s in suffix_dedup.pieces(raw, 100):
-        for f, n, name in zip(s.first + k, s.count, s.gram, strict=True):
-            whole |= {int(f) + j: int(name) for j in range(n)}
+
+    def anchors() -> dict[int, tuple[int, int]]:
+        found = {}
+        for block in suffix_dedup.blocks(raw, 100):
+            for rank, at, low, high in zip(*(x.tolist() for x in block), strict=True):
+                found |= {at - k: (at, rank) for k in range(low, high + 1)}
+        return found
+
+    whole = anchors()
     assert sorted(whole) == list(range(len(raw) - 99))
+    assert all(raw[k : k + 100] != raw[j : j + 100] or (whole[k][0] - k, whole[k][1]) == (whole[j][0] - j, whole[j][1]) for k in range(2000) for j in (k + 3000,))
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
-    cut = {}
-    for k, s in suffix_dedup.pieces(raw, 100):
-        for f, n, name in zip(s.first + k, s.count, s.gram, strict=True):
-            cut |= {int(f) + j: int(name) for j in range(n)}
-    assert cut == whole
+    assert anchors() == whole
+
+
+def test_repeats_with_equal_ids_and_several_buckets(spark, monkeypatch):
+    """Rows with one id share their positions, in whichever buckets they lie; a row that is there twice loses nothing to itself."""
+    rnd = random.Random(8)
+    a, b = ("".join(rnd.choices("abcdef", k=300)) for _ in range(2))
+    rows = [(5, a), (5, a), (5, "x" * 40 + a), (7, b + a), (None, b), (7, "short")]
+    monkeypatch.setattr(suffix_dedup, "VISIT", 100)
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.deduplicate(df).collect())
+        assert got == Counter([(5, 300, 0), (5, 300, 0), (5, 340, 300), (7, 600, 600), (None, 300, 0), (7, 5, 0)])
 
 
 def test_repeats_awkward(awkward):
