@@ -55,29 +55,52 @@ DETECTORS = (
 def _placed(gaps: Column, matches: Column) -> Column:
     """Byte spans from the texts between matches and the matches, both arrays of one length."""
     pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(F.octet_length(g).alias("gap"), m.alias("m"), F.octet_length(m).alias("n")))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
 
-    def add(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + p["gap"]
+    def add(at: Column, p: Column) -> tuple[Column, Column]:
+        begin = at + p["gap"]
         span = F.struct(begin.alias("start"), (begin + p["n"]).alias("end"), p["m"].alias("value"))
-        return F.struct((begin + p["n"]).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        return begin + p["n"], F.array(span)
 
-    return F.aggregate(pairs, start, add, lambda acc: acc["spans"])
+    return scalars.let(pairs, lambda p: scalars.running(p, F.lit(0), "array<struct<start:int,end:int,value:string>>", add))
+
+
+def _pieces(text: Column, splitter: str | Column, pattern: Column) -> Column:
+    """struct(gaps, found): all matches of a pattern (given for splitting, too) and the texts before each."""
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    return scalars.let(found, lambda m: F.struct(F.slice(F.split(text, splitter, -1), F.lit(1), F.size(m)).alias("gaps"), m.alias("found")))
 
 
 def located(text: Column, splitter: str | Column, pattern: Column) -> Column:
-    """Byte spans of all matches of a pattern (given for splitting, too), found once."""
-    return scalars.let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: _placed(F.slice(F.split(text, splitter, -1), F.lit(1), F.size(found)), found))
+    """Byte spans of all matches of a pattern, found once."""
+    return scalars.let(_pieces(text, splitter, pattern), lambda p: _placed(p["gaps"], p["found"]))
 
 
 def matches(text: Column, detector: Detector) -> Column:
     """Spans of one detector, in text order, with its rank."""
-    spans = located(text, detector.pattern, F.lit(detector.pattern))
-    if detector.valid is not None:
-        spans = F.filter(spans, lambda s: detector.valid(s["value"]))
-    ranked = F.transform(spans, lambda s: _ranked(s["start"], s["end"], detector.rank, detector.kind, s["value"]))
-    return F.when(detector.guard(text), ranked).otherwise(_none())
+    return all_matches(text, (detector,))
+
+
+def all_matches(text: Column, detectors: tuple[Detector, ...]) -> Column:
+    """Spans of several detectors, each in text order, with their ranks; places and checks are one expression for all."""
+
+    def of(d: Detector) -> Column:
+        pieces = F.when(d.guard(text), _pieces(text, d.pattern, F.lit(d.pattern)))
+        return F.struct(F.lit(d.rank).alias("rank"), F.lit(d.kind).alias("kind"), pieces.alias("p"))
+
+    def spans(d: Column) -> Column:
+        placed = F.when(d["p"].isNotNull(), _placed(d["p"]["gaps"], d["p"]["found"])).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+        return F.transform(placed, lambda s: F.struct(s["start"].alias("start"), d["rank"].alias("rank"), s["end"].alias("end"), d["kind"].alias("kind"), s["value"].alias("value")))
+
+    found = F.flatten(F.transform(F.array(*[of(d) for d in detectors]), spans))
+    checks = [d for d in detectors if d.valid is not None]
+
+    def valid(s: Column) -> Column:
+        ok = F.when(s["kind"] == checks[0].kind, checks[0].valid(s["value"]))
+        for d in checks[1:]:
+            ok = ok.when(s["kind"] == d.kind, d.valid(s["value"]))
+        return ok.otherwise(F.lit(True))
+
+    return F.filter(found, valid) if checks else found
 
 
 def _ranked(start: Column, end: Column, rank: int, kind: str, value: Column) -> Column:
@@ -111,14 +134,21 @@ def domain_matches(text: Column, domains: Column) -> Column:
 
 def keep_disjoint(spans: Column) -> Column:
     """Greedy by start, then detector rank: a span stays if it begins at or after the end of the last kept one."""
-    start = F.struct(F.lit(0).alias("end"), F.array().cast(SPAN_TYPE).alias("kept"))
 
-    def add(acc: Column, s: Column) -> Column:
+    def add(end: Column, s: Column) -> tuple[Column, Column]:
         span = F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
-        more = F.struct(s["end"].alias("end"), F.concat(acc["kept"], F.array(span)).alias("kept"))
-        return F.when(s["start"] >= acc["end"], more).otherwise(acc)
+        fits = s["start"] >= end
+        return F.when(fits, s["end"]).otherwise(end), F.when(fits, F.array(span)).otherwise(F.array().cast(SPAN_TYPE))
 
-    return F.aggregate(F.array_sort(spans), start, add, lambda acc: acc["kept"])
+    return scalars.let(F.array_sort(spans), lambda s: scalars.running(s, F.lit(0), SPAN_TYPE, add))
+
+
+def may_hold(text: Column, related: Column | None = None) -> Column:
+    """False only where `detections` finds nothing: none of the cheap guards holds, and no domain is looked for."""
+    any_ = F.lit(False) if related is None else F.coalesce(F.size(related) > 0, F.lit(False))
+    for d in DETECTORS:
+        any_ = any_ | d.guard(text)
+    return F.coalesce(any_, F.lit(False))
 
 
 def detections(text: Column, related: Column | None = None, detectors: tuple[Detector, ...] = DETECTORS) -> Column:
@@ -127,13 +157,10 @@ def detections(text: Column, related: Column | None = None, detectors: tuple[Det
     ``related``: an array of domains to look for besides those of the text's
     own addresses.
     """
-    emails = next((matches(text, d) for d in detectors if d.kind == "email"), _none())
-    others = [matches(text, d) for d in detectors if d.kind != "email"]
-
     def with_domains(own: Column) -> Column:
-        domains = domain_matches(text, known_domains(own, related))
+        domains = domain_matches(text, known_domains(F.filter(own, lambda s: s["kind"] == "email"), related))
         if related is None:
-            domains = F.when(F.size(own) > 0, domains).otherwise(_none())
-        return keep_disjoint(F.concat(own, *others, domains))
+            domains = F.when(F.exists(own, lambda s: s["kind"] == "email"), domains).otherwise(_none())
+        return keep_disjoint(F.concat(own, domains))
 
-    return F.coalesce(scalars.let(emails, with_domains), F.array().cast(SPAN_TYPE))
+    return F.coalesce(scalars.let(all_matches(text, detectors), with_domains), F.array().cast(SPAN_TYPE))

@@ -12,18 +12,24 @@ REFERENCE = r"\\?\[((?i:email|domain|phone|ssn|cc|credit_card|credit-card)):([1-
 
 
 def splice(text: Column, replacements: Column) -> Column:
-    """``text`` with byte spans (start, end, text) replaced; spans must not overlap, those out of range are ignored."""
-    raw = F.encode(text, "UTF-8")
-    inside = F.filter(replacements, lambda r: (r["start"] >= 0) & (r["start"] <= r["end"]) & (r["end"] <= F.octet_length(text)))
-    ordered = F.array_sort(F.transform(inside, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["text"].alias("text"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit(b"").alias("out"))
+    """``text`` with byte spans (start, end, text) replaced; spans must not overlap, those out of range are ignored.
+
+    The pieces between the spans and the new texts are joined once, so many
+    spans cost no more than the text is long.
+    """
 
-    def add(acc: Column, r: Column) -> Column:
-        gap = F.substring(raw, acc["at"] + 1, r["start"] - acc["at"])
-        return F.struct(r["end"].alias("at"), F.concat(acc["out"], gap, F.encode(r["text"], "UTF-8")).alias("out"))
+    def spliced(ordered: Column) -> Column:
+        raw = F.encode(text, "UTF-8")
+        starts, ends = F.transform(ordered, lambda r: r["start"]), F.transform(ordered, lambda r: r["end"])
+        froms = F.concat(F.array(F.lit(0)), ends)
+        upto = F.concat(starts, F.array(F.octet_length(text)))
+        gaps = F.zip_with(froms, upto, lambda a, b: F.decode(F.substring(raw, a + 1, b - a), "UTF-8"))
+        news = F.concat(F.transform(ordered, lambda r: r["text"]), F.array(F.lit("")))
+        return F.array_join(F.zip_with(gaps, news, lambda g, n: F.concat(g, n)), "")
 
-    rest = lambda acc: F.decode(F.concat(acc["out"], F.substring(raw, acc["at"] + 1, F.octet_length(text))), "UTF-8")
-    return F.when(F.size(ordered) == 0, text).otherwise(F.aggregate(ordered, start, add, rest))
+    inside = F.filter(replacements, lambda r: (r["start"] >= 0) & (r["start"] <= r["end"]) & (r["end"] <= F.octet_length(text)))
+    ordered = F.array_sort(F.transform(inside, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), F.coalesce(r["text"], F.lit("")).alias("text"))))
+    return F.when(F.size(replacements) == 0, text).otherwise(fn.let(ordered, spliced))
 
 
 def find_references(text: Column) -> Column:

@@ -22,6 +22,27 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def running(items: Column, zero: Column, out: str, step: Callable[[Column, Column], tuple[Column, Column]], chunk: int = 256) -> Column:
+    """What ``step`` yields over an array: (state, item) to (next state, array of ``out`` elements), joined.
+
+    A fold that grows one list copies it at every item; here the list grows by
+    chunks, so a text with very many items stays cheap.
+    """
+    none = F.array().cast(out)
+
+    def add(acc: Column, item: Column) -> Column:
+        state, new = step(acc["state"], item)
+        return F.struct(state.alias("state"), F.concat(acc["out"], new).alias("out"))
+
+    def whole(acc: Column, k: Column) -> Column:
+        part = F.aggregate(F.slice(items, k + 1, F.lit(chunk)), F.struct(acc["state"].alias("state"), none.alias("out")), add)
+        return let(part, lambda p: F.struct(p["state"].alias("state"), F.concat(acc["out"], p["out"]).alias("out")))
+
+    starts = F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(chunk))
+    folded = F.aggregate(starts, F.struct(zero.alias("state"), none.alias("out")), whole, lambda acc: acc["out"])
+    return F.when(F.size(items) > 0, folded).otherwise(none)
+
+
 def squeeze(value: Column) -> Column:
     """Without blanks, tabs and line ends."""
     return F.regexp_replace(value, SPACE, "")
@@ -193,7 +214,7 @@ def consent_status(revoked_at: Column, expires_at: Column, now: Column) -> Colum
 
 def legacy_message(**parts: Column | None) -> Column:
     """A message for rows of the old event table, from those of its columns that exist."""
-    text = F.lit("legacy log event migrated without raw preview")
+    text = F.lit("event of an older log, its raw preview left out")
     for name, column in parts.items():
         if column is not None:
             text = F.concat(text, F.lit(f"; {name}="), F.coalesce(column, F.lit("")))
@@ -266,6 +287,17 @@ def first_gap(*gates: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for ok, name in gates], F.lit("ready"))
 
 
+def trust_readiness(capturable: Column, consented: Column, installed: Column, trusted: Column) -> Column:
+    """Whether traffic of a route may be opened: the route must be captured, its user must have agreed, and the certificate must be installed and trusted."""
+    return first_gap((capturable, "not_applicable"), (consented, "needs_user_consent"), (installed, "needs_certificate"), (trusted, "needs_trust"))
+
+
+def interception_readiness(routing: Column, consented: Column, trust: Column, adapter: Column) -> Column:
+    """From a route's capture readiness, the user's consent, its trust readiness and whether an adapter runs."""
+    captured = first_gap((routing == "ready", "needs_routing"), (consented, "needs_user_consent"), (trust == "ready", "needs_trust"), (adapter, "needs_adapter"))
+    return F.when(routing == "not_transparent_mode", "not_transparent_mode").otherwise(captured)
+
+
 def auth_decision(provider: Column, target_key: Column, key_env: Column, caller_key: Column) -> Column:
     return (
         F.when(provider == "generic", "passthrough")

@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TextMap = Callable[[str], str]
+STRINGS = T.ArrayType(T.StringType())
 
 
 def _dump(value) -> str:
@@ -151,35 +153,50 @@ def _render(event: list[tuple[bool, str]], new: str | None) -> str:
     return "\n".join(out)
 
 
-def map_event_stream(body: str, f: TextMap) -> str:
-    """A stream of events with its texts mapped.
+class EventStream:
+    """The events of a stream body and the texts in them."""
 
-    The texts of all deltas are mapped as one, so a value split over deltas is
-    found; a changed text goes whole into the first delta. Then the string
-    values of every event are mapped; a body without any is mapped as text.
-    """
-    text = body.replace("\r\n", "\n").replace("\r", "\n")
-    events, tail = parse_events(text), "\n\n" if text.endswith("\n\n") else ""
-    values = [None if (d := _data(e)) is None else _parse(d) for e in events]
-    new: list[str | None] = [None] * len(events)
-    paths = [(k, p) for k, v in enumerate(values) if v is not None and (p := delta_path(v))]
-    joined = "".join(_get(values[k], p) for k, p in paths)
-    moved = bool(paths) and (mapped := f(joined)) != joined
-    if moved:
-        for n, (k, p) in enumerate(paths):
-            _set(values[k], p, mapped if n == 0 else "")
-            new[k] = _dump(values[k])
-    changed = False
-    for k, value in enumerate(values):
-        if value is not None:
-            old = list(_strings(value))
-            mapped_strings = [f(s) for s in old]
-            if mapped_strings != old:
-                new[k] = _dump(_replaced(value, iter(mapped_strings)))
-                changed = True
-    if moved or changed:
-        return "\n\n".join(_render(e, n) for e, n in zip(events, new, strict=True)) + tail
-    return f(body)
+    def __init__(self, body: str):
+        text = body.replace("\r\n", "\n").replace("\r", "\n")
+        self.events, self.tail = parse_events(text), "\n\n" if text.endswith("\n\n") else ""
+        self.values = [None if (d := _data(e)) is None else _parse(d) for e in self.events]
+        self.paths = [(k, p) for k, v in enumerate(self.values) if v is not None and (p := delta_path(v))]
+
+    def joined(self) -> str:
+        """The texts of all deltas as one, so that a value split over deltas is seen whole."""
+        return "".join(_get(self.values[k], p) for k, p in self.paths)
+
+    def set_joined(self, text: str) -> set[int]:
+        """A changed text goes whole into the first delta; the events that changed."""
+        for n, (k, p) in enumerate(self.paths):
+            _set(self.values[k], p, text if n == 0 else "")
+        return {k for k, _ in self.paths}
+
+    def strings(self) -> list[str]:
+        return [s for v in self.values if v is not None for s in _strings(v)]
+
+    def set_strings(self, texts: list[str]) -> set[int]:
+        given, changed = iter(texts), set()
+        for k, value in enumerate(self.values):
+            if value is not None:
+                old = list(_strings(value))
+                new = [next(given) for _ in old]
+                if new != old:
+                    self.values[k] = _replaced(value, iter(new))
+                    changed.add(k)
+        return changed
+
+    def render(self, changed: set[int]) -> str:
+        return "\n\n".join(_render(e, _dump(v) if k in changed else None) for k, (e, v) in enumerate(zip(self.events, self.values, strict=True))) + self.tail
+
+
+def map_event_stream(body: str, f: TextMap) -> str:
+    """A stream of events with its texts mapped: first the joined deltas, then the string values of every event; a body without any is mapped as text."""
+    stream, changed = EventStream(body), set()
+    if stream.paths and (mapped := f(old := stream.joined())) != old:
+        changed |= stream.set_joined(mapped)
+    changed |= stream.set_strings([f(s) for s in stream.strings()])
+    return stream.render(changed) if changed else f(body)
 
 
 def map_body(body: str, content_type: str | None, f: TextMap) -> str:
@@ -199,25 +216,81 @@ def delta_text(data: Column) -> Column:
     return F.coalesce(get("$.delta.text"), plain, indexed("$.choices", "$.delta.content"), get("$.completion"), get("$.text"), indexed("$.content", "$.text"), indexed("$.message.content", "$.text"))
 
 
+@F.pandas_udf(STRINGS)
+def body_strings(body: pd.Series) -> pd.Series:
+    """The string values of JSON bodies, in the order in which `with_body_strings` takes them."""
+    return body.map(json_strings)
+
+
+@F.pandas_udf(T.StringType())
+def with_body_strings(body: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else with_json_strings(b, list(t)) for b, t in zip(body, texts, strict=True)], dtype=object)
+
+
+def map_bodies(df: DataFrame, f: Callable[[Column], Column], body_col: str = "body") -> DataFrame:
+    """``df`` with the string values of its JSON bodies mapped by a column expression; a null result leaves its value as it is.
+
+    Every body is rewritten in its own row.
+    """
+    new = F.transform("__texts", lambda t: F.coalesce(f(t), t))
+    rows = df.withColumn("__texts", body_strings(body_col))
+    return rows.withColumn(body_col, F.coalesce(with_body_strings(F.col(body_col), new), F.col(body_col))).drop("__texts")
+
+
+@F.pandas_udf(T.StringType())
+def stream_text(body: pd.Series) -> pd.Series:
+    """The joined delta text of event-stream bodies; null where no event has one."""
+    streams = [None if b is None else EventStream(b) for b in body]
+    return pd.Series([s.joined() if s is not None and s.paths else None for s in streams], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def with_stream_text(body: pd.Series, text: pd.Series) -> pd.Series:
+    def one(b: str | None, t: str | None) -> str | None:
+        if b is None or t is None or (s := EventStream(b)).joined() == t:
+            return b
+        return s.render(s.set_joined(t))
+
+    return pd.Series([one(b, t) for b, t in zip(body, text, strict=True)], dtype=object)
+
+
+@F.pandas_udf(STRINGS)
+def stream_strings(body: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None else EventStream(b).strings() for b in body], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def with_stream_strings(body: pd.Series, texts: pd.Series) -> pd.Series:
+    def one(b: str | None, t) -> str | None:
+        if b is None or t is None:
+            return b
+        s = EventStream(b)
+        changed = s.set_strings(list(t))
+        return s.render(changed) if changed else b
+
+    return pd.Series([one(b, t) for b, t in zip(body, texts, strict=True)], dtype=object)
+
+
+def map_streams(df: DataFrame, f: Callable[[Column], Column], body_col: str = "body") -> DataFrame:
+    """`map_event_stream` with a column expression, so that detection and policy stay in the JVM; every body in its own row."""
+    new = lambda t: F.coalesce(f(t), t)
+    rows = df.withColumn("__text", stream_text(body_col)).withColumn(body_col, with_stream_text(F.col(body_col), new(F.col("__text"))))
+    rows = rows.withColumn("__texts", stream_strings(body_col)).withColumn(body_col, with_stream_strings(F.col(body_col), F.transform("__texts", new)))
+    return rows.drop("__text", "__texts")
+
+
 def transform_bodies(df: DataFrame, transform: Callable[[DataFrame], DataFrame], id_col: str = "id", body_col: str = "body") -> DataFrame:
     """(id, body): JSON bodies whose string values went through ``transform``, a plan from (id, text) to (id, output).
 
-    Values of all bodies become rows, so that protecting or resolving them
-    stays one plan over the cluster; a null output leaves its value as it is.
+    For plans that must ask a store. Each distinct value is transformed once
+    under a hash of its content, so that ids may be null or repeated; a null
+    output leaves its value as it is. Bodies meet their changed values by a
+    hash of the body.
     """
-
-    @F.pandas_udf("array<string>")
-    def out(body: pd.Series) -> pd.Series:
-        return body.map(json_strings)
-
-    @F.pandas_udf("string")
-    def back(body: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else with_json_strings(b, list(t)) for b, t in zip(body, texts, strict=True)])
-
-    rows = df.select(F.col(id_col).alias("id"), F.col(body_col).alias("body"), out(F.col(body_col)).alias("texts"))
-    single = rows.select("id", F.posexplode("texts").alias("pos", "text"))
-    key = F.concat_ws("#", F.col("id").cast("string"), F.col("pos").cast("string"))
-    mapped = transform(single.select(key.alias("id"), "text")).select(F.col("id").alias("key"), "output")
-    joined = single.withColumn("key", key).join(mapped, "key", "left").select("id", "pos", F.coalesce("output", "text").alias("text"))
-    lists = joined.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("t")).select("id", F.col("t.text").alias("new"))
-    return rows.join(lists, "id", "left").select("id", F.coalesce(back("body", "new"), "body").alias("body"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(body_col).alias("body"), F.sha2(body_col, 256).alias("content"))
+    single = rows.select("content", F.explode(body_strings("body")).alias("text")).distinct().withColumn("key", F.sha2("text", 256))
+    mapped = transform(single.select(F.col("key").alias("id"), "text").distinct()).select(F.col("id").alias("key"), "output")
+    changed = single.join(mapped, "key").where("output <> text")
+    lists = changed.groupBy("content").agg(F.map_from_entries(F.collect_list(F.struct("text", "output"))).alias("new"))
+    new = F.transform(body_strings("body"), lambda t: F.coalesce(F.col("new")[t], t))
+    return rows.join(lists, "content", "left").select("id", F.when(F.col("new").isNull(), F.col("body")).otherwise(F.coalesce(with_body_strings(F.col("body"), new), "body")).alias("body"))

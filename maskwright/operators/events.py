@@ -22,25 +22,25 @@ def protect_events(protected: DataFrame) -> DataFrame:
     Two events a decision, then for each replacement its redaction, after one
     vault write per distinct reference, then failures, then consents used.
     """
-    spot = lambda d: F.concat(F.lit("sensitive value detected at span "), d["start"].cast("string"), F.lit(".."), d["end"].cast("string"))
-    decided = F.flatten(F.transform("decisions", lambda d: F.array(_event("info", "detection", d["kind"], None, "detected", spot(d)), _event("info", "policy_decision", d["kind"], None, d["action"], "policy decision applied"))))
+    spot = lambda d: F.concat(F.lit("found at bytes "), d["start"].cast("string"), F.lit(".."), d["end"].cast("string"))
+    decided = F.flatten(F.transform("decisions", lambda d: F.array(_event("info", "detection", d["kind"], None, "detected", spot(d)), _event("info", "policy_decision", d["kind"], None, d["action"], "action chosen by the policy"))))
     keys = F.transform("plan.replacements", lambda r: fn.reference_key(r["kind"], r["ref_id"]))
 
     def applied(r: Column, i: Column) -> Column:
         key = fn.reference_key(r["kind"], r["ref_id"])
-        write = F.array(_event("info", "vault_write", r["kind"], key, "vault_write_succeeded", "vault write succeeded"))
+        write = F.array(_event("info", "vault_write", r["kind"], key, "vault_write_succeeded", "value stored"))
         first = (r["mode"] == "tokenized") & (F.array_position(keys, key) == i + 1)
         done = (
-            F.when(r["mode"] == "tokenized", _event("info", "redaction", r["kind"], key, "tokenized", "replacement applied with tokenized reference"))
-            .when(r["mode"] == "redacted", _event("info", "redaction", r["kind"], None, "redacted", "replacement applied with policy redaction"))
-            .otherwise(_event("warn", "redaction", r["kind"], None, "fallback_redacted", "replacement applied with redact-only fallback"))
+            F.when(r["mode"] == "tokenized", _event("info", "redaction", r["kind"], key, "tokenized", "value replaced by its reference"))
+            .when(r["mode"] == "redacted", _event("info", "redaction", r["kind"], None, "redacted", "value replaced by its kind, as the policy says"))
+            .otherwise(_event("warn", "redaction", r["kind"], None, "fallback_redacted", "value replaced by its kind, as it could not be stored"))
         )
         return F.concat(F.when(first, write).otherwise(F.array().cast(f"array<{EVENT}>")), F.array(done))
 
     replaced = F.flatten(F.transform("plan.replacements", applied))
-    failures = F.transform("plan.vault_failures", lambda f: _event("warn", "vault_write_failed", f["kind"], None, "vault_write_failed", "vault write failed; redact-only fallback used"))
+    failures = F.transform("plan.vault_failures", lambda f: _event("warn", "vault_write_failed", f["kind"], None, "vault_write_failed", "value not stored"))
     used = F.filter("decisions", lambda d: d["consent_id"].isNotNull())
-    allowed = F.transform(used, lambda d: _event("info", "consent", d["kind"], None, F.concat(F.lit("allow:"), d["consent_id"]), "active consent applied"))
+    allowed = F.transform(used, lambda d: _event("info", "consent", d["kind"], None, F.concat(F.lit("allow:"), d["consent_id"]), "value passed under a consent"))
     every = F.concat(*[x.cast(f"array<{EVENT}>") for x in (decided, replaced, failures, allowed)])
     return protected.select(F.col("id").cast("string").alias("operation_id"), F.posexplode(every).alias("seq", "e")).select("operation_id", "seq", "e.*")
 
@@ -49,9 +49,9 @@ def resolve_events(resolved: DataFrame) -> DataFrame:
     """The same for rows of `plans.pipeline.resolve`."""
 
     def of(r: Column) -> Column:
-        read = F.array(_event("info", "vault_read", r["kind"], r["key"], "vault_read_succeeded", "vault read succeeded"), _event("info", "resolve", r["kind"], r["key"], "resolved", "reference resolved"))
-        gone = F.array(_event("warn", "resolve", r["kind"], r["key"], "missing", "reference not found in vault"))
-        failed = F.array(_event("warn", "vault_read_failed", r["kind"], r["key"], "vault_read_failed", "vault read failed"))
+        read = F.array(_event("info", "vault_read", r["kind"], r["key"], "vault_read_succeeded", "stored value read"), _event("info", "resolve", r["kind"], r["key"], "resolved", "reference replaced by its value"))
+        gone = F.array(_event("warn", "resolve", r["kind"], r["key"], "missing", "no stored value for this reference"))
+        failed = F.array(_event("warn", "vault_read_failed", r["kind"], r["key"], "vault_read_failed", "stored value not readable"))
         return F.when(r["state"] == "resolved", read).when(r["state"] == "missing", gone).otherwise(failed)
 
     return resolved.select(F.col("id").cast("string").alias("operation_id"), F.posexplode(F.flatten(F.transform("refs", of))).alias("seq", "e")).select("operation_id", "seq", "e.*")
@@ -62,10 +62,43 @@ def request_message(**counters: Column) -> Column:
     return F.concat_ws(" ", *[F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in counters.items()])
 
 
+#: Events of one second that ids leave room for, and blocks that an append is numbered in.
+ROOM, BLOCKS = 1 << 29, 4096
+
+
 def log_rows(events: DataFrame, now: int) -> DataFrame:
-    """Rows for the event log; ids rise with operation and sequence, without a global sort of one task."""
-    id_ = F.shiftrightunsigned(F.xxhash64("operation_id"), 20) * F.lit(1 << 16) + F.col("seq")
-    return events.select(id_.alias("id"), F.lit(now).cast("long").alias("timestamp"), "operation_id", "level", "event_type", "kind", "reference", "action", "message")
+    """Rows for the event log. Ids rise with the time of the append, then keep each operation's events together in their order.
+
+    An id is the second of the append times ROOM plus a gapless number.
+    Operations are dealt to blocks by a hash, each block is numbered on its own
+    and moved on by the sizes of the blocks before it, so no task sees the
+    whole append. Append once a second at most, or ids repeat.
+    """
+    block = F.pmod(F.xxhash64("operation_id", F.floor(F.col("seq") / 65_536)), F.lit(BLOCKS))
+    held = events.withColumn("__block", block)
+    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    starts = held.groupBy("__block").agg(F.count("*").alias("__n")).select("__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    row = F.row_number().over(Window.partitionBy("__block").orderBy("operation_id", "seq")) - 1
+    placed = held.withColumn("__row", row).join(starts, "__block")
+    id_ = F.lit(now).cast("long") * F.lit(ROOM) + F.col("__start") + F.col("__row")
+    return placed.select(id_.alias("id"), F.lit(now).cast("long").alias("timestamp"), "operation_id", "level", "event_type", "kind", "reference", "action", "message")
+
+
+def proxy_events(requests: DataFrame) -> DataFrame:
+    """Events of proxied requests, from rows (operation_id, target, status, streaming, and a plan's counters).
+
+    One route decision a request; then its protection with the counters as
+    key=value tokens, or that it was blocked; then the provider's answer, or
+    that the provider was down (status null).
+    """
+    route = _event("info", "route_decision", None, None, "route", request_message(target=F.col("target")))
+    counters = {c: F.col(c) for c in ("detections", "replacements", "tokenized", "blocked")}
+    protection = _event("info", "proxy_forward", None, None, "request_protection", request_message(target=F.col("target"), **counters))
+    stop = _event("warn", "proxy_forward", None, None, "blocked", request_message(target=F.col("target"), blocked=F.col("blocked")))
+    answer = _event("info", "proxy_forward", None, None, "provider_response", request_message(target=F.col("target"), status=F.col("status"), streaming=F.col("streaming")))
+    down = _event("error", "proxy_failure", None, None, "provider_down", request_message(target=F.col("target")))
+    rest = F.when(F.col("blocked") > 0, F.array(protection, stop)).otherwise(F.array(protection, F.when(F.col("status").isNull(), down).otherwise(answer)))
+    return requests.select("operation_id", F.posexplode(F.concat(F.array(route), rest)).alias("seq", "e")).select("operation_id", "seq", "e.*")
 
 
 def migrate_log(old: DataFrame) -> DataFrame:
@@ -98,8 +131,3 @@ def operation_actors(events: DataFrame) -> DataFrame:
 
 def newest_first(events: DataFrame) -> DataFrame:
     return events.orderBy(F.desc("id"))
-
-
-def numbered_since(events: DataFrame, last_id: int) -> DataFrame:
-    """New ids after ``last_id`` in order of timestamp and sequence, for logs small enough to be numbered in one task."""
-    return events.withColumn("id", F.row_number().over(Window.orderBy("timestamp", "operation_id", "seq")) + F.lit(last_id))

@@ -1,4 +1,10 @@
-"""Protecting and resolving whole tables of texts."""
+"""Protecting and resolving whole tables of texts.
+
+A text's spans, decisions and output are made in its own row, whatever its id
+is: null and repeated ids are only carried along. Where vault or consents must
+be asked, the distinct values of a text travel under a hash of its content,
+and only texts that may hold something meet what comes back.
+"""
 
 from __future__ import annotations
 
@@ -7,45 +13,102 @@ from pyspark.sql import functions as F
 
 from ..functions import rewrite
 from ..functions import scalars as fn
-from ..functions.detect import detections
+from ..functions.detect import detections, may_hold
 from ..operators import consent as consents_
 from ..operators import policy as policies
 from ..operators import vault as vaults
 
 DECISION = "array<struct<kind:string,start:int,end:int,value:string,action:string,consent_id:string,ref_id:string>>"
+FOUND = "array<struct<kind:string,canonical:string,consent_id:string,known_id:string>>"
+#: What a reader sees in place of a blocked inbound text (our wording).
+BLOCKED = "[blocked by policy]"
 
 
-def decide(df: DataFrame, policy: policies.Policy, default: str = "tokenize", consents: DataFrame | None = None, now: int = 0, vault: DataFrame | None = None, salt: str = "", related: Column | None = None, id_col: str = "id", text_col: str = "text", deduplicate: bool = True) -> DataFrame:
-    """Exploded decisions: id, pos, kind, start, end, value, action, canonical, consent_id, ref_id.
+def _met(df: DataFrame, some: Column, looked: DataFrame, name: str, type_: str) -> DataFrame:
+    """``df`` with column ``name`` of ``looked`` (__content, name) for the rows that ``some`` holds for; only these meet the join."""
+    asked = df.where(some).join(looked, "__content", "left")
+    return asked.unionByName(df.where(~some).withColumn(name, F.lit(None).cast(type_))).drop("__content")
+
 
-    One narrow row per span: the texts are not shuffled. Consents and the
-    vault's first references are joined by key; references of new values are
-    salted hashes, so equal values meet in one reference without a shuffle.
+def decided(df: DataFrame, policy: policies.Policy, default: str = "tokenize", consents: DataFrame | None = None, now: int = 0, vault: DataFrame | None = None, salt: str = "", related: Column | None = None, id_col: str = "id", text_col: str = "text", deduplicate: bool = True) -> DataFrame:
+    """``df`` with its decisions (column ``__decisions``): spans, actions with consents applied, and reference ids.
+
+    References of new values are salted hashes, so equal values meet in one
+    reference without a lookup; the salt must be given wherever something may
+    be tokenized, or the hashes could be searched for known addresses.
     """
-    spans = policies.decide(detections(F.col(text_col), related), policy, default)
-    rows = df.select(F.col(id_col).alias("id"), F.posexplode(spans).alias("pos", "d")).select("id", "pos", "d.*")
-    rows = rows.withColumn("canonical", fn.canonical(F.col("kind"), F.col("value")))
+    if not salt and (callable(policy) or "tokenize" in {policy.get(k, default) for k in fn.KINDS}):
+        raise ValueError("tokenizing needs a salt")
+    text = F.col(text_col)
+    spans = policies.decide(detections(text, related), policy, default)
+    own = (F.coalesce(F.col(id_col).cast("string"), F.lit("")),) if not deduplicate else ()
+    known = vault is not None and deduplicate
+
+    def one(s: Column, hit: Column | None) -> Column:
+        action = s["action"] if hit is None else F.when((s["action"] != "block") & hit["consent_id"].isNotNull(), "allow").otherwise(s["action"])
+        more = (*own, s["start"].cast("string")) if not deduplicate else ()
+        new_id = fn.reference_id(salt, s["kind"], fn.canonical(s["kind"], s["value"]), *more)
+        ref = new_id if hit is None or not known else F.coalesce(hit["known_id"], new_id)
+        consent = F.lit(None).cast("string") if hit is None else F.when(s["action"] != "block", hit["consent_id"])
+        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), action.alias("action"), consent.alias("consent_id"), F.when(action == "tokenize", ref).alias("ref_id"))
+
+    if consents is None and not known:
+        return df.withColumn("__decisions", F.transform(spans, lambda s: one(s, None)).cast(DECISION))
+
+    content = F.sha2(F.concat_ws("\x1f", text, F.lit("") if related is None else F.array_join(related, ",")), 256)
+    held = df.withColumn("__content", content)
+    some = may_hold(text, related)
+    values = held.where(some).select("__content", F.explode(spans).alias("s")).where("s.action <> 'block'" if not known else "true")
+    asked = values.select("__content", F.col("s.kind").alias("kind"), fn.canonical(F.col("s.kind"), F.col("s.value")).alias("canonical")).distinct()
     if consents is None:
-        rows = rows.withColumn("consent_id", F.lit(None).cast("string"))
+        asked = asked.withColumn("consent_id", F.lit(None).cast("string"))
+    else:
+        live = consents_.active(consents, now)
+        asked = asked.withColumn("value_fingerprint", fn.fingerprint(F.col("kind"), F.col("canonical"))).join(live, ["kind", "value_fingerprint"], "left").drop("value_fingerprint")
+    if known:
+        refs = vaults.first_references(vault).select("kind", F.col("value").alias("canonical"), F.col("ref_id").alias("known_id"))
+        asked = asked.join(refs, ["kind", "canonical"], "left")
     else:
-        rows = consents_.override(rows, consents_.active(consents, now))
-    own = (F.col("id"), F.col("start")) if not deduplicate else ()
-    new_id = fn.reference_id(salt, F.col("kind"), F.col("canonical"), *own)
-    if vault is None or not deduplicate:
-        return rows.withColumn("ref_id", F.when(F.col("action") == "tokenize", new_id))
-    known = vaults.first_references(vault).select("kind", F.col("value").alias("canonical"), F.col("ref_id").alias("known_id"))
-    joined = rows.join(known, ["kind", "canonical"], "left")
-    return joined.withColumn("ref_id", F.when(F.col("action") == "tokenize", F.coalesce("known_id", new_id))).drop("known_id")
-
-
-def expand_allowed(df: DataFrame, vault: DataFrame, consents: DataFrame, now: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """References whose values have an active consent are replaced by the values."""
-    refs = df.where(F.col(text_col).contains("[")).select(F.col(id_col).alias("id"), F.explode(rewrite.find_references(F.col(text_col))).alias("r"))
-    valued = refs.select("id", "r.start", "r.end", "r.kind", "r.key").join(vault.select("key", "value"), "key")
-    valued = valued.withColumn("value_fingerprint", fn.fingerprint(F.col("kind"), F.col("value")))
+        asked = asked.withColumn("known_id", F.lit(None).cast("string"))
+    found = asked.where("consent_id IS NOT NULL OR known_id IS NOT NULL").groupBy("__content").agg(F.collect_list(F.struct("kind", "canonical", "consent_id", "known_id")).alias("__found"))
+
+    def with_hit(s: Column) -> Column:
+        hit = fn.let(fn.canonical(s["kind"], s["value"]), lambda v: F.get(F.filter("__found", lambda h: (h["kind"] == s["kind"]) & (h["canonical"] == v)), F.lit(0)))
+        return fn.let(hit, lambda h: one(s, h))
+
+    return _met(held, some, found, "__found", FOUND).withColumn("__decisions", F.transform(spans, with_hit).cast(DECISION)).drop("__found")
+
+
+def decide(df: DataFrame, policy: policies.Policy, default: str = "tokenize", consents: DataFrame | None = None, now: int = 0, vault: DataFrame | None = None, salt: str = "", related: Column | None = None, id_col: str = "id", text_col: str = "text", deduplicate: bool = True) -> DataFrame:
+    """Exploded decisions: id, pos, kind, start, end, value, action, canonical, consent_id, ref_id."""
+    rows = decided(df, policy, default, consents, now, vault, salt, related, id_col, text_col, deduplicate)
+    flat = rows.select(F.col(id_col).alias("id"), F.posexplode("__decisions").alias("pos", "d")).select("id", "pos", "d.*")
+    return flat.withColumn("canonical", fn.canonical(F.col("kind"), F.col("value")))
+
+
+def _references(df: DataFrame, text_col: str) -> tuple[DataFrame, Column, DataFrame]:
+    """``df`` with a content hash, which rows may hold references, and the distinct (__content, key) of these."""
+    held = df.withColumn("__content", F.sha2(text_col, 256))
+    some = F.coalesce(F.col(text_col).rlike(rewrite.REFERENCE), F.lit(False))
+    keys = held.where(some).select("__content", F.explode(rewrite.find_references(F.col(text_col))).alias("r")).select("__content", "r.kind", "r.key").distinct()
+    return held, some, keys
+
+
+def _of(found: str, key: Column) -> Column:
+    return F.get(F.filter(found, lambda f: f["key"] == key), F.lit(0))
+
+
+def expand_allowed(df: DataFrame, vault: DataFrame, consents: DataFrame, now: int, text_col: str = "text") -> DataFrame:
+    """References whose values have an active consent are replaced by the values; other columns and rows are unchanged."""
+    held, some, keys = _references(df, text_col)
+    valued = keys.join(vault.select("key", "value"), "key").withColumn("value_fingerprint", fn.fingerprint(F.col("kind"), F.col("value")))
     allowed = valued.join(consents_.active(consents, now), ["kind", "value_fingerprint"], "left_semi")
-    grouped = allowed.groupBy("id").agg(F.collect_list(F.struct("start", "end", F.col("value").alias("text"))).alias("__r"))
-    return df.join(grouped.withColumnRenamed("id", id_col), id_col, "left").withColumn(text_col, F.when(F.col("__r").isNull(), F.col(text_col)).otherwise(rewrite.splice(F.col(text_col), F.col("__r")))).drop("__r")
+    found = allowed.groupBy("__content").agg(F.collect_list(F.struct("key", "value")).alias("__found"))
+    refs = rewrite.find_references(F.col(text_col))
+    valued_refs = F.transform(refs, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), _of("__found", r["key"])["value"].alias("text")))
+    new = rewrite.splice(F.col(text_col), F.filter(valued_refs, lambda r: r["text"].isNotNull()))
+    met = _met(held, some, found, "__found", "array<struct<key:string,value:string>>")
+    return met.withColumn(text_col, F.when(F.col("__found").isNull(), F.col(text_col)).otherwise(new)).select(*df.columns)
 
 
 def plan(decisions: Column, vault_available: Column | None = None) -> Column:
@@ -69,27 +132,34 @@ def plan(decisions: Column, vault_available: Column | None = None) -> Column:
     )
 
 
+def shielded(df: DataFrame, policy: policies.Policy, vault_available: Column | None = None, text_col: str = "text", **options) -> DataFrame:
+    """``df`` with the column ``__protected``: struct(status, output, decisions, plan), all made in the row."""
+    up = F.lit(True) if vault_available is None else vault_available
+    rows = decided(df, policy, text_col=text_col, **options)
+
+    def made(d: Column) -> Column:
+        blocked = F.exists(d, lambda x: x["action"] == "block")
+
+        def out(full: Column) -> Column:
+            nothing = F.struct(F.slice(full["replacements"], 1, 0).alias("replacements"), F.slice(full["vault_failures"], 1, 0).alias("vault_failures"), full["blocked"].alias("blocked"))
+            output = F.when(~blocked, rewrite.splice(F.col(text_col), full["replacements"]))
+            return F.struct(F.when(blocked, "blocked").otherwise("protected").alias("status"), output.alias("output"), d.alias("decisions"), F.when(blocked, nothing).otherwise(full).alias("plan"))
+
+        return fn.let(plan(d, up), out)
+
+    return rows.withColumn("__protected", fn.let(F.col("__decisions"), made)).drop("__decisions")
+
+
 def protect(df: DataFrame, policy: policies.Policy, default: str = "tokenize", consents: DataFrame | None = None, now: int = 0, vault: DataFrame | None = None, salt: str = "", related: Column | None = None, vault_available: Column | None = None, expand: bool = True, deduplicate: bool = True, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """id, status, output, decisions, plan for every row of ``df``; ids must be unique.
+    """id, status, output, decisions, plan for every row of ``df``; ids may be null or repeated.
 
     A text with a blocked span is blocked as a whole: no output, no references
-    written. Texts without spans pass without meeting a join's shuffle as more
-    than a row.
+    written. Without vault and consents no row leaves its task.
     """
     if expand and vault is not None and consents is not None:
-        df = expand_allowed(df, vault, consents, now, id_col, text_col)
-    rows = decide(df, policy, default, consents, now, vault, salt, related, id_col, text_col, deduplicate)
-    order = F.struct("pos", "kind", "start", "end", "value", "action", "consent_id", "ref_id")
-    lists = rows.groupBy("id").agg(F.array_sort(F.collect_list(order)).alias("o"))
-    lists = lists.select("id", F.transform("o", lambda d: F.struct(*[d[c].alias(c) for c in ("kind", "start", "end", "value", "action", "consent_id", "ref_id")])).alias("decisions"))
-    joined = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (vault_available if vault_available is not None else F.lit(True)).alias("up")).join(lists, "id", "left")
-    joined = joined.withColumn("decisions", F.coalesce("decisions", F.array().cast(DECISION)))
-    blocked = F.exists("decisions", lambda d: d["action"] == "block")
-    full = plan(F.col("decisions"), F.col("up"))
-    only_blocked = F.struct(F.slice(full["replacements"], 1, 0).alias("replacements"), F.slice(full["vault_failures"], 1, 0).alias("vault_failures"), full["blocked"].alias("blocked"))
-    planned = joined.select("id", "text", "decisions", F.when(blocked, "blocked").otherwise("protected").alias("status"), F.when(blocked, only_blocked).otherwise(full).alias("plan"))
-    output = F.when(F.col("status") == "protected", rewrite.splice(F.col("text"), F.col("plan.replacements")))
-    return planned.select("id", "status", output.alias("output"), "decisions", "plan")
+        df = expand_allowed(df, vault, consents, now, text_col)
+    done = shielded(df, policy, vault_available, text_col, default=default, consents=consents, now=now, vault=vault, salt=salt, related=related, id_col=id_col, deduplicate=deduplicate)
+    return done.select(F.col(id_col).alias("id"), "__protected.*")
 
 
 def written_values(protected: DataFrame) -> DataFrame:
@@ -99,42 +169,50 @@ def written_values(protected: DataFrame) -> DataFrame:
     return rows.where(ok).select("d.kind", fn.canonical(F.col("d.kind"), F.col("d.value")).alias("value"), "d.ref_id").distinct()
 
 
+def resolved(df: DataFrame, vault: DataFrame, failed: DataFrame | None = None, strict: bool = False, text_col: str = "text") -> DataFrame:
+    """``df`` with the column ``__resolved``: struct(status, output, refs, resolved, missing, read_failures)."""
+    held, some, keys = _references(df, text_col)
+    broken = (vault.sparkSession.createDataFrame([], "key string") if failed is None else failed).select("key", F.lit(True).alias("broken")).distinct()
+    looked = keys.join(vault.select("key", "value"), "key", "left").join(broken, "key", "left").where("value IS NOT NULL OR broken")
+    found = looked.groupBy("__content").agg(F.collect_list(F.struct("key", "value", F.coalesce("broken", F.lit(False)).alias("broken"))).alias("__found"))
+
+    def one(r: Column) -> Column:
+        def with_hit(hit: Column) -> Column:
+            state = F.when(hit["broken"], "failed").when(hit["value"].isNull(), "missing").otherwise("resolved")
+            return F.struct(r["start"].alias("start"), r["end"].alias("end"), r["kind"].alias("kind"), r["key"].alias("key"), hit["value"].alias("text"), state.alias("state"))
+
+        return fn.let(_of("__found", r["key"]), with_hit)
+
+    def made(refs: Column) -> Column:
+        of = lambda s: F.filter(refs, lambda r: r["state"] == s)
+        open_ = F.exists(refs, lambda r: r["state"] != "resolved")
+        none = ~F.exists(refs, lambda r: r["state"] == "resolved")
+        status = F.when(F.size(refs) == 0, "no_references").when(open_ & F.lit(strict), "failed_strict").when(none, "unresolved").when(open_, "partial").otherwise("resolved")
+        output = F.when(status.isin("partial", "resolved"), rewrite.splice(F.col(text_col), of("resolved")))
+        return F.struct(status.alias("status"), output.alias("output"), refs.alias("refs"), of("resolved").alias("resolved"), of("missing").alias("missing"), of("failed").alias("read_failures"))
+
+    met = _met(held, some, found, "__found", "array<struct<key:string,value:string,broken:boolean>>")
+    refs = F.coalesce(F.transform(rewrite.find_references(F.col(text_col)), one), F.array().cast("array<struct<start:int,end:int,kind:string,key:string,text:string,state:string>>"))
+    return met.withColumn("__resolved", fn.let(refs, made)).drop("__found")
+
+
 def resolve(df: DataFrame, vault: DataFrame, failed: DataFrame | None = None, strict: bool = False, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """id, status, output, and the references of each text: resolved, missing, read_failures.
 
-    Only references meet the vault. ``failed`` lists keys that cannot be read
-    (column key). Output is null where a text has no reference or none
-    resolves, and under ``strict`` where any does not.
+    ``failed`` lists keys that cannot be read (column key). Output is null
+    where a text has no reference or none resolves, and under ``strict`` where
+    any does not. Ids may be null or repeated.
     """
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    refs = texts.where(F.col("text").contains("[")).select("id", F.explode(rewrite.find_references(F.col("text"))).alias("r")).select("id", "r.start", "r.end", "r.kind", "r.key")
-    broken = (vault.sparkSession.createDataFrame([], "key string") if failed is None else failed).select("key", F.lit(True).alias("broken")).distinct()
-    looked = refs.join(vault.select("key", "value"), "key", "left").join(broken, "key", "left")
-    state = F.when(F.col("broken"), "failed").when(F.col("value").isNull(), "missing").otherwise("resolved")
-    one = F.struct("start", "end", "kind", "key", F.col("value").alias("text"), state.alias("state"))
-    lists = looked.groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("refs"))
-    joined = texts.join(lists, "id", "left").withColumn("refs", F.coalesce("refs", F.array().cast("array<struct<start:int,end:int,kind:string,key:string,text:string,state:string>>")))
-    of = lambda s: F.filter("refs", lambda r: r["state"] == s)
-    rows = joined.select("id", "text", "refs", of("resolved").alias("resolved"), of("missing").alias("missing"), of("failed").alias("read_failures"))
-    open_ = F.size("missing") + F.size("read_failures") > 0
-    status = F.when(F.size("refs") == 0, "no_references").when(open_ & F.lit(strict), "failed_strict").when(F.size("resolved") == 0, "unresolved").when(open_, "partial").otherwise("resolved")
-    done = rows.withColumn("status", status)
-    return done.select("id", "status", F.when(F.col("status").isin("partial", "resolved"), rewrite.splice(F.col("text"), F.col("resolved"))).alias("output"), "refs", "resolved", "missing", "read_failures")
-
-
-#: What a reader sees in place of a blocked inbound text (our wording).
-BLOCKED = "[blocked by policy]"
+    return resolved(df, vault, failed, strict, text_col).select(F.col(id_col).alias("id"), "__resolved.*")
 
 
 def inbound(df: DataFrame, vault: DataFrame, policy: policies.Policy, resolve_first: bool = True, protect_too: bool = True, id_col: str = "id", text_col: str = "text", **options) -> DataFrame:
     """(id, output) of inbound texts: resolved where a reference resolves, else protected, else as they are."""
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    choices = []
+    out, choices = df, []
     if resolve_first:
-        out = out.join(resolve(df, vault, id_col=id_col, text_col=text_col).select("id", F.col("output").alias("resolved")), "id", "left")
-        choices.append(F.col("resolved"))
+        out = resolved(out, vault, text_col=text_col)
+        choices.append(F.col("__resolved.output"))
     if protect_too:
-        shielded = protect(df, policy, vault=vault, id_col=id_col, text_col=text_col, **options)
-        out = out.join(shielded.select("id", F.when(F.col("status") == "blocked", BLOCKED).otherwise(F.col("output")).alias("shielded")), "id", "left")
-        choices.append(F.col("shielded"))
-    return out.select("id", F.coalesce(*choices, "text").alias("output"))
+        out = shielded(out, policy, text_col=text_col, vault=vault, id_col=id_col, **options)
+        choices.append(F.when(F.col("__protected.status") == "blocked", BLOCKED).otherwise(F.col("__protected.output")))
+    return out.select(F.col(id_col).alias("id"), F.coalesce(*choices, text_col).alias("output"))

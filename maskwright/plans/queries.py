@@ -6,7 +6,6 @@ written once in SQL are valid in both dialects.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +59,11 @@ def _spans(df: DataFrame, *more: str) -> DataFrame:
     return df.select("id", *more, F.explode(detections(F.col("text"))).alias("s")).select("id", *more, "s.*")
 
 
+def _redacted(text: Column) -> Column:
+    """A text with all its spans redacted, as one expression."""
+    return rewrite.splice(text, F.transform(detections(text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), fn.placeholder(s["kind"]).alias("text"))))
+
+
 def _of(kind: str) -> Column:
     return matches(F.col("text"), next(d for d in DETECTORS if d.kind == kind))
 
@@ -160,8 +164,7 @@ ACTION = lambda p: "CASE " + " ".join(f"WHEN kind = '{k}' THEN '{a}'" for k, a i
 
 @query(f"WITH {O.spans(DOCS_SQL)}, {O.spliced(chr(10) + 'SELECT id, start, ' + chr(34) + 'end' + chr(34) + ', ' + chr(39) + '[' + chr(39) + ' || kind || ' + chr(39) + ']' + chr(39) + ' AS new FROM kept')} SELECT id, output FROM done")
 def redact_text(spark, sf_dir):
-    spans = detections(F.col("text"))
-    return _docs(spark, sf_dir).select("id", rewrite.splice(F.col("text"), F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), fn.placeholder(s["kind"]).alias("text")))).alias("output"))
+    return _docs(spark, sf_dir).select("id", _redacted(F.col("text")).alias("output"))
 
 
 @query(f"WITH {O.spans(COMPOSED_SQL)} SELECT id, kind, {ACTION(POLICY)} AS action, start FROM kept")
@@ -443,7 +446,7 @@ def event_evidence(spark, sf_dir):
     return events.evidence(_log(spark, sf_dir)).select("id", "label", "value")
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS id, 'legacy log event migrated without raw preview; kind=' || n_name || '; destination=' || CAST(n_regionkey AS VARCHAR) AS message, 'info' AS level, n_name AS kind FROM nation")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, 'event of an older log, its raw preview left out; kind=' || n_name || '; destination=' || CAST(n_regionkey AS VARCHAR) AS message, 'info' AS level, n_name AS kind FROM nation")
 def migrate_log(spark, sf_dir):
     old = _read(spark, sf_dir, "nation").selectExpr("n_nationkey AS id", "n_name AS data_type", "cast(n_regionkey as string) AS destination", "n_name AS value_preview")
     return events.migrate_log(old).select("id", "message", "level", "kind")
@@ -512,16 +515,7 @@ def json_text_delta(spark, sf_dir):
 def json_bodies(spark, sf_dir):
     body = F.expr("""concat('{"b": {"email": "user', cast(c_custkey as string), '@a.example and x@b.example"}, "a": ["call +1415', lpad(cast(c_custkey as string), 7, '0'), '", 1]}')""")
     rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), body.alias("body"))
-    redact = lambda df: pipeline.protect(df, {}, "redact").select("id", "output")
-    return structured.transform_bodies(rows, redact)
-
-
-@query()
-def sse_rewrite(spark, sf_dir):
-    """Each conversation as an event stream whose address is cut by its chunks; rewritten whole."""
-    rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), F.encode(F.concat(F.lit('data: {"delta":{"text":"'), F.lit("user@ex"), F.lit('"}}\n\ndata: {"delta":{"text":"ample.com "}}\n\n')), "UTF-8").alias("chunk"))
-    done = streams.transform_whole_streams(rows, lambda t: t.replace("user@example.com", "[email]"), "events")
-    return done.select("stream_id", F.decode("body", "UTF-8").alias("body"))
+    return structured.map_bodies(rows, _redacted)
 
 
 @query("SELECT conv_id, turn, array_to_string(list_sort(list_distinct(coalesce(list(CASE WHEN turn % 2 = 0 THEN 'd' || (conv_id + turn) % 5 || '.example.com' END) FILTER (turn % 2 = 0) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []))), ',') AS related FROM conversations")
@@ -535,9 +529,4 @@ def related_domains_by_conv(spark, sf_dir):
 def conversation_gate(spark, sf_dir):
     text = F.expr("CASE WHEN turn = 3 OR turn = 5 AND conv_id % 2 = 0 THEN 'my ssn is 123-45-6789' ELSE 'hello' END")
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
-    return streams.protect_conversations(rows, {"ssn": "block"}).select("conv_id", "turn", "status")
-
-
-def rules_json() -> str:
-    """The rules as a profile document."""
-    return json.dumps({"version": 1, "name": "queries", "default_action": "allow", "apps": RULES})
+    return streams.protect_conversations(rows, {"ssn": "block"}, salt=SALT).select("conv_id", "turn", "status")

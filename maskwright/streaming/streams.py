@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import scalars as fn
 from ..functions.detect import detections
 from ..functions.structured import map_event_stream
+from ..operators.events import log_rows
 from ..plans import pipeline
 
 #: Bytes and events held back so that a value cut by a chunk's end is seen whole (fixed values).
@@ -53,63 +56,106 @@ def step_events(pending: bytes, chunk: bytes, last: bool, f: Callable[[str], str
     return emit, b"".join(e + b"\n\n" for e in events[-TAIL_EVENTS:]) + open_ + rest
 
 
-def transform_stream(chunks: DataFrame, f: Callable[[str], str], kind: str = "bytes") -> DataFrame:
+STEPS = {"bytes": step_bytes, "events": step_events}
+
+
+def transform_stream(chunks: DataFrame, f: Callable[[str], str], kind: str = "bytes", idle_ms: int = 600_000) -> DataFrame:
     """A streaming plan over (stream_id, seq, chunk, last): rewritten chunks with a bounded state per stream.
 
     ``kind`` is bytes or events. The state of a stream is its held tail; the
-    row flagged ``last`` flushes and removes it.
+    row flagged ``last`` flushes and removes it, and so does a stream that is
+    silent for ``idle_ms``, so that broken streams do not stay for ever.
     """
-    step = {"bytes": step_bytes, "events": step_events}[kind]
+    step = STEPS[kind]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending = state.get[0] if state.exists else b""
-        rows, ended = [], False
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            out, pending = step(pending, row.chunk or b"", bool(row.last), f)
-            ended = ended or bool(row.last)
-            if out:
-                rows.append((key[0], row.seq, out))
+        pending, at = state.get if state.exists else (b"", -1)
+        rows, ended = [], state.hasTimedOut
+        if ended:
+            out, _ = step(pending, b"", True, f)
+            rows = [(key[0], at + 1, out)] if out else []
+        else:
+            for row in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
+                out, pending = step(pending, row.chunk or b"", bool(row.last), f)
+                ended, at = ended or bool(row.last), row.seq
+                if out:
+                    rows.append((key[0], row.seq, out))
         if ended:
             state.remove()
         else:
-            state.update((pending,))
+            state.update((pending, at))
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=["stream_id", "seq", "chunk"])
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, OUTPUT, "pending binary", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, OUTPUT, "pending binary, at long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def transform_whole_streams(chunks: DataFrame, f: Callable[[str], str], kind: str = "bytes") -> DataFrame:
-    """The batch twin: (stream_id, body) of each whole stream, so no value is ever cut. A stream is one row's worth of data."""
-    pieces = chunks.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "chunk"))).alias("c"))
-    joined = pieces.select("stream_id", F.aggregate("c", F.lit(b""), lambda a, x: F.concat(a, x["chunk"])).alias("data"))
+def transform_chunks(chunks: DataFrame, f: Callable[[str], str], kind: str = "bytes") -> DataFrame:
+    """The batch twin over (stream_id, seq, chunk): (stream_id, seq, chunk) rewritten.
 
-    @F.pandas_udf("binary")
-    def mapped(data: pd.Series) -> pd.Series:
-        whole = (lambda t: map_event_stream(t, f)) if kind == "events" else f
-        return data.map(lambda d: _mapped(bytes(d), whole))
+    Chunks are dealt by stream and pass in order; a task holds one stream's
+    tail at a time, however long the stream is.
+    """
+    step = STEPS[kind]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, at, pending = None, None, b""
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples(index=False):
+                if row.stream_id != stream:
+                    if stream is not None and (out := step(pending, b"", True, f)[0]):
+                        rows.append((stream, at + 1, out))
+                    stream, pending = row.stream_id, b""
+                at = row.seq
+                out, pending = step(pending, row.chunk or b"", False, f)
+                if out:
+                    rows.append((stream, at, out))
+            yield pd.DataFrame(rows, columns=["stream_id", "seq", "chunk"])
+        if stream is not None and (out := step(pending, b"", True, f)[0]):
+            yield pd.DataFrame([(stream, at + 1, out)], columns=["stream_id", "seq", "chunk"])
+
+    dealt = chunks.where("stream_id IS NOT NULL").repartition("stream_id").sortWithinPartitions("stream_id", "seq")
+    return dealt.select(F.col("stream_id").cast("string"), F.col("seq").cast("long"), "chunk").mapInPandas(run, OUTPUT)
+
+
+def write_events(events: DataFrame, path: str, checkpoint: str, now: Callable[[], int] | None = None) -> StreamingQuery:
+    """Start a stream of audit events (operation_id, seq, event columns) into the log at ``path``.
+
+    Each micro-batch becomes rows of the log; the batch number is part of
+    their place, so a batch that is run again writes the same rows.
+    """
+    clock = now or (lambda: int(time.time()))
+
+    def write(batch: DataFrame, number: int) -> None:
+        log_rows(batch, clock()).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return joined.select("stream_id", mapped("data").alias("body"))
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
 
 
 def related_domains(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """Adds ``related``: the sorted domains of addresses in earlier turns of the conversation."""
+    """Adds ``related``: the sorted domains of addresses in earlier turns of the conversation.
+
+    A conversation is reduced to its distinct domains with the turn that first
+    names each; turns meet only these, by key, and a long conversation is split
+    like any frequent key of a join. Messages without a conversation or a turn
+    stand alone.
+    """
     emails = F.filter(detections(F.col(text)), lambda d: d["kind"] == "email")
     own = F.transform(emails, lambda e: fn.canonical(F.lit("domain"), F.substring_index(fn.squeeze(e["value"]), "@", -1)))
-    before = Window.partitionBy(conversation).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    held = messages.withColumn("__own", F.filter(own, lambda d: d.contains(".")))
-    seen = F.flatten(F.collect_list("__own").over(before))
-    return held.withColumn("related", F.array_sort(F.array_distinct(F.coalesce(seen, F.array().cast("array<string>"))))).drop("__own")
+    named = messages.where(F.col(text).contains("@")).select(conversation, turn, F.explode(F.filter(own, lambda d: d.contains("."))).alias("__d"))
+    first = named.groupBy(conversation, "__d").agg(F.min(turn).alias("__t")).groupBy(conversation).agg(F.collect_list(F.struct("__t", "__d")).alias("__first"))
+    seen = F.filter("__first", lambda x: x["__t"] < F.col(turn))
+    related = F.coalesce(F.array_sort(F.transform(seen, lambda x: x["__d"])), F.array().cast("array<string>"))
+    return messages.join(first, conversation, "left").withColumn("related", related).select(*messages.columns, "related")
 
 
 def protect_conversations(messages: DataFrame, policy, conversation: str = "conv_id", turn: str = "turn", text: str = "text", **options) -> DataFrame:
     """conv_id, turn, status, output: each message protected with the domains seen before; a block ends its conversation."""
-    key = F.concat_ws("#", F.col(conversation).cast("string"), F.col(turn).cast("string"))
-    known = related_domains(messages, conversation, turn, text).withColumn("id", key)
-    done = pipeline.protect(known, policy, related=F.col("related"), text_col=text, **options).select("id", "status", "output")
-    joined = known.select("id", conversation, turn).join(done, "id").drop("id")
-    before = Window.partitionBy(conversation).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = F.coalesce(F.sum(F.when(F.col("status") == "blocked", 1).otherwise(0)).over(before), F.lit(0))
-    return joined.withColumn("__b", blocks).where("__b = 0").drop("__b")
+    known = related_domains(messages, conversation, turn, text)
+    done = pipeline.shielded(known, policy, related=F.col("related"), text_col=text, id_col=conversation, **options).select(conversation, turn, "__protected.status", "__protected.output")
+    first = done.where("status = 'blocked'").groupBy(conversation).agg(F.min(turn).alias("__end"))
+    return done.join(first, conversation, "left").where(F.col("__end").isNull() | (F.col(turn) <= F.col("__end")) | F.col(turn).isNull()).drop("__end")
 
 
 def frame_action(fin, opcode, compressed):
