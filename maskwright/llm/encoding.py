@@ -50,14 +50,16 @@ class Encoder:
     Both files split a text into pieces that never influence each other, so
     the ids of a text are those of its pieces in order; pieces recur, hence
     the caches. The library's own model encodes every piece that is not
-    cached. A file with another pre-tokenizer is applied to whole texts.
+    cached. A text that holds the string of an added token, which the library
+    cuts out first, is encoded whole, and so is every text where the file has
+    another pre-tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
         self.pieces = _Cache(self._piece)
@@ -92,6 +94,8 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if any(t in text for t in self.added):
+            return self._whole(text)
         return self.encode(text)
 
 

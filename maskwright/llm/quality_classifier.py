@@ -6,9 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _shared as S
 from . import text_stats
@@ -105,25 +107,30 @@ def fit(train: DataFrame, calibrate: DataFrame, waves: int = 128, gamma: float =
     return model
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``.
+def learned(stats: DataFrame, labels: DataFrame) -> Model:
+    """The model of the rows of ``stats`` (doc_id, features) with a label outside the held-out fold.
 
-    Labels come from rows outside the held-out fold only; of those, one fold in
-    four calibrates and the others fit. Null and empty texts have the features
-    of an empty text and a score like any other; a null id is held out from
-    learning; repeated rows score alike. Labels without a document, null labels
-    and repeated labels are ignored, the last ones down to the better label.
-    Without any label the score is one half. Empty tables give no rows.
+    One fold in four of these calibrates and the others fit. Labels without a
+    document, null labels and repeated labels are ignored, the last ones down
+    to the better label. Without any label every score is one half.
     """
-    stats = S.save(text_stats.statistics(docs, id_col, text_col).select("doc_id", "features"), "features")
     marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     learn = S.save(stats.join(marks.where(text_stats.remainder("doc_id") != 0), "doc_id").select("features", "quality", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("fold")), "labelled")
     if learn.limit(1).count():
-        model = fit(learn.where("fold <> 0"), learn.where("fold = 0"))
-    else:
-        k = len(text_stats.FEATURES)
-        model = Model(np.zeros(k), np.ones(k), np.zeros((k, 1)), np.zeros(1), np.array([0.0, 0.5]), np.zeros(0), np.zeros(0))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+        return fit(learn.where("fold <> 0"), learn.where("fold = 0"))
+    k = len(text_stats.FEATURES)
+    return Model(np.zeros(k), np.ones(k), np.zeros((k, 1)), np.zeros(1), np.array([0.0, 0.5]), np.zeros(0), np.zeros(0))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of ``docs``.
+
+    Null and empty texts have the features of an empty text and a score like
+    any other; a null id is held out from learning; repeated rows score alike.
+    Empty tables give no rows. Labels: see `learned`.
+    """
+    stats = S.save(text_stats.statistics(docs, id_col, text_col).select("doc_id", "features"), "features")
+    sent = docs.sparkSession.sparkContext.broadcast(learned(stats, labels))
 
     def run(batch: pa.RecordBatch) -> dict:
         return {"doc_id": batch.column(0), "score": sent.value.score(_matrix(batch))}
@@ -136,8 +143,21 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 def keep_predicted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """``docs`` without the documents that the classifier rejects; columns and null texts unchanged.
 
-    Rows with equal ids are kept or rejected by the better of them; rows with a
-    null id are kept.
+    Rows are saved with their features and judged where they lie, each by its
+    own text: repeated rows alike, equal ids with different texts each for
+    itself, null ids like others. No text is shuffled. An empty table stays
+    empty; columns of any name pass.
     """
-    rejected = score_documents(docs, labels, threshold).groupBy("doc_id").agg(F.max("predicted").alias("good")).where("good = 0")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def features(text: pd.Series) -> pd.Series:
+        return pd.Series([text_stats.describe(t or "")[5] for t in text], dtype=object)
+
+    held = S.save(docs.select(F.struct("*").alias("row"), features("text").alias("features")), "described")
+    sent = docs.sparkSession.sparkContext.broadcast(learned(held.select(F.col("row.doc_id").alias("doc_id"), "features"), labels))
+
+    @F.pandas_udf(T.DoubleType())
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.score(np.stack(x.to_list()).astype(np.float64)) if len(x) else [], dtype=float)
+
+    return held.where(score("features") >= threshold).select("row.*")

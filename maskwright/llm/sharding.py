@@ -50,7 +50,8 @@ def shard(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col:
 
     Law ``key``: id and shard count decide. Null texts have size 1 and the
     checksum of no bytes; a null id is a key like any other. Repeated rows go
-    to one shard with slots of their own; equal ids are ordered by checksum.
+    to one shard with slots of their own. Rows are numbered in blocks by id and
+    checksum, so rows that share an id, or lack one, spread by their texts.
     An empty table gives no rows. Only id and text are read; the text is
     reduced to size and checksum before anything is shuffled.
     """
@@ -61,5 +62,5 @@ def shard(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col:
         F.crc32(raw).alias("text_crc32"),
         jump(F.col(id_col), n_shards).alias("at"),
     ).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "at.shard", "at.grown_shard")
-    numbered = S.gapless(rows, ["shard"], F.col("doc_id"), ["doc_id", "size", "text_crc32"], "slot", blocks)
+    numbered = S.gapless(rows, ["shard"], F.struct("doc_id", "text_crc32"), ["doc_id", "size", "text_crc32"], "slot", blocks)
     return numbered.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -129,7 +129,8 @@ def read_records(manifest: DataFrame) -> DataFrame:
     """Read all files back in one pass: doc_id, start, n_tokens, ids (little-endian 32-bit).
 
     ``start`` counts the ids of all records before; it is carried from file to
-    file through the manifest, which has one row per file.
+    file through the manifest, which has one row per file. A file that holds
+    other numbers of records or ids than its row says is damaged and raises.
     """
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
@@ -138,23 +139,26 @@ def read_records(manifest: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, start, records, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 store, name = _open(path)
+                seen, end = 0, start + tokens
                 with store.open_input_stream(f"{name}.rec", buffer_size=1 << 20) as source:
                     rows, held = [], 0
                     while (payload := read_frame(source)) is not None:
                         doc_id, ids = unpack_ids(payload)
                         rows.append((doc_id, start, len(ids) // 4, ids))
-                        start += len(ids) // 4
+                        start, seen = start + len(ids) // 4, seen + 1
                         held += len(ids)
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
                             rows, held = [], 0
+                    if (seen, start) != (records, end):
+                        raise ValueError(f"{path} holds {seen} of {records} records")
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     spread = manifest.sparkSession.sparkContext.defaultParallelism * 4
-    return files.select("path", "start").repartition(spread, "path").mapInArrow(read, schema)
+    return files.select("path", "start", "records", "tokens").repartition(spread, "path").mapInArrow(read, schema)
 
 
 def read_record(path: str, row: int) -> tuple[int | None, bytes]:
