@@ -20,6 +20,8 @@ WORDS = re.compile(r"\w+")
 EDITS = 0.2
 #: Repetitions of the embedding, samples of positions drawn from each, and positions a sample compares.
 WALKS, SAMPLES, BITS = 9, 8, 2
+#: Words of embedded windows held at once (8 bytes each); bounds memory for long texts full of benchmark words.
+WINDOW_WORDS = 1 << 21
 #: Bytes of item texts held by a task at once; more items are taken block by block.
 BLOCK_BYTES = 8 << 20
 
@@ -178,15 +180,18 @@ class Items:
             if not len(first):
                 continue
             padded = np.concatenate([walked, np.zeros(n, dtype=np.int64)])
-            windows = padded[first[:, None] + np.arange(n)]
-            for start, keys in zip(first.tolist(), sketches(windows).tolist(), strict=True):
-                found = {x for s, key in enumerate(keys) for x in table.get((s, key), ())} & items
-                for x in found:
-                    if x in best and best[x][0] == 0:
-                        continue
-                    edits = edit_distance(self.texts[x], doc[start : start + n + k], k)
-                    if edits <= k and (x not in best or edits < best[x][0]):
-                        best[x] = (edits, start)
+            chunk = max(1, WINDOW_WORDS // (3 * n * WALKS))
+            for begin in range(0, len(first), chunk):
+                part = first[begin : begin + chunk]
+                windows = padded[part[:, None] + np.arange(n)]
+                for start, keys in zip(part.tolist(), sketches(windows).tolist(), strict=True):
+                    found = {x for s, key in enumerate(keys) for x in table.get((s, key), ())} & items
+                    for x in found:
+                        if x in best and best[x][0] == 0:
+                            continue
+                        edits = edit_distance(self.texts[x], doc[start : start + n + k], k)
+                        if edits <= k and (x not in best or edits < best[x][0]):
+                            best[x] = (edits, start)
         return [(self.ids[x], start, len(self.texts[x]), edits) for x, (edits, start) in sorted(best.items())]
 
 

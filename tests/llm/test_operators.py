@@ -686,6 +686,56 @@ def test_items_without_an_id_are_searched_for(spark, awkward):
     assert decontamination.clean(awkward, marks).count() == len(AWKWARD) - 5
 
 
+def test_long_text_of_benchmark_words_stays_in_memory():
+    """200,000 words that nearly all lie in plausible windows: the embedded windows are taken in chunks."""
+    import tracemalloc
+
+    rnd = random.Random(12)
+    vocabulary = [f"b{k}" for k in range(40)]
+    items = decontamination.Items.of([(k, " ".join(rnd.choices(vocabulary, k=40))) for k in range(3)])
+    words = rnd.choices(vocabulary, k=200_000)
+    words[150_000:150_040] = items.texts[1]
+    tracemalloc.start()
+    found = items.matches(" ".join(words))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (1, 150_000, 40, 0) in found and peak < 400 << 20
+
+
+def test_leaks_are_those_of_all_windows(spark):
+    """Every window of every text against every item, by plain edit distance: all pairs that the search reports, and nearly all that exist."""
+    rnd = random.Random(13)
+    vocabulary = [f"v{k}" for k in range(60)]
+    items = {k: rnd.choices(vocabulary, k=rnd.randrange(8, 30)) for k in range(25)}
+    docs = {}
+    for i in range(60):
+        words = rnd.choices(vocabulary + [f"o{k}" for k in range(60)], k=rnd.randrange(0, 60))
+        if i % 2:
+            item = list(items[rnd.randrange(25)])
+            for _ in range(rnd.randint(0, decontamination.most_edits(len(item)))):
+                p = rnd.randrange(len(item))
+                item[p : p + 1] = rnd.choice([[], [f"n{rnd.random()}"], [item[p], rnd.choice(vocabulary)]])
+            words[5:5] = item
+        docs[i] = words
+
+    def least(item: list[str], doc: list[str]) -> int:
+        """Edits between the item and the best stretch of the text."""
+        row = [0] * (len(doc) + 1)
+        for i, x in enumerate(item, 1):
+            new = [i]
+            for j, y in enumerate(doc, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+            row = new
+        return min(row)
+
+    want = {(d, k): e for d, words in docs.items() for k, item in items.items() if (e := least(item, words)) <= decontamination.most_edits(len(item))}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontamination.report(df, bench).collect()}
+    assert set(got) <= set(want) and all(got[k] >= want[k] for k in got)
+    assert len(want) >= 30 and len(got) >= 0.95 * len(want)
+
+
 # 9
 
 
