@@ -253,8 +253,13 @@ def unsupported_encoding(encoding: Column) -> Column:
     return F.coalesce(F.exists(tokens, lambda p: p != "identity"), F.lit(False))
 
 
+def acceptable_body(size: Column, encoding: Column, most: int = 32 << 20) -> Column:
+    """Bodies that may be rewritten: not too long, and not encoded."""
+    return F.coalesce(size <= most, F.lit(True)) & ~unsupported_encoding(encoding)
+
+
 def csv_list(value: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(value, ","), F.trim), lambda p: p != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(value, ","), lambda p: F.trim(p)), lambda p: p != ""))
 
 
 def render_template(template: Column, **values: Column) -> Column:
@@ -287,9 +292,10 @@ def first_gap(*gates: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for ok, name in gates], F.lit("ready"))
 
 
-def trust_readiness(capturable: Column, consented: Column, installed: Column, trusted: Column) -> Column:
-    """Whether traffic of a route may be opened: the route must be captured, its user must have agreed, and the certificate must be installed and trusted."""
-    return first_gap((capturable, "not_applicable"), (consented, "needs_user_consent"), (installed, "needs_certificate"), (trusted, "needs_trust"))
+def trust_readiness(known: Column, plain: Column, enabled: Column, host_allowed: Column, consented: Column, installed: Column) -> Column:
+    """Whether traffic of a route may be opened: a known route that is not readable as it is, and then the gates in order."""
+    gates = first_gap((enabled, "disabled"), (host_allowed, "host_not_allowed"), (consented, "needs_user_consent"), (installed, "needs_local_ca"))
+    return F.when(~known, "not_ai_traffic").when(plain, "not_required").otherwise(gates)
 
 
 def interception_readiness(routing: Column, consented: Column, trust: Column, adapter: Column) -> Column:

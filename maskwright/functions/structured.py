@@ -6,9 +6,11 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 TextMap = Callable[[str], str]
 STRINGS = T.ArrayType(T.StringType())
@@ -222,9 +224,19 @@ def body_strings(body: pd.Series) -> pd.Series:
     return body.map(json_strings)
 
 
-@F.pandas_udf(T.StringType())
-def with_body_strings(body: pd.Series, texts: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else with_json_strings(b, list(t)) for b, t in zip(body, texts, strict=True)], dtype=object)
+def _rewritten(df: DataFrame, body_col: str, given: str, one: Callable[[str, object], str | None]) -> DataFrame:
+    """``df`` without column ``given`` and with ``one(body, given)`` as body where that is not null."""
+    schema = T.StructType([f for f in df.schema if f.name != given])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, new = batch.schema.get_field_index(body_col), batch.schema.get_field_index(given)
+            bodies = [b if b is None or g is None or (n := one(b, g)) is None else n for b, g in zip(batch.column(at).to_pylist(), batch.column(new).to_pylist(), strict=True)]
+            columns = [pa.array(bodies, arrow.field(body_col).type) if k == at else batch.column(k) for k in range(batch.num_columns) if k != new]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return df.mapInArrow(run, schema)
 
 
 def map_bodies(df: DataFrame, f: Callable[[Column], Column], body_col: str = "body") -> DataFrame:
@@ -232,9 +244,8 @@ def map_bodies(df: DataFrame, f: Callable[[Column], Column], body_col: str = "bo
 
     Every body is rewritten in its own row.
     """
-    new = F.transform("__texts", lambda t: F.coalesce(f(t), t))
-    rows = df.withColumn("__texts", body_strings(body_col))
-    return rows.withColumn(body_col, F.coalesce(with_body_strings(F.col(body_col), new), F.col(body_col))).drop("__texts")
+    new = F.transform(body_strings(body_col), lambda t: F.coalesce(f(t), t))
+    return _rewritten(df.withColumn("__texts", new), body_col, "__texts", with_json_strings)
 
 
 @F.pandas_udf(T.StringType())
@@ -244,14 +255,9 @@ def stream_text(body: pd.Series) -> pd.Series:
     return pd.Series([s.joined() if s is not None and s.paths else None for s in streams], dtype=object)
 
 
-@F.pandas_udf(T.StringType())
-def with_stream_text(body: pd.Series, text: pd.Series) -> pd.Series:
-    def one(b: str | None, t: str | None) -> str | None:
-        if b is None or t is None or (s := EventStream(b)).joined() == t:
-            return b
-        return s.render(s.set_joined(t))
-
-    return pd.Series([one(b, t) for b, t in zip(body, text, strict=True)], dtype=object)
+def with_stream_text(body: str, text: str) -> str | None:
+    stream = EventStream(body)
+    return None if stream.joined() == text else stream.render(stream.set_joined(text))
 
 
 @F.pandas_udf(STRINGS)
@@ -259,24 +265,18 @@ def stream_strings(body: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else EventStream(b).strings() for b in body], dtype=object)
 
 
-@F.pandas_udf(T.StringType())
-def with_stream_strings(body: pd.Series, texts: pd.Series) -> pd.Series:
-    def one(b: str | None, t) -> str | None:
-        if b is None or t is None:
-            return b
-        s = EventStream(b)
-        changed = s.set_strings(list(t))
-        return s.render(changed) if changed else b
-
-    return pd.Series([one(b, t) for b, t in zip(body, texts, strict=True)], dtype=object)
+def with_stream_strings(body: str, texts: list[str]) -> str | None:
+    stream = EventStream(body)
+    changed = stream.set_strings(texts)
+    return stream.render(changed) if changed else None
 
 
 def map_streams(df: DataFrame, f: Callable[[Column], Column], body_col: str = "body") -> DataFrame:
     """`map_event_stream` with a column expression, so that detection and policy stay in the JVM; every body in its own row."""
     new = lambda t: F.coalesce(f(t), t)
-    rows = df.withColumn("__text", stream_text(body_col)).withColumn(body_col, with_stream_text(F.col(body_col), new(F.col("__text"))))
-    rows = rows.withColumn("__texts", stream_strings(body_col)).withColumn(body_col, with_stream_strings(F.col(body_col), F.transform("__texts", new)))
-    return rows.drop("__text", "__texts")
+    joined = df.withColumn("__text", stream_text(body_col)).withColumn("__text", new(F.col("__text")))
+    rows = _rewritten(joined, body_col, "__text", with_stream_text)
+    return _rewritten(rows.withColumn("__texts", F.transform(stream_strings(body_col), new)), body_col, "__texts", with_stream_strings)
 
 
 def transform_bodies(df: DataFrame, transform: Callable[[DataFrame], DataFrame], id_col: str = "id", body_col: str = "body") -> DataFrame:
@@ -292,5 +292,6 @@ def transform_bodies(df: DataFrame, transform: Callable[[DataFrame], DataFrame],
     mapped = transform(single.select(F.col("key").alias("id"), "text").distinct()).select(F.col("id").alias("key"), "output")
     changed = single.join(mapped, "key").where("output <> text")
     lists = changed.groupBy("content").agg(F.map_from_entries(F.collect_list(F.struct("text", "output"))).alias("new"))
-    new = F.transform(body_strings("body"), lambda t: F.coalesce(F.col("new")[t], t))
-    return rows.join(lists, "content", "left").select("id", F.when(F.col("new").isNull(), F.col("body")).otherwise(F.coalesce(with_body_strings(F.col("body"), new), "body")).alias("body"))
+    met = rows.join(lists, "content", "left").select("id", "body", "new")
+    given = F.transform(body_strings("body"), lambda t: F.coalesce(F.col("new")[t], t))
+    return _rewritten(met.withColumn("__texts", F.when(F.col("new").isNotNull(), given)).drop("new"), "body", "__texts", with_json_strings)

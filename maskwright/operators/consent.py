@@ -62,3 +62,9 @@ def override(decisions: DataFrame, live: DataFrame) -> DataFrame:
     wanted = decisions.withColumn("value_fingerprint", F.when(F.col("action") != "block", fn.fingerprint(F.col("kind"), F.col("value"))))
     joined = wanted.join(live, ["kind", "value_fingerprint"], "left")
     return joined.withColumn("action", F.when(F.col("consent_id").isNotNull(), "allow").otherwise(F.col("action"))).drop("value_fingerprint")
+
+
+def listed(consents: DataFrame, page: int | None = None) -> DataFrame:
+    """Newest first, ties by id; the first ``page`` of them if given."""
+    rows = consents.orderBy(F.desc("created_at"), "id")
+    return rows if page is None else rows.limit(page)

@@ -55,17 +55,17 @@ def observations(df: DataFrame, url_col: str = "url") -> DataFrame:
     return df.withColumn("host", fn.normalize_host(url)).withColumn("path", fn.pattern_path(url)).withColumn("port", port).withColumn("protocol", F.lower(F.regexp_extract(url, "^([a-zA-Z]+)://", 1))).withColumn("process_name", F.lit(None).cast("string"))
 
 
-def decide(seen: DataFrame, rules: list[dict], default: str) -> DataFrame:
+def decide(seen: DataFrame, rules: list[dict], default: str, enabled: set[str] | None = None) -> DataFrame:
     """Adds app_id and action of the matching rule with the highest priority, the last of equals; else the default.
 
     ``rules`` are an operator's configuration, validated by `check_rules`; they
     become one expression over each row, so observations are neither joined
-    nor shuffled.
+    nor shuffled. With ``enabled`` only the enabled rules that it names apply.
     """
     observed = F.struct("host", "path", "port", "protocol", "process_name")
     chosen = F.lit(None).cast("struct<app_id:string,action:string>")
     for _, rule in sorted(enumerate(rules), key=lambda x: (x[1]["priority"], x[0])):
-        if not rule.get("enabled", True):
+        if not rule.get("enabled", True) or (enabled is not None and rule["id"] not in enabled):
             continue
         kinds = {"ports": "int"}
         match = F.struct(*[F.array(*[F.lit(v) for v in rule["match"].get(k, [])]).cast(f"array<{kinds.get(k, 'string')}>").alias(k) for k in ("domains", "ips", "urls", "ports", "protocols", "process_names")])
@@ -144,3 +144,12 @@ def canonical_profiles(enabled: DataFrame, aliases: DataFrame) -> DataFrame:
 def enabled_profiles(from_file: Column, active: Column, default: Column) -> Column:
     """The enabled list of the state file, else the active profile alone, else the default."""
     return F.coalesce(from_file, F.when(active.isNotNull(), F.array(active)), default)
+
+
+def readiness(routes: DataFrame, trust: DataFrame) -> DataFrame:
+    """Routes and trust states, both by position (column ordinal), side by side: ordinal, routing and trust columns, readiness.
+
+    Routes of one host keep their own state, as positions pair them.
+    """
+    rows = routes.join(trust, "ordinal")
+    return rows.withColumn("readiness", fn.interception_readiness(F.col("routing"), F.col("consented"), F.col("trust"), F.col("adapter")))

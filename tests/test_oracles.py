@@ -9,7 +9,8 @@ import duckdb
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-from maskwright.plans.queries import ORACLES, QUERIES
+from maskwright.plans import request_queries, store_queries  # noqa: E402, F401
+from maskwright.plans.queries import ORACLES, QUERIES  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
