@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -27,11 +28,13 @@ _own_roots: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and kept for the application.
+    Only on one machine (a local master, as in tests) may the session name
+    none; then a temporary folder is made and kept for the application.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_roots:
             _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="maskwright-")
@@ -46,6 +49,18 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Tables saved inside `passing`, by application.
+_passing: dict[str, list[str]] = {}
+_open: list[list[str]] = []
+
+
+def _made(spark: SparkSession, label: str) -> str:
+    path = fresh_path(spark, label)
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
 def save(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -53,15 +68,48 @@ def save(df: DataFrame, label: str) -> DataFrame:
     lies before, and several readers share one computation.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, label)
+    path = _made(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(saved: DataFrame) -> None:
+    """Delete a table made by `save`, once nothing reads it any more."""
+    for path in {f.rsplit("/", 1)[0] for f in saved.inputFiles()}:
+        _delete(saved.sparkSession, path)
+
+
+@contextlib.contextmanager
+def passing(docs: DataFrame) -> Iterator[None]:
+    """Tables saved inside serve one result only, which is written before the next such block begins.
+
+    They are deleted when it begins, unless its ``docs`` still read them.
+    """
+    spark = docs.sparkSession
+    app = spark.sparkContext.applicationId
+    read = docs.inputFiles()
+    left = [p for p in _passing.get(app, []) if any(f.startswith(p) for f in read)]
+    for path in set(_passing.get(app, [])) - set(left):
+        _delete(spark, path)
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.pop()
+        _passing[app] = left + made
+
+
 def save_bucketed(df: DataFrame, key: str, n: int, label: str) -> DataFrame:
     """Write ``df`` into the shared folder in ``n`` buckets of ``key``: what groups or joins by it later does not move its rows."""
     spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).option("path", fresh_path(spark, label)).option("compression", "zstd").saveAsTable(name)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", _made(spark, label)).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 

@@ -188,7 +188,8 @@ def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        links = S.save(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        old, links = links, S.save(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        S.discard(old)
     raise RuntimeError("components did not settle")
 
 
