@@ -197,7 +197,9 @@ def first_round(texts: DataFrame, leaders: DataFrame, threshold: int) -> DataFra
     named = S.save(_visit(texts, requests, names, schema), "blocks")
     earliest = Window.partitionBy("name").orderBy("doc_id", F.col("anchor") - F.col("high"))
     across = named.where("name IS NOT NULL").withColumn("copy", F.rank().over(earliest) > 1).drop("name")
-    return S.save(across.unionByName(named.where("name IS NULL").drop("name").withColumn("copy", F.lit(True))), "ranked")
+    ranked = S.save(across.unionByName(named.where("name IS NULL").drop("name").withColumn("copy", F.lit(True))), "ranked")
+    S.discard(named)
+    return ranked
 
 
 def read_blocks(texts: DataFrame, leaders: DataFrame, firsts: DataFrame, threshold: int) -> DataFrame:
