@@ -90,6 +90,19 @@ def test_shard_of_any_count_agrees_with_growth(spark):
     assert all(b in (a, 60) for a, b in zip(at[60], at[61], strict=True)) and max(at[61]) == 60
 
 
+def test_shard_is_the_plain_walk(spark):
+    """The published loop in plain Python, on the same draws, gives every shard."""
+    keys = spark.range(-40, 400).select(F.col("id").alias("k"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.xxhash64(F.col("id"), i)).alias("draws"))
+    for n in (1, 2, 16, 17, 100):
+        for r in keys.select("k", "draws", sharding.jump(F.col("k"), n).alias("s")).collect():
+            b, j, draws = -1, 0, iter(r["draws"])
+            while j < n:
+                b = j
+                bits = ((next(draws) & (2**64 - 1)) >> 33) + 1
+                j = int((b + 1) * (2**31 / bits))
+            assert r["s"]["shard"] == b and r["s"]["grown_shard"] == (n if j == n else b)
+
+
 def test_shard_awkward(awkward):
     rows = sharding.shard(awkward).collect()
     assert len(rows) == len(AWKWARD)
@@ -595,6 +608,42 @@ def test_rules_reject_junk_and_keep_the_rest(spark):
     assert sum(rows[i] for i in range(2000)) >= 0.95 * 2000
 
 
+def test_verdicts_against_plain_thresholds(spark):
+    """Cutoffs and verdicts recomputed from the texts with exact binomial sums."""
+    from fractions import Fraction
+    from math import comb, floor
+
+    docs, labels = (_shared.table(spark, "/root/testdata/sf0.1", n) for n in ("documents", "labels"))
+    rows = {r["doc_id"]: r for r in quality_rules.judge(docs, labels).collect()}
+    given = {r["doc_id"]: (r["lang"] or "", text_stats.describe(r["text"] or "")) for r in docs.collect()}
+    good = {r["doc_id"] for r in labels.where("quality = 1").collect()} & set(given)
+    bins, rules = quality_rules.BINS, quality_rules.RULES
+
+    def bin_of(features: list[float], rule: str) -> int:
+        return floor(min(float(np.float32(features[text_stats.FEATURES.index(rule)])), 1.0) * (bins - 1))
+
+    strata = {given[d][0] for d in good}
+    risk, level = 0.05 / len(rules), 0.05 / (len(strata) * len(rules))
+    cuts: dict[tuple[str, str], float] = {}
+    for lang in strata:
+        mine = [given[d][1][5] for d in good if given[d][0] == lang]
+        n, p = len(mine), Fraction(risk)
+        tail = lambda k: sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))  # noqa: B023, E731
+        most = -1  # wrongly rejected documents that the bound still allows
+        while most + 1 < n and tail(most + 1) <= level:
+            most += 1
+        for rule in rules:
+            held = [bin_of(f, rule) for f in mine]
+            safe = [b for b in range(1, bins) if sum(x >= b for x in held) <= most]
+            if safe:
+                cuts[lang, rule] = min(safe) / bins
+    for d, (lang, (n_words, _, _, _, repeat, features)) in given.items():
+        failed = n_words < 10 or 100 * repeat > 20 * n_words
+        over = any((lang, r) in cuts and bin_of(features, r) / bins >= cuts[lang, r] for r in rules)
+        assert rows[d]["kept"] == (not failed and not over), d
+    assert cuts and 0 < sum(r["kept"] for r in rows.values()) < len(rows)
+
+
 def test_rules_awkward(awkward, labels):
     rows = quality_rules.judge(awkward, labels).collect()
     assert len(rows) == len(AWKWARD) and not next(r for r in rows if r["doc_id"] == 1)["kept"]
@@ -808,6 +857,34 @@ def test_isotonic_is_the_pooled_mean():
     assert (np.diff(out) >= 0).all() and out[0] == pytest.approx(1 / 3)
 
 
+def test_classifier_against_a_direct_solve(spark):
+    """The scores of a plain ridge solve over all labelled rows and a brute-force isotonic fit."""
+    docs, labels = (_shared.table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.score_documents(docs, labels).collect()}
+    x = {r["doc_id"]: np.array(text_stats.describe(r["text"] or "")[5], dtype=np.float32).astype(float) for r in docs.collect()}
+    fold = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(4))).collect()}
+    mark = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] in x and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    fit, cal = ([d for d in mark if (fold[d] == 0) == c] for c in (False, True))
+    k, waves = len(text_stats.FEATURES), 128
+    train = np.stack([x[d] for d in fit])
+    mean, scale = train.mean(axis=0), np.maximum(train.std(axis=0), 1e-6)
+    rng = np.random.default_rng(7)
+    w, phase = rng.normal(0, np.sqrt(2 * 0.05), (k, waves)), rng.uniform(0, 2 * np.pi, waves)
+    lift = lambda m: np.hstack([np.sqrt(2 / waves) * np.cos(np.clip((m - mean) / scale, -6, 6) @ w + phase), np.ones((len(m), 1))])
+    z, y = lift(train), np.array([mark[d] for d in fit], dtype=float)
+    weights = np.linalg.solve(z.T @ z / len(z) + 1e-3 * np.eye(waves + 1), z.T @ y / len(z))
+    low, high, bins = quality_classifier.LOW, quality_classifier.HIGH, quality_classifier.BINS
+    raw = lift(np.stack([x[d] for d in cal])) @ weights
+    at = np.clip(np.floor((raw - low) / ((high - low) / bins)), 0, bins - 1).astype(int)
+    good, n = np.bincount(at, [mark[d] for d in cal], bins), np.bincount(at, minlength=bins)
+    used = np.flatnonzero(n)
+    g, c = good[used], n[used].astype(float)
+    steps = [max(min(g[a : b + 1].sum() / c[a : b + 1].sum() for b in range(i, len(g))) for a in range(i + 1)) for i in range(len(g))]  # max-min formula
+    every = np.clip(lift(np.stack([x[d] for d in got])) @ weights, low, high)
+    want = 0.999 * np.interp(every, low + (used + 0.5) * (high - low) / bins, steps) + 0.001 * (every - low) / (high - low)
+    assert np.abs(want - np.array(list(got.values()))).max() < 1e-6
+
+
 def test_classifier_awkward(awkward, labels):
     rows = quality_classifier.score_documents(awkward, labels).collect()
     assert len(rows) == len(AWKWARD) and all(0 <= r["score"] <= 1 for r in rows)
