@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import re
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -112,20 +113,55 @@ def _roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def near_links(distinct: DataFrame, budget: int = 3, chunk: int = 1 << 20) -> DataFrame:
+def _rotated(bits: Column, depth: int, by: int) -> Column:
+    """``bits`` with those below the leading ``depth`` rotated to the left."""
+    if not by:
+        return bits
+    rest = 64 - depth
+    turned = F.shiftleft(bits, by).bitwiseOR(F.shiftrightunsigned(bits.bitwiseAND(F.lit((1 << rest) - 1 if depth else -1)), rest - by))
+    if not depth:
+        return turned
+    mask = F.lit((1 << rest) - 1)
+    return bits.bitwiseAND(F.lit(-1 << rest)).bitwiseOR(turned.bitwiseAND(mask))
+
+
+def _turned(rows: DataFrame, depth: int, step: int, times: int) -> DataFrame:
+    """Each row in ``times`` rotations of its bits below ``depth``, with the block of ``depth + step`` leading bits."""
+    each = F.explode(F.array(*[F.struct((F.col("turn") * times + k).alias("turn"), _rotated(F.col("bits"), depth, k * step).alias("bits")) for k in range(times)]))
+    return rows.select("rep", each.alias("t")).select("t.turn", "t.bits", "rep").withColumn("block", F.shiftrightunsigned("bits", 64 - depth - step))
+
+
+def near_links(distinct: DataFrame, budget: int = 3, chunk: int = 1 << 20, most: int = 1 << 20, levels: int = 3) -> DataFrame:
     """Spanning links (a, b) between the representatives of fingerprints within ``budget`` bits.
 
     ``distinct`` has one row (fp, rep) per fingerprint. Of ``budget + 1`` equal
     blocks of the 64 bits at least one is the same in both fingerprints, so the
     bits are rotated that many times and the tries below each leading block are
     joined with themselves: all links are found and a task holds whole blocks
-    only. Links inside a task are reduced to those that connect its components.
+    only. A block of over ``most`` fingerprints is split the same way once
+    more: its other bits are rotated by a part of themselves, so that the
+    linked ones meet below a longer prefix; up to ``levels`` times in all.
+    Links inside a task are reduced to those that connect its components.
     """
-    if 64 % (budget + 1):
+    times = budget + 1
+    if 64 % times:
         raise ValueError("budget + 1 must divide 64")
-    width = 64 // (budget + 1)
-    turns = F.explode(F.array(*[F.struct(F.lit(k).alias("turn"), (F.shiftleft("fp", k * width).bitwiseOR(F.shiftrightunsigned("fp", 64 - k * width)) if k else F.col("fp")).alias("bits")) for k in range(budget + 1)]))
-    rows = distinct.select("rep", turns.alias("t")).select("t.turn", "t.bits", "rep").withColumn("block", F.shiftrightunsigned("bits", 64 - width))
+    rows, depth, found = distinct.select("rep", F.lit(0).alias("turn"), F.col("fp").alias("bits")), 0, []
+    for level in range(levels):
+        step = (64 - depth) // times
+        rows = _turned(rows, depth, step, times)
+        depth += step
+        if level == levels - 1:
+            found.append(_joined(rows, depth, budget, chunk))
+            break
+        hot = rows.groupBy("turn", "block").agg(F.count("*").alias("n")).where(F.col("n") > most).select("turn", "block")
+        found.append(_joined(rows.join(hot, ["turn", "block"], "left_anti"), depth, budget, chunk))
+        rows = rows.join(hot, ["turn", "block"], "left_semi")
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _joined(rows: DataFrame, width: int, budget: int, chunk: int) -> DataFrame:
+    """The tries of all blocks (equal turn and ``width`` leading bits) joined with themselves, a task at a time."""
     schema = T.StructType.fromDDL("a long, b long")
     arrow = to_arrow_schema(schema)
 
@@ -143,23 +179,24 @@ def near_links(distinct: DataFrame, budget: int = 3, chunk: int = 1 << 20) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        size, limit = 0, chunk
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
+            nonlocal held, size, limit
             turn, bits, rep = (np.concatenate(x) for x in zip(*held, strict=True))
             key = (turn.astype(np.uint64) << np.uint64(width)) | (bits >> np.uint64(64 - width))
             cut = len(key) if last else int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
             for a, b in join(turn[:cut], bits[:cut], rep[:cut]):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=arrow)
             held, size = ([(turn[cut:], bits[cut:], rep[cut:])], len(key) - cut) if cut < len(key) else ([], 0)
+            limit = max(chunk, 2 * size)  # a block that goes on is not copied at every batch
 
         for batch in batches:
             if batch.num_rows:
                 turn, bits, rep = (batch.column(k).to_numpy() for k in range(3))
                 held.append((turn, bits.view(np.uint64), rep))
                 size += len(turn)
-                if size >= chunk:
+                if size >= limit:
                     yield from flush(False)
         if held:
             yield from flush(True)

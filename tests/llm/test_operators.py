@@ -360,9 +360,10 @@ def test_trie_finds_every_pair_and_chain(spark):
     for i, x in fps.items():
         distinct[x] = min(i, distinct.get(x, i))
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i) for x, i in distinct.items()], "fp long, rep long")
-    found = {r["node"]: r["component"] for r in simhash.components(simhash.near_links(df, chunk=100)).collect()}
     want = brute_components({i: x for x, i in distinct.items()})
-    assert {i: found.get(i, i) for i in want} == want
+    for most in (1 << 20, 3):  # with and without blocks that are split
+        found = {r["node"]: r["component"] for r in simhash.components(simhash.near_links(df, chunk=100, most=most)).collect()}
+        assert {i: found.get(i, i) for i in want} == want
 
 
 def test_simhash_awkward(awkward, spark):
