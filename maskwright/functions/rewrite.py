@@ -18,18 +18,18 @@ def splice(text: Column, replacements: Column) -> Column:
     spans cost no more than the text is long.
     """
 
-    def spliced(ordered: Column) -> Column:
-        raw = F.encode(text, "UTF-8")
+    def spliced(held: Column) -> Column:
+        raw, ordered = held["raw"], held["ordered"]
         starts, ends = F.transform(ordered, lambda r: r["start"]), F.transform(ordered, lambda r: r["end"])
         froms = F.concat(F.array(F.lit(0)), ends)
-        upto = F.concat(starts, F.array(F.octet_length(text)))
+        upto = F.concat(starts, F.array(F.octet_length(raw)))
         gaps = F.zip_with(froms, upto, lambda a, b: F.decode(F.substring(raw, a + 1, b - a), "UTF-8"))
         news = F.concat(F.transform(ordered, lambda r: r["text"]), F.array(F.lit("")))
         return F.array_join(F.zip_with(gaps, news, lambda g, n: F.concat(g, n)), "")
 
     inside = F.filter(replacements, lambda r: (r["start"] >= 0) & (r["start"] <= r["end"]) & (r["end"] <= F.octet_length(text)))
     ordered = F.array_sort(F.transform(inside, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), F.coalesce(r["text"], F.lit("")).alias("text"))))
-    return F.when(F.size(replacements) == 0, text).otherwise(fn.let(ordered, spliced))
+    return F.when(F.size(replacements) == 0, text).otherwise(fn.let(F.struct(F.encode(text, "UTF-8").alias("raw"), ordered.alias("ordered")), spliced))
 
 
 def find_references(text: Column) -> Column:

@@ -59,12 +59,13 @@ def step_events(pending: bytes, chunk: bytes, last: bool, f: Callable[[str], str
 STEPS = {"bytes": step_bytes, "events": step_events}
 
 
-def transform_stream(chunks: DataFrame, f: Callable[[str], str], kind: str = "bytes", idle_ms: int = 600_000) -> DataFrame:
+def transform_stream(chunks: DataFrame, f: Callable[[str], str], kind: str = "bytes", idle_ms: int | None = None) -> DataFrame:
     """A streaming plan over (stream_id, seq, chunk, last): rewritten chunks with a bounded state per stream.
 
     ``kind`` is bytes or events. The state of a stream is its held tail; the
-    row flagged ``last`` flushes and removes it, and so does a stream that is
-    silent for ``idle_ms``, so that broken streams do not stay for ever.
+    row flagged ``last`` flushes and removes it. Where streams may break off,
+    give ``idle_ms``: a stream silent for so long is flushed and removed, too
+    (Spark then runs batches all the time, to look at the clock).
     """
     step = STEPS[kind]
 
@@ -84,10 +85,11 @@ def transform_stream(chunks: DataFrame, f: Callable[[str], str], kind: str = "by
             state.remove()
         else:
             state.update((pending, at))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=["stream_id", "seq", "chunk"])
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, OUTPUT, "pending binary, at long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, OUTPUT, "pending binary, at long", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def transform_chunks(chunks: DataFrame, f: Callable[[str], str], kind: str = "bytes") -> DataFrame:

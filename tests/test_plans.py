@@ -246,3 +246,100 @@ def test_text_files(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes(b"\xff\xfe")
     good, bad = tables.valid_only(tables.read_texts(spark, str(tmp_path)))
     assert [r["text"] for r in good.collect()] == ["mail a@b.co\nline two"] and bad.count() == 1
+
+
+LEAKY = [(None, "mail a@b.com"), (1, "mail c@d.com now"), (1, "nothing to see in here"), (None, "ssn 123-45-6789"), (2, None)]
+
+
+def test_rows_without_or_with_equal_ids_are_protected_each_by_itself(spark, empty_vault):
+    df = spark.createDataFrame(LEAKY, "id long, text string")
+    live = consent.grant(spark.createDataFrame([("email", "c@d.com")], "kind string, value string"), NOW)
+    policy = {"email": "redact", "ssn": "redact"}
+    plain = {("mail [email]",), ("mail [email] now",), ("nothing to see in here",), ("ssn [ssn]",), (None,)}
+    assert {tuple(r) for r in pipeline.protect(df, policy, salt="s").select("output").collect()} == plain
+    with_lookups = {tuple(r) for r in pipeline.protect(df, policy, salt="s", vault=empty_vault, consents=live, now=NOW).select("output").collect()}
+    assert with_lookups == plain - {("mail [email] now",)} | {("mail c@d.com now",)}
+    assert pipeline.protect(df, policy, salt="s", deduplicate=False).count() == len(LEAKY)
+    tokens = [r[0] for r in pipeline.protect(df, {"ssn": "redact"}, salt="s", deduplicate=False).where("output LIKE 'mail%'").select("output").collect()]
+    assert len(set(tokens)) == 2 and all(t.startswith("mail [email:") for t in tokens)
+
+
+def test_rows_without_or_with_equal_ids_are_resolved_each_by_itself(spark):
+    ids = [r[0] for r in spark.range(2).select(fn.reference_id("s", F.lit("cc"), F.col("id").cast("string"))).collect()]
+    held = spark.createDataFrame([(f"cc:{ids[0]}", "v0", 1, 1), (f"cc:{ids[1]}", "v1", 1, 1)], VAULT)
+    df = spark.createDataFrame([(None, f"a [cc:{ids[0]}]"), (None, f"b [cc:{ids[1]}]"), (1, f"c [cc:{ids[1]}]"), (1, "d [cc]")], "id long, text string")
+    assert sorted(str(r["output"]) for r in pipeline.resolve(df, held).collect()) == ["None", "a v0", "b v1", "c v1"]
+    out = sorted(r["output"] for r in pipeline.inbound(df, held, {}, salt="s").collect())
+    assert out == ["a v0", "b v1", "c v1", "d [cc]"]
+    bodies = spark.createDataFrame([(None, '{"x":"A"}'), (None, '{"x":"B"}'), (1, '{"x":"A"}'), (1, "none")], "id long, body string")
+    low = structured.transform_bodies(bodies, lambda d: d.select("id", F.lower("text").alias("output")))
+    assert sorted((str(r["id"]), r["body"]) for r in low.collect()) == [("1", "none"), ("1", '{"x":"a"}'), ("None", '{"x":"a"}'), ("None", '{"x":"b"}')]
+
+
+def test_tokenizing_needs_a_salt(spark):
+    with pytest.raises(ValueError, match="salt"):
+        pipeline.protect(texts(spark, "a@b.co"), {})
+    assert pipeline.protect(texts(spark, "a@b.co"), {}, "redact").first()["output"] == "[email]"
+
+
+def test_protecting_shuffles_no_text(spark, data):
+    from maskwright.plans.queries import QUERIES
+
+    plan = QUERIES["tokenize_documents"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and plan.count("FileScan") == 1
+
+
+def test_many_spans_cost_no_more_than_the_text(spark):
+    import time
+
+    many = " ".join(f"a{k}@b.co" for k in range(5_000))
+    df = texts(spark, many, many + " x")
+    began = time.time()
+    out = pipeline.protect(df, {}, "redact").collect()[0]["output"]
+    assert out == " ".join(["[email]"] * 5_000)
+    assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("kind", ["bytes", "events"])
+def test_chunks_in_batch(spark, kind):
+    body = ("é mail a@b.co and so on " * 9).encode() if kind == "bytes" else b'data: {"text":"a@b.co"}\n\n' * 9
+    rows = [(s, k, body[k : k + 7]) for s in ("s", "t") for k in range(0, len(body), 7)]
+    df = spark.createDataFrame(rows, "stream_id string, seq long, chunk binary").repartition(5)
+    got: dict = {}
+    for r in sorted(streams.transform_chunks(df, lambda t: t.replace("a@b.co", "[email]"), kind).collect(), key=lambda r: (r["stream_id"], r["seq"])):
+        got[r["stream_id"]] = got.get(r["stream_id"], b"") + bytes(r["chunk"])
+    assert set(got) == {"s", "t"} and got["s"] == got["t"]
+    if kind == "events":
+        assert got["s"].decode() == 'data: {"text":"[email]"}\n\n' * 9
+    else:
+        assert got["s"].decode().count("mail") >= 9 and "é" in got["s"].decode()
+
+
+def test_event_sink_of_a_stream(spark, tmp_path):
+    rows = [(f"op{k}", s, "info", "detection", "email", None, "detected", "m") for k in range(3) for s in range(2)]
+    schema = "operation_id string, seq int, level string, event_type string, kind string, reference string, action string, message string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    query = streams.write_events(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "check"), lambda: NOW)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    log = spark.read.parquet(str(tmp_path / "log")).orderBy("id").collect()
+    assert len(log) == 6 and len({r["id"] for r in log}) == 6 and all(r["timestamp"] == NOW for r in log)
+    for k in range(3):
+        ids = [r["id"] for r in log if r["operation_id"] == f"op{k}"]
+        assert ids[1] - ids[0] == 1
+
+
+def test_log_ids_follow_time(spark):
+    made = spark.createDataFrame([(f"o{k}", s, "info", "x", None, None, None, "") for k in range(50) for s in range(3)], "operation_id string, seq int, level string, event_type string, kind string, reference string, action string, message string")
+    first, second = ([r["id"] for r in events.log_rows(made, now).collect()] for now in (NOW, NOW + 1))
+    assert sorted(first) == list(range(min(first), min(first) + 150)) and max(first) < min(second)
+
+
+def test_connection_header_in_any_case(spark):
+    from maskwright.functions import headers
+
+    held = F.create_map(*[F.lit(x) for x in ("Connection", "X-Gone", "x-gone", "1", "X-Stay", "2", "Digest", "3")])
+    row = spark.range(1).select(headers.forwarded(held, F.lit(False)).alias("q"), headers.returned(held).alias("r")).first()
+    assert set(row["q"]) == {"X-Stay", "Digest"} and set(row["r"]) == {"X-Stay"}
