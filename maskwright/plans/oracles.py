@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from ..functions import detect
+from ..functions.scalars import BASE58
+
 SEP = "chr(31)"
-E = r"[A-Za-z0-9._%+\-]+[ \t\r\n]*@[ \t\r\n]*[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+|[ \t\r\n]+\.[ \t\r\n]*[A-Za-z0-9\-]+)+"
-P = r"\+[1-9]\d{6,14}|\b(?:\(\d{3}\)\s?|\d{3}[\-.])\d{3}[\-.]\d{4}\b"
-S = r"\b\d{3}-\d{2}-\d{4}\b"
-C = r"\b(?:\d{4}[\s\-]?){3}\d{4}\b"
+#: The engine's patterns; DuckDB's are Unicode-aware without the flag.
+E, P, S, C = (p.removeprefix("(?U)") for p in (detect.EMAIL, detect.PHONE, detect.SSN, detect.CARD))
 DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
 LUHN = f"""(len({DIGITS}) BETWEEN 13 AND 19 AND regexp_matches({DIGITS}, '[1-9]') AND list_sum(list_transform(range(len({DIGITS})),
   lambda k: CASE WHEN k % 2 = 1 THEN (CASE WHEN 2 * CAST({DIGITS}[len({DIGITS}) - k] AS INT) > 9 THEN 2 * CAST({DIGITS}[len({DIGITS}) - k] AS INT) - 9
@@ -56,7 +57,7 @@ def spliced(reps: str) -> str:
       || decode(encode(s.text)[l.b[len(l.b)] + 1:octet_length(encode(s.text))]) END AS output FROM src s LEFT JOIN lists l ON l.id = s.id)"""
 
 
-ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+ALPHABET = BASE58
 
 
 def reference_id(salt: str, kind: str, value: str) -> str:
