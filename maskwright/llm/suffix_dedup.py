@@ -12,9 +12,10 @@ rank is a name of the bytes that all strings of the block share:
   blocks shrink to 32, 8 and 1 positions) and rank each block by its parent's
   rank and the further bytes.
 
-In each round Spark sorts (rank, position) rows; blocks whose rank is unique
-hold no repeat and drop out, blocks that equal an earlier one in all bytes of
-all their strings are copies, and only the rest goes on. Texts move once, into
+In each round Spark brings equal ranks together (sorted in round 0, grouped by
+hash later); blocks whose rank is unique hold no repeat and drop out, blocks
+that equal an earlier one in all bytes of all their strings are copies, and
+only the rest goes on. A rank is a 64-bit name, not a place in a sorted list. Texts move once, into
 a table bucketed by document, where later rounds read them in place.
 """
 
