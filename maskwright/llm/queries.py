@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, line_dedup, packing, pii, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_records
+from . import decontamination, licenses, line_dedup, packing, pii, quality_classifier, quality_rules, ranked_search, sharding, simhash, suffix_dedup, token_records
 from ._shared import table
 
 
@@ -52,6 +52,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_lines(table(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -59,7 +63,7 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = (
     op1_sharding, op2_suffix_dedup, op3_token_records, op4_packing, op5_simhash, op6_pii,
-    op7_quality_rules, op8_decontamination, op9_licenses, op10_quality_classifier, op13_line_dedup,
+    op7_quality_rules, op8_decontamination, op9_licenses, op10_quality_classifier, op12_ranked_search, op13_line_dedup,
 )
 
 
@@ -69,4 +73,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Those that DuckDB can express; tests hold the others against brute force and round trips."""
-    return {"op13_line_dedup": line_dedup.ORACLE}
+    return {"op12_ranked_search": ranked_search.ORACLE, "op13_line_dedup": line_dedup.ORACLE}
