@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, line_dedup, packing, pii, quality_classifier, quality_rules, ranked_search, sharding, simhash, suffix_dedup, token_records
+from . import decontamination, licenses, line_dedup, packing, pii, quality_classifier, quality_rules, ranked_search, sharding, simhash, spelling, suffix_dedup, token_records
 from ._shared import table
 
 
@@ -52,6 +52,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), min_chars=5, min_count=3, ratio=2)
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
@@ -63,7 +67,7 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = (
     op1_sharding, op2_suffix_dedup, op3_token_records, op4_packing, op5_simhash, op6_pii,
-    op7_quality_rules, op8_decontamination, op9_licenses, op10_quality_classifier, op12_ranked_search, op13_line_dedup,
+    op7_quality_rules, op8_decontamination, op9_licenses, op10_quality_classifier, op11_spelling, op12_ranked_search, op13_line_dedup,
 )
 
 
