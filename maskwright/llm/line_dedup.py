@@ -7,6 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _shared as S
+
 #: What a key is stripped of at both ends.
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -48,7 +50,7 @@ def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     lines = lines.select("doc_id", "t1", "t2", "pos", *hashes(F.col("key"), "h1", "h2"))
 
     held = lines.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
-    common = held.where(F.col("n") >= min_docs).select("h1", "h2", "last")
+    common = S.save(held.where(F.col("n") >= min_docs).select("h1", "h2", "last"), "common-lines")  # read again, so that the join below may split a hot key
     gone = lines.join(common, ["h1", "h2"]).where("doc_id IS NULL OR doc_id < last").groupBy("doc_id", "t1", "t2").agg(F.collect_set("pos").alias("gone"))
 
     gone = gone.select(F.col("doc_id").alias("g_id"), F.col("t1").alias("g1"), F.col("t2").alias("g2"), "gone")
