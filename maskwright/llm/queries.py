@@ -77,4 +77,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Those that DuckDB can express; tests hold the others against brute force and round trips."""
-    return {"op12_ranked_search": ranked_search.ORACLE, "op13_line_dedup": line_dedup.ORACLE}
+    return {"op11_spelling": spelling.ORACLE, "op12_ranked_search": ranked_search.ORACLE, "op13_line_dedup": line_dedup.ORACLE}

@@ -24,7 +24,7 @@ def test_stages_take_effect_and_keep_columns(spark, data):
 
 def test_run_and_names(spark, data):
     assert corpus_pipeline.run(spark, data).count() > 0
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 14)]
     assert simhash.fingerprint("") == 0
 
 
