@@ -269,9 +269,11 @@ def render_template(template: Column, **values: Column) -> Column:
 
 
 def protection_enabled(state: Column) -> Column:
-    """The JSON flag ``enabled``, else the old text form; on where nothing is said."""
-    flag = F.get_json_object(state, "$.enabled")
-    return F.when(flag.isin("true", "false"), flag == "true").otherwise(F.coalesce(F.lower(F.regexp_replace(state, r"^\s+|\s+$", "")) != "disabled", F.lit(True)))
+    """The JSON boolean ``enabled``, else the old text form; on where neither says off."""
+    flag = F.try_variant_get(F.try_parse_json(state), "$.enabled", "string")
+    typed = F.schema_of_variant(F.try_variant_get(F.try_parse_json(state), "$.enabled", "variant")) == "BOOLEAN"
+    old = F.coalesce(F.lower(F.regexp_replace(state, r"^\s+|\s+$", "")) != "disabled", F.lit(True))
+    return F.when(F.coalesce(typed, F.lit(False)), flag == "true").otherwise(old)
 
 
 def route_readiness(known: Column, protocol: Column) -> Column:

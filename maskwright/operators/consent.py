@@ -53,17 +53,6 @@ def with_status(consents: DataFrame, now: int) -> DataFrame:
     return consents.withColumn("status", fn.consent_status(F.col("revoked_at"), F.col("expires_at"), F.lit(now)))
 
 
-def override(decisions: DataFrame, live: DataFrame) -> DataFrame:
-    """Exploded decisions (kind, value, action) with consents applied: action becomes allow, consent_id is added.
-
-    Blocked values are never looked up. The consents are joined by key; Spark
-    broadcasts them only when their size allows it.
-    """
-    wanted = decisions.withColumn("value_fingerprint", F.when(F.col("action") != "block", fn.fingerprint(F.col("kind"), F.col("value"))))
-    joined = wanted.join(live, ["kind", "value_fingerprint"], "left")
-    return joined.withColumn("action", F.when(F.col("consent_id").isNotNull(), "allow").otherwise(F.col("action"))).drop("value_fingerprint")
-
-
 def listed(consents: DataFrame, page: int | None = None) -> DataFrame:
     """Newest first, ties by id; the first ``page`` of them if given."""
     rows = consents.orderBy(F.desc("created_at"), "id")

@@ -62,17 +62,16 @@ def request_message(**counters: Column) -> Column:
     return F.concat_ws(" ", *[F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in counters.items()])
 
 
-#: Events of one second that ids leave room for, and blocks that an append is numbered in.
-ROOM, BLOCKS = 1 << 29, 4096
+#: Blocks that an append is numbered in.
+BLOCKS = 4096
 
 
-def log_rows(events: DataFrame, now: int) -> DataFrame:
-    """Rows for the event log. Ids rise with the time of the append, then keep each operation's events together in their order.
+def log_rows(events: DataFrame, now: int, first_id: int = 0) -> DataFrame:
+    """Rows for the event log, numbered without gaps from ``first_id``; an operation's events keep together and in order.
 
-    An id is the second of the append times ROOM plus a gapless number.
     Operations are dealt to blocks by a hash, each block is numbered on its own
     and moved on by the sizes of the blocks before it, so no task sees the
-    whole append. Append once a second at most, or ids repeat.
+    whole append. `operators.event_log` reserves ranges of ids.
     """
     block = F.pmod(F.xxhash64("operation_id", F.floor(F.col("seq") / 65_536)), F.lit(BLOCKS))
     held = events.withColumn("__block", block)
@@ -80,7 +79,7 @@ def log_rows(events: DataFrame, now: int) -> DataFrame:
     starts = held.groupBy("__block").agg(F.count("*").alias("__n")).select("__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     row = F.row_number().over(Window.partitionBy("__block").orderBy("operation_id", "seq")) - 1
     placed = held.withColumn("__row", row).join(starts, "__block")
-    id_ = F.lit(now).cast("long") * F.lit(ROOM) + F.col("__start") + F.col("__row")
+    id_ = F.lit(first_id).cast("long") + F.col("__start") + F.col("__row")
     return placed.select(id_.alias("id"), F.lit(now).cast("long").alias("timestamp"), "operation_id", "level", "event_type", "kind", "reference", "action", "message")
 
 

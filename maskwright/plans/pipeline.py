@@ -17,6 +17,7 @@ from ..functions.detect import detections, may_hold
 from ..operators import consent as consents_
 from ..operators import policy as policies
 from ..operators import vault as vaults
+from ..sources.shared import kept
 
 DECISION = "array<struct<kind:string,start:int,end:int,value:string,action:string,consent_id:string,ref_id:string>>"
 FOUND = "array<struct<kind:string,canonical:string,consent_id:string,known_id:string>>"
@@ -35,30 +36,36 @@ def decided(df: DataFrame, policy: policies.Policy, default: str = "tokenize", c
 
     References of new values are salted hashes, so equal values meet in one
     reference without a lookup; the salt must be given wherever something may
-    be tokenized, or the hashes could be searched for known addresses.
+    be tokenized, or the hashes could be searched for known addresses. Without
+    ``deduplicate`` the hash takes in the row's own number, too.
+
+    Where the vault or consents are asked, texts that may hold something are
+    searched once and kept; only those that hold something meet the answers.
     """
     if not salt and (callable(policy) or "tokenize" in {policy.get(k, default) for k in fn.KINDS}):
         raise ValueError("tokenizing needs a salt")
     text = F.col(text_col)
+    columns = df.columns
+    if not deduplicate:
+        df = df.withColumn("__row", F.monotonically_increasing_id())
     spans = policies.decide(detections(text, related), policy, default)
-    own = (F.coalesce(F.col(id_col).cast("string"), F.lit("")),) if not deduplicate else ()
     known = vault is not None and deduplicate
 
     def one(s: Column, hit: Column | None) -> Column:
         action = s["action"] if hit is None else F.when((s["action"] != "block") & hit["consent_id"].isNotNull(), "allow").otherwise(s["action"])
-        more = (*own, s["start"].cast("string")) if not deduplicate else ()
-        new_id = fn.reference_id(salt, s["kind"], fn.canonical(s["kind"], s["value"]), *more)
+        own = () if deduplicate else (F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("__row").cast("string"), s["start"].cast("string"))
+        new_id = fn.reference_id(salt, s["kind"], fn.canonical(s["kind"], s["value"]), *own)
         ref = new_id if hit is None or not known else F.coalesce(hit["known_id"], new_id)
         consent = F.lit(None).cast("string") if hit is None else F.when(s["action"] != "block", hit["consent_id"])
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), action.alias("action"), consent.alias("consent_id"), F.when(action == "tokenize", ref).alias("ref_id"))
 
     if consents is None and not known:
-        return df.withColumn("__decisions", F.transform(spans, lambda s: one(s, None)).cast(DECISION))
+        return df.withColumn("__decisions", F.transform(spans, lambda s: one(s, None)).cast(DECISION)).select(*columns, "__decisions")
 
-    content = F.sha2(F.concat_ws("\x1f", text, F.lit("") if related is None else F.array_join(related, ",")), 256)
-    held = df.withColumn("__content", content)
     some = may_hold(text, related)
-    values = held.where(some).select("__content", F.explode(spans).alias("s")).where("s.action <> 'block'" if not known else "true")
+    searched = kept(df.where(some).withColumn("__spans", spans))
+    held = searched.where(F.size("__spans") > 0).withColumn("__content", F.sha2(F.to_json("__spans"), 256))
+    values = held.select("__content", F.explode("__spans").alias("s")).where("s.action <> 'block'" if not known else "true")
     asked = values.select("__content", F.col("s.kind").alias("kind"), fn.canonical(F.col("s.kind"), F.col("s.value")).alias("canonical")).distinct()
     if consents is None:
         asked = asked.withColumn("consent_id", F.lit(None).cast("string"))
@@ -76,7 +83,11 @@ def decided(df: DataFrame, policy: policies.Policy, default: str = "tokenize", c
         hit = fn.let(fn.canonical(s["kind"], s["value"]), lambda v: F.get(F.filter("__found", lambda h: (h["kind"] == s["kind"]) & (h["canonical"] == v)), F.lit(0)))
         return fn.let(hit, lambda h: one(s, h))
 
-    return _met(held, some, found, "__found", FOUND).withColumn("__decisions", F.transform(spans, with_hit).cast(DECISION)).drop("__found")
+    met = held.join(found, "__content", "left").withColumn("__decisions", F.transform("__spans", with_hit).cast(DECISION))
+    none = F.array().cast(DECISION)
+    empty = searched.where(F.size("__spans") == 0).withColumn("__decisions", none)
+    rest = df.where(~some).withColumn("__decisions", none)
+    return met.select(*columns, "__decisions").unionByName(empty.select(*columns, "__decisions")).unionByName(rest.select(*columns, "__decisions"))
 
 
 def decide(df: DataFrame, policy: policies.Policy, default: str = "tokenize", consents: DataFrame | None = None, now: int = 0, vault: DataFrame | None = None, salt: str = "", related: Column | None = None, id_col: str = "id", text_col: str = "text", deduplicate: bool = True) -> DataFrame:
@@ -207,12 +218,20 @@ def resolve(df: DataFrame, vault: DataFrame, failed: DataFrame | None = None, st
 
 
 def inbound(df: DataFrame, vault: DataFrame, policy: policies.Policy, resolve_first: bool = True, protect_too: bool = True, id_col: str = "id", text_col: str = "text", **options) -> DataFrame:
-    """(id, output) of inbound texts: resolved where a reference resolves, else protected, else as they are."""
-    out, choices = df, []
-    if resolve_first:
-        out = resolved(out, vault, text_col=text_col)
-        choices.append(F.col("__resolved.output"))
+    """(id, output) of inbound texts: resolved where a reference resolves, else protected, else as they are.
+
+    Only texts without a resolved reference are searched and protected.
+    """
+    out = F.col(id_col).alias("id")
+    if not resolve_first:
+        left, done = df, None
+    else:
+        tried = kept(resolved(df, vault, text_col=text_col).withColumn("__out", F.col("__resolved.output")).select(*df.columns, "__out"))
+        done = tried.where("__out IS NOT NULL").select(out, F.col("__out").alias("output"))
+        left = tried.where("__out IS NULL").drop("__out")
     if protect_too:
-        out = shielded(out, policy, text_col=text_col, vault=vault, id_col=id_col, **options)
-        choices.append(F.when(F.col("__protected.status") == "blocked", BLOCKED).otherwise(F.col("__protected.output")))
-    return out.select(F.col(id_col).alias("id"), F.coalesce(*choices, text_col).alias("output"))
+        held = shielded(left, policy, text_col=text_col, vault=vault, id_col=id_col, **options)
+        left = held.select(out, F.when(F.col("__protected.status") == "blocked", BLOCKED).otherwise(F.col("__protected.output")).alias("output"))
+    else:
+        left = left.select(out, F.col(text_col).alias("output"))
+    return left if done is None else done.unionByName(left)

@@ -9,7 +9,7 @@ from ..functions import headers, structured
 from ..functions import scalars as fn
 from ..functions.detect import detections
 from ..operators import traffic
-from ..streaming import streams
+from ..streaming import connections, streams
 from . import oracles as O
 from .queries import SALT, _read, _redacted, _split, query
 
@@ -79,7 +79,7 @@ def connect_states(spark, sf_dir):
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'close' WHEN o_orderkey % 12 = 1 AND o_custkey % 3 > 0 THEN 'transform' WHEN o_orderkey % 12 IN (8, 9, 10) THEN 'pass' ELSE 'close' END AS action FROM orders")
 def frame_actions(spark, sf_dir):
-    return _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), streams.frame_action(F.expr("o_custkey % 3 > 0"), F.expr("o_orderkey % 12"), F.expr("o_orderkey % 5 = 0")).alias("action"))
+    return _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), connections.frame_action(F.expr("o_custkey % 3 > 0"), F.expr("o_orderkey % 12"), F.expr("o_orderkey % 5 = 0")).alias("action"))
 
 
 HELD = "map('Host', 'h', 'X-Keep', c_name, 'Digest', 'd', CASE WHEN c_custkey % 2 = 0 THEN 'Connection' ELSE 'CONNECTION' END, CASE WHEN c_custkey % 3 = 0 THEN 'close, X-Gone' ELSE 'close' END, 'x-gone', 'g', 'Authorization', 'a', 'Accept-Encoding', 'br')"
@@ -237,7 +237,7 @@ def related_domains_by_conv(spark, sf_dir):
     """Every turn's own text names a site; later turns know it."""
     text = F.concat(F.col("text"), F.lit(" mail a@Site"), ((F.col("conv_id") + F.col("turn")) % 5).cast("string"), F.lit(".example.com or so"))
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
-    return streams.related_domains(rows).select("conv_id", "turn", F.array_join("related", ",").alias("related"))
+    return connections.related_domains(rows).select("conv_id", "turn", F.array_join("related", ",").alias("related"))
 
 
 GATED = "text || CASE WHEN turn >= 3 AND (conv_id + turn) % 4 = 0 THEN ' my ssn is 123-45-6789' WHEN turn = 0 THEN ' mail a@site.example.com' ELSE ' see site.example.com now' END"
@@ -248,7 +248,7 @@ def conversation_gate(spark, sf_dir):
     """Whole turns protected with the domains seen before; a blocked turn ends its conversation."""
     tail = F.when((F.col("turn") >= 3) & ((F.col("conv_id") + F.col("turn")) % 4 == 0), " my ssn is 123-45-6789").when(F.col("turn") == 0, " mail a@site.example.com").otherwise(" see site.example.com now")
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", tail).alias("text"))
-    return streams.protect_conversations(rows, {"ssn": "block"}, default="redact", salt=SALT).select("conv_id", "turn", "status", "output")
+    return connections.protect_conversations(rows, {"ssn": "block"}, default="redact", salt=SALT).select("conv_id", "turn", "status", "output")
 
 
 @query("SELECT c_custkey AS id, lower(c_mktsegment) || c_custkey % 3 || '.example.com' AS domain FROM customer UNION ALL SELECT c_custkey, lower(c_mktsegment) || c_custkey % 3 || '.example.com' FROM customer WHERE c_custkey % 2 = 0")
@@ -259,3 +259,22 @@ def related_domain_hits(spark, sf_dir):
     df = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), text.alias("text"), domain.alias("domain"))
     spans = df.select("id", F.explode(detections(F.col("text"), F.array(F.concat("domain", F.lit(".")), F.lit("bad_")))).alias("s"))
     return spans.select("id", fn.canonical(F.col("s.kind"), F.col("s.value")).alias("domain"))
+
+
+FRAME = """CASE WHEN turn % 5 = 4 AND conv_id % 3 = 0 THEN 9 WHEN turn = 6 AND conv_id % 5 = 0 THEN 8 WHEN turn = 5 AND conv_id % 7 = 0 THEN 2 ELSE 1 END"""
+SAID = """text || CASE WHEN turn >= 3 AND (conv_id + turn) % 4 = 0 THEN ' my ssn is 123-45-6789' WHEN turn = conv_id % 4 THEN ' mail a@site.example.com' ELSE ' see site.example.com now' END"""
+
+
+@query(f"""WITH f AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'client' ELSE 'server' END AS direction, {FRAME} AS opcode, text, turn >= 3 AND (conv_id + turn) % 4 = 0 AS bad FROM conversations),
+ e AS (SELECT conv_id, min(turn) AS last FROM f WHERE opcode IN (2, 8) OR opcode = 1 AND bad GROUP BY conv_id),
+ n AS (SELECT conv_id, min(turn) AS named FROM f WHERE turn = conv_id % 4 AND NOT bad AND opcode = 1 AND direction = 'client' GROUP BY conv_id)
+SELECT f.conv_id, f.turn, direction, CASE WHEN opcode = 2 THEN 'closed' WHEN opcode IN (8, 9) THEN 'passed' WHEN bad THEN 'blocked' ELSE 'protected' END AS status,
+ CASE WHEN opcode IN (8, 9) THEN text || CASE WHEN bad THEN ' my ssn is 123-45-6789' WHEN turn = f.conv_id % 4 THEN ' mail a@site.example.com' ELSE ' see site.example.com now' END
+ WHEN opcode = 2 OR bad THEN NULL ELSE text || CASE WHEN turn = f.conv_id % 4 THEN ' mail [email]' WHEN direction = 'server' AND turn > named THEN ' see [domain] now' ELSE ' see site.example.com now' END END AS output
+FROM f LEFT JOIN e ON e.conv_id = f.conv_id LEFT JOIN n ON n.conv_id = f.conv_id WHERE last IS NULL OR f.turn <= last""")
+def connection_frames(spark, sf_dir):
+    """Turns as frames of two directions: a block, a closing frame or a binary one in either ends both."""
+    rows = _read(spark, sf_dir, "conversations")
+    direction = F.when(F.col("role") == "user", "client").otherwise("server")
+    frames = rows.select("conv_id", "turn", direction.alias("direction"), F.lit(True).alias("fin"), F.expr(FRAME).alias("opcode"), F.lit(False).alias("compressed"), F.expr(SAID).alias("text"))
+    return connections.protect_connections(frames, {"ssn": "block"}, connection="conv_id", seq="turn", default="redact", salt=SALT)

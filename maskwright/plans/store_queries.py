@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import consent, events, vault
+from ..operators import consent, event_log, events, vault
+from ..sources.shared import fresh
 from . import oracles as O
 from . import pipeline, reports, views
 from .queries import ACTION, COMPOSED_SQL, CONSENT_SQL, LOG_SQL, NOW, OPEN, POLICY, SALT, STORE_SQL, TYPED_SQL, _composed, _consents, _log, _own_consents, _read, _split, _store, _typed_store, query
@@ -205,10 +206,13 @@ def consent_events(spark, sf_dir):
 
 
 @query(f"""WITH {O.spans(COMPOSED_SQL)}, n AS (SELECT id, count(*) AS k, count(DISTINCT CASE WHEN {ACTION(OPEN)} = 'tokenize' THEN kind || {O.canonical()} END) AS w FROM kept GROUP BY id)
-SELECT CAST({NOW} AS BIGINT) AS timestamp, sum(3 * k + w) AS n, CAST({NOW} AS BIGINT) * {events.ROOM} AS first_id, CAST({NOW} AS BIGINT) * {events.ROOM} + sum(3 * k + w) - 1 AS last_id, sum(3 * k + w) AS ids, count(*) AS operations FROM n""")
+SELECT CAST({NOW} AS BIGINT) AS timestamp, 2 * sum(3 * k + w) AS n, CAST(1 AS BIGINT) AS first_id, 2 * sum(3 * k + w) AS last_id, 2 * sum(3 * k + w) AS ids, count(*) AS operations FROM n""")
 def log_append(spark, sf_dir):
-    """Ids of an append: no gap, none twice, above those of any earlier second."""
-    rows = events.log_rows(events.protect_events(pipeline.protect(_composed(spark, sf_dir), OPEN, salt=SALT)), NOW)
+    """Two appends within one second, one of them again as after a crash: ids without gap or repeat, each event once."""
+    made, path = events.protect_events(pipeline.protect(_composed(spark, sf_dir), OPEN, salt=SALT)), fresh(spark, "log")
+    for batch, now in ((0, NOW), (1, NOW), (0, NOW + 9)):
+        event_log.append(made, path, "job", batch, now)
+    rows = event_log.read(spark, path)
     return rows.groupBy("timestamp").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.countDistinct("id").alias("ids"), F.countDistinct("operation_id").alias("operations"))
 
 

@@ -42,10 +42,6 @@ def write_snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
-
-
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
     """One row per app of a traffic profile's JSON, with the profile's default action."""
     profile = spark.read.schema(traffic.PROFILE).json(path, multiLine=True)

@@ -1,21 +1,15 @@
-"""Byte streams, event streams and conversations, in batch and as Structured Streaming."""
+"""Byte streams and event streams, in batch and as Structured Streaming."""
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import scalars as fn
-from ..functions.detect import detections
 from ..functions.structured import map_event_stream
-from ..operators.events import log_rows
-from ..plans import pipeline
 
 #: Bytes and events held back so that a value cut by a chunk's end is seen whole (fixed values).
 TAIL_BYTES, TAIL_EVENTS = 64, 4
@@ -96,7 +90,8 @@ def transform_chunks(chunks: DataFrame, f: Callable[[str], str], kind: str = "by
     """The batch twin over (stream_id, seq, chunk): (stream_id, seq, chunk) rewritten.
 
     Chunks are dealt by stream and pass in order; a task holds one stream's
-    tail at a time, however long the stream is.
+    tail at a time, however long the stream is. A chunk without a stream id is
+    a stream of its own.
     """
     step = STEPS[kind]
 
@@ -105,8 +100,8 @@ def transform_chunks(chunks: DataFrame, f: Callable[[str], str], kind: str = "by
         for batch in batches:
             rows = []
             for row in batch.itertuples(index=False):
-                if row.stream_id != stream:
-                    if stream is not None and (out := step(pending, b"", True, f)[0]):
+                if row.stream_id != stream or row.stream_id is None:
+                    if pending and (out := step(pending, b"", True, f)[0]):
                         rows.append((stream, at + 1, out))
                     stream, pending = row.stream_id, b""
                 at = row.seq
@@ -114,52 +109,9 @@ def transform_chunks(chunks: DataFrame, f: Callable[[str], str], kind: str = "by
                 if out:
                     rows.append((stream, at, out))
             yield pd.DataFrame(rows, columns=["stream_id", "seq", "chunk"])
-        if stream is not None and (out := step(pending, b"", True, f)[0]):
+        if pending and (out := step(pending, b"", True, f)[0]):
             yield pd.DataFrame([(stream, at + 1, out)], columns=["stream_id", "seq", "chunk"])
 
-    dealt = chunks.where("stream_id IS NOT NULL").repartition("stream_id").sortWithinPartitions("stream_id", "seq")
+    spread = F.when(F.col("stream_id").isNull(), F.xxhash64("seq", "chunk"))  # chunks of no stream gather nowhere
+    dealt = chunks.repartition(F.col("stream_id"), spread).sortWithinPartitions("stream_id", "seq")
     return dealt.select(F.col("stream_id").cast("string"), F.col("seq").cast("long"), "chunk").mapInPandas(run, OUTPUT)
-
-
-def write_events(events: DataFrame, path: str, checkpoint: str, now: Callable[[], int] | None = None) -> StreamingQuery:
-    """Start a stream of audit events (operation_id, seq, event columns) into the log at ``path``.
-
-    Each micro-batch becomes rows of the log; the batch number is part of
-    their place, so a batch that is run again writes the same rows.
-    """
-    clock = now or (lambda: int(time.time()))
-
-    def write(batch: DataFrame, number: int) -> None:
-        log_rows(batch, clock()).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
-
-
-def related_domains(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """Adds ``related``: the sorted domains of addresses in earlier turns of the conversation.
-
-    A conversation is reduced to its distinct domains with the turn that first
-    names each; turns meet only these, by key, and a long conversation is split
-    like any frequent key of a join. Messages without a conversation or a turn
-    stand alone.
-    """
-    emails = F.filter(detections(F.col(text)), lambda d: d["kind"] == "email")
-    own = F.transform(emails, lambda e: fn.canonical(F.lit("domain"), F.substring_index(fn.squeeze(e["value"]), "@", -1)))
-    named = messages.where(F.col(text).contains("@")).select(conversation, turn, F.explode(F.filter(own, lambda d: d.contains("."))).alias("__d"))
-    first = named.groupBy(conversation, "__d").agg(F.min(turn).alias("__t")).groupBy(conversation).agg(F.collect_list(F.struct("__t", "__d")).alias("__first"))
-    seen = F.filter("__first", lambda x: x["__t"] < F.col(turn))
-    related = F.coalesce(F.array_sort(F.transform(seen, lambda x: x["__d"])), F.array().cast("array<string>"))
-    return messages.join(first, conversation, "left").withColumn("related", related).select(*messages.columns, "related")
-
-
-def protect_conversations(messages: DataFrame, policy, conversation: str = "conv_id", turn: str = "turn", text: str = "text", **options) -> DataFrame:
-    """conv_id, turn, status, output: each message protected with the domains seen before; a block ends its conversation."""
-    known = related_domains(messages, conversation, turn, text)
-    done = pipeline.shielded(known, policy, related=F.col("related"), text_col=text, id_col=conversation, **options).select(conversation, turn, "__protected.status", "__protected.output")
-    first = done.where("status = 'blocked'").groupBy(conversation).agg(F.min(turn).alias("__end"))
-    return done.join(first, conversation, "left").where(F.col("__end").isNull() | (F.col(turn) <= F.col("__end")) | F.col(turn).isNull()).drop("__end")
-
-
-def frame_action(fin, opcode, compressed):
-    """What happens to a frame: only whole, plain text frames are transformed; other data frames close the connection."""
-    return F.when(compressed, "close").when((opcode == 1) & fin, "transform").when(opcode.isin(8, 9, 10), "pass").otherwise("close")

@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from maskwright.functions import scalars as fn
+from maskwright.functions import detect as detect_
 from maskwright.functions.detect import detections
 
 
@@ -55,6 +57,7 @@ def test_detection(detect, text, want):
 def test_related_domains(detect):
     assert detect("see site.org today", ["Site.Org.", "bad_name", "x"]) == [("domain", "site.org")]
     assert detect("see site.org today", []) == []
+    assert detect("a\t.\r\nco atr.nco", ["a.co"]) == [("domain", "a\t.\r\nco")]
 
 
 def test_null_text(spark):
@@ -156,3 +159,31 @@ def test_settings_and_states(spark, tmp_path):
     assert one(spark, fn.unsupported_encoding(F.col("s")), s="identity, gzip") is True
     assert one(spark, fn.is_event_stream(F.col("s")), s="Text/Event-Stream; charset=utf-8") is True
     assert one(spark, fn.render_template(F.col("s"), proxy_url=F.lit("u")), s="x {{proxy_url}}") == "x u"
+
+
+PIECES = ["a.co", "b.co", "sub.a.co", "A . Co", "a .co", "a. co", "b.c-d.co", "a", "co", ".", " ", "  ", "\n", "_", "-", "@", "é", "ſ.co", "K.co", "x@a.co", "\t.\r\n", ",", "(", "1.a.co", "..", "İ.co"]
+
+
+def test_many_domains_in_one_pass_are_those_of_the_patterns(spark):
+    """Boundaries that are used up, spaced dots, folded letters and long names, on texts made of their pieces."""
+    rnd = random.Random(11)
+    domains = ["a.co", "b.co", "sub.a.co", "b.c-d.co", "s.co", "k.co", "i.co", "co.a.co", "co.co", "a.co.b.co"]
+    texts = ["".join(rnd.choices(PIECES, k=rnd.randint(0, 14))) for _ in range(4000)]
+    df = spark.createDataFrame([(t, domains) for t in texts], "t string, d array<string>")
+    both = [F.array_sort(f(F.col("t"), F.col("d"))).alias(n) for f, n in ((detect_.domain_regex_matches, "slow"), (detect_.domain_matches, "quick"))]
+    rows = df.select("t", *both).collect()
+    assert all(r["slow"] == r["quick"] for r in rows) and sum(len(r["quick"]) for r in rows) > 1000
+
+
+def test_ten_thousand_domains_in_a_long_text(spark):
+    names = [f"host{k}.zone{k % 7}.example" for k in range(10_000)]
+    text = " ".join(f"see {n} and {n.replace('.', ' . ')}," for n in names) + " x" * 200_000 + " " + "y." * 20_000 + "z" * 100_000 + " host1.zone1.example.co"
+    df = spark.createDataFrame([(text, names)], "t string, d array<string>")
+    began = time.perf_counter()
+    got = df.select(detections(F.col("t"), F.col("d")).alias("s")).first()["s"]
+    assert len(got) == 20_000 and {s["kind"] for s in got} == {"domain"} and time.perf_counter() - began < 60
+    assert {fn_name(s["value"]) for s in got} == set(names)
+
+
+def fn_name(value):
+    return re.sub(r"\s", "", value)

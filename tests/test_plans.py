@@ -9,7 +9,7 @@ from maskwright.functions import rewrite, structured
 from maskwright.functions import scalars as fn
 from maskwright.operators import consent, events, traffic, vault
 from maskwright.plans import pipeline, reports, views
-from maskwright.streaming import streams
+from maskwright.streaming import connections, streams
 
 VAULT = "key string, value string, created_at long, updated_at long"
 NOW = 1_000_000
@@ -227,7 +227,7 @@ def test_stateful_stream(spark, tmp_path):
 
 def test_conversations(spark):
     rows = spark.createDataFrame([(1, 0, "a@site.org"), (1, 1, "see site.org now"), (1, 2, "ssn 123-45-6789"), (1, 3, "late"), (2, 0, "see site.org now")], "conv_id long, turn long, text string")
-    got = {(r["conv_id"], r["turn"]): (r["status"], r["output"]) for r in streams.protect_conversations(rows, {"ssn": "block"}, default="redact").collect()}
+    got = {(r["conv_id"], r["turn"]): (r["status"], r["output"]) for r in connections.protect_conversations(rows, {"ssn": "block"}, default="redact").collect()}
     assert got == {(1, 0): ("protected", "[email]"), (1, 1): ("protected", "see [domain] now"), (1, 2): ("blocked", None), (2, 0): ("protected", "see site.org now")}
 
 
@@ -315,28 +315,6 @@ def test_chunks_in_batch(spark, kind):
         assert got["s"].decode().count("mail") >= 9 and "é" in got["s"].decode()
 
 
-def test_event_sink_of_a_stream(spark, tmp_path):
-    rows = [(f"op{k}", s, "info", "detection", "email", None, "detected", "m") for k in range(3) for s in range(2)]
-    schema = "operation_id string, seq int, level string, event_type string, kind string, reference string, action string, message string"
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
-    query = streams.write_events(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "check"), lambda: NOW)
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    log = spark.read.parquet(str(tmp_path / "log")).orderBy("id").collect()
-    assert len(log) == 6 and len({r["id"] for r in log}) == 6 and all(r["timestamp"] == NOW for r in log)
-    for k in range(3):
-        ids = [r["id"] for r in log if r["operation_id"] == f"op{k}"]
-        assert ids[1] - ids[0] == 1
-
-
-def test_log_ids_follow_time(spark):
-    made = spark.createDataFrame([(f"o{k}", s, "info", "x", None, None, None, "") for k in range(50) for s in range(3)], "operation_id string, seq int, level string, event_type string, kind string, reference string, action string, message string")
-    first, second = ([r["id"] for r in events.log_rows(made, now).collect()] for now in (NOW, NOW + 1))
-    assert sorted(first) == list(range(min(first), min(first) + 150)) and max(first) < min(second)
-
-
 def test_connection_header_in_any_case(spark):
     from maskwright.functions import headers
 
