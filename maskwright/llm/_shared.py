@@ -49,15 +49,16 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-#: Tables saved inside `passing`, by application.
-_passing: dict[str, list[str]] = {}
-_open: list[list[str]] = []
+#: For each `made` block that is open: paths and catalog tables made inside it.
+_open: list[tuple[list[str], list[str]]] = []
 
 
-def _made(spark: SparkSession, label: str) -> str:
+def _made(spark: SparkSession, label: str, table_name: str | None = None) -> str:
     path = fresh_path(spark, label)
-    if _open:
-        _open[-1].append(path)
+    for paths, names in _open:
+        paths.append(path)
+        if table_name:
+            names.append(table_name)
     return path
 
 
@@ -73,7 +74,8 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by `save`."""
     context = spark.sparkContext
     folder = context._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
@@ -82,34 +84,33 @@ def _delete(spark: SparkSession, path: str) -> None:
 def discard(saved: DataFrame) -> None:
     """Delete a table made by `save`, once nothing reads it any more."""
     for path in {f.rsplit("/", 1)[0] for f in saved.inputFiles()}:
-        _delete(saved.sparkSession, path)
+        delete(saved.sparkSession, path)
 
 
 @contextlib.contextmanager
-def passing(docs: DataFrame) -> Iterator[None]:
-    """Tables saved inside serve one result only, which is written before the next such block begins.
+def made(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes, at its end, every table that was saved inside, so results must have been written elsewhere by then.
 
-    They are deleted when it begins, unless its ``docs`` still read them.
+    Gives the list of paths; one taken from the list stays. Nothing else
+    deletes what an open result reads.
     """
-    spark = docs.sparkSession
-    app = spark.sparkContext.applicationId
-    read = docs.inputFiles()
-    left = [p for p in _passing.get(app, []) if any(f.startswith(p) for f in read)]
-    for path in set(_passing.get(app, [])) - set(left):
-        _delete(spark, path)
-    made: list[str] = []
-    _open.append(made)
+    paths: list[str] = []
+    names: list[str] = []
+    _open.append((paths, names))
     try:
-        yield
+        yield paths
     finally:
-        _open.pop()
-        _passing[app] = left + made
+        _open.remove((paths, names))
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for path in paths:
+            delete(spark, path)
 
 
 def save_bucketed(df: DataFrame, key: str, n: int, label: str) -> DataFrame:
     """Write ``df`` into the shared folder in ``n`` buckets of ``key``: what groups or joins by it later does not move its rows."""
     spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).option("path", _made(spark, label)).option("compression", "zstd").saveAsTable(name)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", _made(spark, label, name)).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 

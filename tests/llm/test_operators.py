@@ -410,6 +410,54 @@ def test_near_copies_go_as_by_brute_force(spark):
     assert {r["doc_id"] for r in stage(spark, docs, "").collect()} == want
 
 
+def brute_jaccard(made):
+    sets = {i: set(near_copies.shingles(t).tolist()) for i, t in made.items()}
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    ids, root = sorted(made), {}
+
+    def top(i):
+        while root.get(i, i) != i:
+            i = root[i]
+        return i
+
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            if near(sets[i], sets[j]):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    return {top(i) for i in ids}
+
+
+@pytest.mark.parametrize(("own", "blocks"), [(48, (64, 1 << 20)), (48, (7, 1 << 20)), (38, (64, 1000)), (30, (64, 1 << 20))])
+def test_near_copies_that_share_boilerplate(spark, monkeypatch, own, blocks):
+    """Twins around the bound in buckets of hundreds of rows: what stays is what a comparison of all pairs leaves."""
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", blocks[0])
+    monkeypatch.setattr(near_copies, "BLOCK_HASHES", blocks[1])
+    rnd, made = random.Random(21), {}
+    shared = [f"b{k}" for k in range(400)]
+    for twin in range(60):
+        common = [f"c{twin}x{k}" for k in range(own // 4)]
+        for half in range(2):
+            made[2 * twin + half] = " ".join(shared + common + [f"d{rnd.getrandbits(40)}" for _ in range(own - own // 4)])
+    made |= {1000 + k: " ".join(shared[: 380 - k]) for k in range(12)}
+    want = brute_jaccard(made)
+    got = near_copies.keep_first(spark, spark.createDataFrame(rows_of(list(made.items())), SCHEMA))
+    assert {r["doc_id"] for r in got.collect()} == want
+
+
+def test_pairs_that_are_near_are_proposed(spark):
+    """Recall over pairs, not bands: links of all near pairs of different texts, in small buckets and large ones."""
+    rnd, texts = random.Random(4), []
+    shared = [f"b{k}" for k in range(300)]
+    for _ in range(150):
+        texts.append(" ".join(shared + [f"d{rnd.getrandbits(40)}" for _ in range(rnd.randrange(10, 45))]))
+    sets = [near_copies.shingles(t) for t in texts]
+    keys = [near_copies.band_keys(s) for s in sets]
+    near = [(i, j) for i in range(150) for j in range(i) if near_copies.similar(sets[i], sets[j])]
+    assert len(near) > 500 and sum((keys[i] == keys[j]).any() for i, j in near) >= 0.999 * len(near)
+    got = near_copies.keep_first(spark, spark.createDataFrame(rows_of(list(enumerate(texts))), SCHEMA))
+    assert {r["doc_id"] for r in got.collect()} == brute_jaccard(dict(enumerate(texts)))
+
+
 def test_near_copies_awkward(spark, awkward, empty):
     kept = [r["doc_id"] for r in near_copies.keep_first(spark, awkward).collect()]
     assert sorted(i for i in kept if i is not None) == [0, 1, 3, 6, 7, 9] and kept.count(None) == 1

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import pytest
@@ -22,8 +23,19 @@ def test_stages_take_effect_and_keep_columns(spark, data):
     assert {r["doc_id"] for r in placed} == {r["doc_id"] for r in rows}
 
 
+def test_results_of_one_stage_are_read_side_by_side(spark, data):
+    docs = _shared.table(spark, data, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        a, b = stage(spark, docs, data), stage(spark, docs.limit(50), data)
+        assert a.count() >= b.count() > 0, name
+
+
 def test_run_and_names(spark, data):
-    assert corpus_pipeline.run(spark, data).count() > 0
+    root = Path(_shared.shared_root(spark).removeprefix("file://"))
+    before, tables = set(root.iterdir()), len(spark.catalog.listTables())
+    out = corpus_pipeline.run(spark, data)
+    assert out.count() > 0 and len(spark.catalog.listTables()) == tables
+    assert [p.name.split("-")[0] for p in set(root.iterdir()) - before] == ["packing"]
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 14)]
     assert simhash.fingerprint("") == 0
 
