@@ -73,6 +73,75 @@ def decide(seen: DataFrame, rules: list[dict], default: str, enabled: set[str] |
     return seen.withColumn("__c", chosen).withColumn("app_id", F.col("__c.app_id")).withColumn("action", F.coalesce("__c.action", F.lit(default))).drop("__c")
 
 
+def _wide_or_exact(pattern: Column) -> Column:
+    """The key of a normalised domain pattern: a suffix, or a whole host."""
+    wide = pattern.startswith("*.") | pattern.startswith(".")
+    return F.struct(F.when(wide, "suffix").otherwise("host").alias("by"), F.regexp_replace(pattern, r"^\*?\.", "").alias("key"))
+
+
+def _path_key(prefix: Column) -> Column:
+    """As much of a path prefix as the largest power of two in its length."""
+    size = F.pow(F.lit(2), F.floor(F.log2(F.length(prefix)))).cast("int")
+    return F.struct(F.lit("path").alias("by"), F.left(prefix, size).alias("key"))
+
+
+def rule_keys(match: Column) -> Column:
+    """array<struct<by, key>>: one of these keys is among those of any observation that the rule matches.
+
+    They come from the rule's most telling filter; a rule without any has none.
+    """
+    some = lambda name: F.coalesce(F.size(match[name]), F.lit(0)) > 0
+    plain = lambda by, key: F.struct(F.lit(by).alias("by"), key.alias("key"))
+
+    def of_url(url: Column) -> Column:
+        return fn.let(F.trim(url), lambda u: F.when(u.startswith("/"), _path_key(u)).otherwise(_wide_or_exact(fn.normalize_host(u))))
+
+    return (
+        F.when(some("ips"), F.transform(match["ips"], lambda x: plain("host", fn.normalize_host(x))))
+        .when(some("domains"), F.transform(match["domains"], lambda x: fn.let(fn.normalize_host(x), _wide_or_exact)))
+        .when(some("urls"), F.transform(match["urls"], of_url))
+        .when(some("process_names"), F.transform(match["process_names"], lambda x: plain("process", F.lower(x))))
+        .when(some("ports"), F.transform(match["ports"], lambda x: plain("port", x.cast("string"))))
+        .when(some("protocols"), F.transform(match["protocols"], lambda x: plain("protocol", x)))
+    )
+
+
+def observation_keys(seen: Column) -> Column:
+    """All keys under which a rule that matches the observation may stand: a few for its labels, path and other fields."""
+    plain = lambda by, key: F.struct(F.lit(by).alias("by"), key.alias("key"))
+    labels = F.split(seen["host"], r"\.")
+    suffixes = fn.let(labels, lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: plain("suffix", F.array_join(F.slice(p, i, F.size(p)), "."))))
+    path = F.coalesce(seen["path"], F.lit(""))
+    sizes = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.length(path), F.lit(1)))).cast("int"))
+    prefixes = F.when(path != "", F.transform(sizes, lambda k: plain("path", F.left(path, F.pow(F.lit(2), k).cast("int")))))
+    others = F.array(plain("host", seen["host"]), plain("process", F.lower(seen["process_name"])), plain("port", seen["port"].cast("string")), plain("protocol", seen["protocol"]))
+    none = F.array().cast("array<struct<by:string,key:string>>")
+    return F.filter(F.concat(F.coalesce(suffixes, none), F.coalesce(prefixes, none), others), lambda k: k["key"].isNotNull())
+
+
+def decide_by_table(seen: DataFrame, rules: DataFrame, default: str, enabled: DataFrame | None = None) -> DataFrame:
+    """`decide` with the rules as a table (id, enabled, priority, ordinal, match, action), however many they are.
+
+    Each rule stands under the keys of its most telling filter, each distinct
+    observation under a few keys of its own; the two are joined on equal keys,
+    and the rules met are tested whole. Of rules with equal filters under one
+    key only the winner is kept. ``enabled`` (column id) restricts the rules.
+    """
+    live = rules.where(F.coalesce("enabled", F.lit(True)))
+    live = live if enabled is None else live.join(enabled.select("id").distinct(), "id", "left_semi")
+    keyed = live.select(F.struct("priority", "ordinal", "id", "action").alias("win"), "match", F.explode(F.array_distinct(rule_keys(F.col("match")))).alias("k"))
+    table = keyed.groupBy("k.by", "k.key", F.to_json("match").alias("filters")).agg(F.max("win").alias("win"), F.first("match").alias("match"))
+
+    fields = ("host", "path", "port", "protocol", "process_name")
+    observed = seen.withColumn("__o", F.struct(*fields)).withColumn("__k", F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256))
+    distinct = observed.groupBy("__k").agg(F.first("__o").alias("o"))
+    probes = distinct.select("__k", "o", F.explode(F.array_distinct(observation_keys(F.col("o")))).alias("k")).select("__k", "o", "k.by", "k.key")
+    met = probes.join(table, ["by", "key"]).where(rule_matches(F.col("match"), F.col("o")))
+    chosen = met.groupBy("__k").agg(F.max("win").alias("__w"))
+    done = observed.join(chosen, "__k", "left")
+    return done.select(*seen.columns, F.col("__w.id").alias("app_id"), F.coalesce("__w.action", F.lit(default)).alias("action"))
+
+
 def check_rules(rules: list[dict], enabled: set[str] | None = None) -> list[str]:
     """What is wrong with a profile's rules; empty if nothing is."""
     found, ids = [], [r.get("id", "") for r in rules]

@@ -31,7 +31,7 @@ def _met(df: DataFrame, some: Column, looked: DataFrame, name: str, type_: str)
     return asked.unionByName(df.where(~some).withColumn(name, F.lit(None).cast(type_))).drop("__content")
 
 
-def decided(df: DataFrame, policy: policies.Policy, default: str = "tokenize", consents: DataFrame | None = None, now: int = 0, vault: DataFrame | None = None, salt: str = "", related: Column | None = None, id_col: str = "id", text_col: str = "text", deduplicate: bool = True) -> DataFrame:
+def decided(df: DataFrame, policy: policies.Policy, default: str = "tokenize", consents: DataFrame | None = None, now: int | Column = 0, vault: DataFrame | None = None, salt: str = "", related: Column | None = None, id_col: str = "id", text_col: str = "text", deduplicate: bool = True) -> DataFrame:
     """``df`` with its decisions (column ``__decisions``): spans, actions with consents applied, and reference ids.
 
     References of new values are salted hashes, so equal values meet in one
@@ -39,7 +39,8 @@ def decided(df: DataFrame, policy: policies.Policy, default: str = "tokenize", c
     be tokenized, or the hashes could be searched for known addresses. Without
     ``deduplicate`` the hash takes in the row's own number, too.
 
-    Where the vault or consents are asked, texts that may hold something are
+    ``now`` is one time for all rows, or a column with each row's own; a
+    consent counts where it held then. Where the vault or consents are asked, texts that may hold something are
     searched once and kept; only those that hold something meet the answers.
     """
     if not salt and (callable(policy) or "tokenize" in {policy.get(k, default) for k in fn.KINDS}):
@@ -64,14 +65,17 @@ def decided(df: DataFrame, policy: policies.Policy, default: str = "tokenize", c
 
     some = may_hold(text, related)
     searched = kept(df.where(some).withColumn("__spans", spans))
-    held = searched.where(F.size("__spans") > 0).withColumn("__content", F.sha2(F.to_json("__spans"), 256))
-    values = held.select("__content", F.explode("__spans").alias("s")).where("s.action <> 'block'" if not known else "true")
-    asked = values.select("__content", F.col("s.kind").alias("kind"), fn.canonical(F.col("s.kind"), F.col("s.value")).alias("canonical")).distinct()
+    own_time = isinstance(now, Column)
+    moment = now.cast("long") if own_time else F.lit(None).cast("long")
+    held = searched.where(F.size("__spans") > 0).withColumn("__at", moment).withColumn("__content", F.sha2(F.to_json(F.struct("__spans", "__at")), 256))
+    values = held.select("__content", "__at", F.explode("__spans").alias("s")).where("s.action <> 'block'" if not known else "true")
+    asked = values.select("__content", F.col("__at").alias("at"), F.col("s.kind").alias("kind"), fn.canonical(F.col("s.kind"), F.col("s.value")).alias("canonical")).distinct()
     if consents is None:
         asked = asked.withColumn("consent_id", F.lit(None).cast("string"))
     else:
-        live = consents_.active(consents, now)
-        asked = asked.withColumn("value_fingerprint", fn.fingerprint(F.col("kind"), F.col("canonical"))).join(live, ["kind", "value_fingerprint"], "left").drop("value_fingerprint")
+        asked = asked.withColumn("value_fingerprint", fn.fingerprint(F.col("kind"), F.col("canonical")))
+        live = consents_.active_at(asked.where("at IS NOT NULL"), consents) if own_time else consents_.active(consents, now)
+        asked = asked.join(live, ["kind", "value_fingerprint", *(["at"] if own_time else [])], "left").drop("value_fingerprint")
     if known:
         refs = vaults.first_references(vault).select("kind", F.col("value").alias("canonical"), F.col("ref_id").alias("known_id"))
         asked = asked.join(refs, ["kind", "canonical"], "left")

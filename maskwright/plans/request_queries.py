@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import headers, structured
 from ..functions import scalars as fn
 from ..functions.detect import detections
-from ..operators import traffic
+from ..operators import consent, traffic
 from ..streaming import connections, streams
 from . import oracles as O
-from .queries import SALT, _read, _redacted, _split, query
+from .queries import NOW, SALT, _read, _redacted, _split, query
 
 # Requests
 
@@ -278,3 +278,41 @@ def connection_frames(spark, sf_dir):
     direction = F.when(F.col("role") == "user", "client").otherwise("server")
     frames = rows.select("conv_id", "turn", direction.alias("direction"), F.lit(True).alias("fin"), F.expr(FRAME).alias("opcode"), F.lit(False).alias("compressed"), F.expr(SAID).alias("text"))
     return connections.protect_connections(frames, {"ssn": "block"}, connection="conv_id", seq="turn", default="redact", salt=SALT)
+
+
+GRANTED = "concat('c', o_orderkey) AS id, 'email' AS kind, concat('f', o_custkey % 40) AS value_fingerprint, {now} + (o_orderkey * 7919) % 500000 AS created_at, 3600 + (o_orderkey * 31) % 200000 AS ttl, (o_orderkey * 13) % 90000 AS gone, o_orderkey % 5 = 0 AS revoked"
+MOMENTS = "concat('f', l_suppkey % 45) AS value_fingerprint, {now} + (l_orderkey * 104729 + l_linenumber * 7) % 700000 AS at"
+
+
+@query(f"""WITH c AS (SELECT *, created_at + ttl AS expires_at, CASE WHEN revoked THEN least(created_at + ttl, created_at + gone) ELSE created_at + ttl END AS until FROM (SELECT {GRANTED.format(now=NOW)} FROM orders)),
+ m AS (SELECT DISTINCT {MOMENTS.format(now=NOW)} FROM lineitem)
+SELECT 'email' AS kind, m.value_fingerprint, m.at, arg_max(c.id, (c.expires_at, c.id)) AS consent_id FROM m LEFT JOIN c ON c.value_fingerprint = m.value_fingerprint AND c.created_at <= m.at AND m.at < c.until GROUP BY ALL""")
+def consent_as_of(spark, sf_dir):
+    """The longest lasting of the consents that held at each moment."""
+    rows = _read(spark, sf_dir, "orders").selectExpr(*_split(GRANTED.format(now=NOW)))
+    revoked = F.when(F.col("revoked"), F.col("created_at") + F.col("gone"))
+    consents = rows.select("id", "kind", "value_fingerprint", F.lit(None).cast("string").alias("vault_key"), F.lit("global").alias("scope"), "created_at", (F.col("created_at") + F.col("ttl")).alias("expires_at"), revoked.alias("revoked_at"), F.lit("user").alias("created_by"), F.lit(None).cast("string").alias("reason"))
+    asked = _read(spark, sf_dir, "lineitem").selectExpr("'email' AS kind", *_split(MOMENTS.format(now=NOW)))
+    return consent.active_at(asked, consents)
+
+
+TABLE_HOST = "split_part(split_part(split_part(url, '://', 2), '/', 1), ':', 1)"
+
+
+@query(f"""WITH p AS (SELECT page_id, lower({TABLE_HOST}) AS host, CASE WHEN url LIKE 'https://%' THEN 'https' ELSE 'http' END AS protocol, nullif(regexp_extract(url, '^[a-z]+://[^/]*(/.+)$', 1), '') AS path FROM pages),
+ r AS (SELECT page_id AS ordinal, page_id % 7 AS priority, page_id % 4 AS form, host, path, substr(host, position('.' IN host) + 1) AS zone FROM p WHERE page_id % 2 = 0),
+ m AS (SELECT p.page_id, r.* FROM p JOIN r ON form = 0 AND p.host = r.host UNION ALL SELECT p.page_id, r.* FROM p JOIN r ON form = 2 AND contains(r.host, '.') AND (p.host = zone OR ends_with(p.host, '.' || zone)) AND starts_with(p.path, left(r.path, 6)))
+SELECT p.page_id AS id, 'r' || arg_max(m.ordinal, (m.priority, m.ordinal)) AS app_id FROM p LEFT JOIN m ON m.page_id = p.page_id GROUP BY p.page_id""")
+def traffic_rule_table(spark, sf_dir):
+    """As many rules as half of the pages: their hosts, and their zones with the beginning of a path."""
+    pages = traffic.observations(_read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url"))
+    rows = pages.where("id % 2 = 0")
+    zone = F.expr("substring(host, instr(host, '.') + 1)")
+    none = lambda t="string": F.array().cast(f"array<{t}>")
+    zoned = F.when(F.col("host").contains(".") & F.col("path").isNotNull(), F.array(F.concat(F.lit("*."), zone)))
+    match = F.struct(
+        F.when(F.col("id") % 4 == 0, F.array(F.upper("host"))).otherwise(zoned).alias("domains"), none().alias("ips"), F.when(F.col("id") % 4 == 2, F.array(F.left("path", F.lit(6)))).otherwise(none()).alias("urls"),
+        none("int").alias("ports"), none().alias("protocols"), none().alias("process_names"),
+    )
+    rules = rows.select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("id"), F.lit(True).alias("enabled"), (F.col("id") % 7).cast("int").alias("priority"), F.col("id").alias("ordinal"), match.alias("match"), F.lit("inspect").alias("action"))
+    return traffic.decide_by_table(pages, rules, "allow").select("id", "app_id")
