@@ -8,6 +8,8 @@ and only texts that may hold something meet what comes back.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from ..functions.detect import detections, may_hold
 from ..operators import consent as consents_
 from ..operators import policy as policies
 from ..operators import vault as vaults
+from ..operators import vault_client
 from ..sources.shared import kept
 
 DECISION = "array<struct<kind:string,start:int,end:int,value:string,action:string,consent_id:string,ref_id:string>>"
@@ -126,18 +129,24 @@ def expand_allowed(df: DataFrame, vault: DataFrame, consents: DataFrame, now: in
     return met.withColumn(text_col, F.when(F.col("__found").isNull(), F.col(text_col)).otherwise(new)).select(*df.columns)
 
 
-def plan(decisions: Column, vault_available: Column | None = None) -> Column:
-    """struct(replacements, vault_failures, blocked) of a text's decisions."""
-    up = F.lit(True) if vault_available is None else F.coalesce(vault_available, F.lit(True))
+Available = Column | Callable[[Column], Column]
+
+
+def plan(decisions: Column, vault_available: Available | None = None) -> Column:
+    """struct(replacements, vault_failures, blocked) of a text's decisions; ``vault_available`` holds for a row, or is asked for each decision."""
+
+    def up(d: Column) -> Column:
+        told = vault_available(d) if callable(vault_available) else vault_available
+        return F.lit(True) if told is None else F.coalesce(told, F.lit(True))
 
     def replaced(d: Column) -> Column:
-        tokenized = (d["action"] == "tokenize") & up
+        tokenized = (d["action"] == "tokenize") & up(d)
         mode = F.when(d["action"] == "redact", "redacted").when(tokenized, "tokenized").otherwise("redact_only_fallback")
         text = F.when(tokenized, fn.reference_display(d["kind"], d["ref_id"])).otherwise(fn.placeholder(d["kind"]))
         return F.struct(d["start"].alias("start"), d["end"].alias("end"), text.alias("text"), mode.alias("mode"), d["kind"].alias("kind"), F.when(tokenized, d["ref_id"]).alias("ref_id"))
 
     changed = F.filter(decisions, lambda d: d["action"].isin("tokenize", "redact"))
-    failed = F.filter(decisions, lambda d: (d["action"] == "tokenize") & ~up)
+    failed = F.filter(decisions, lambda d: (d["action"] == "tokenize") & ~up(d))
     failures = F.array_distinct(F.transform(failed, lambda d: F.struct(d["kind"].alias("kind"), fn.canonical(d["kind"], d["value"]).alias("value"))))
     blocked = F.filter(decisions, lambda d: d["action"] == "block")
     return F.struct(
@@ -147,11 +156,12 @@ def plan(decisions: Column, vault_available: Column | None = None) -> Column:
     )
 
 
-def shielded(df: DataFrame, policy: policies.Policy, vault_available: Column | None = None, text_col: str = "text", **options) -> DataFrame:
+def shielded(df: DataFrame, policy: policies.Policy, vault_available: Available | None = None, text_col: str = "text", **options) -> DataFrame:
     """``df`` with the column ``__protected``: struct(status, output, decisions, plan), all made in the row."""
-    up = F.lit(True) if vault_available is None else vault_available
-    rows = decided(df, policy, text_col=text_col, **options)
+    return _shielded(decided(df, policy, text_col=text_col, **options), vault_available, text_col)
+
 
+def _shielded(rows: DataFrame, up: Available | None, text_col: str) -> DataFrame:
     def made(d: Column) -> Column:
         blocked = F.exists(d, lambda x: x["action"] == "block")
 
@@ -165,6 +175,39 @@ def shielded(df: DataFrame, policy: policies.Policy, vault_available: Column | N
     return rows.withColumn("__protected", fn.let(F.col("__decisions"), made)).drop("__decisions")
 
 
+def protect_through(df: DataFrame, policy: policies.Policy, connect: vault_client.Connect, id_col: str = "id", text_col: str = "text", batch: int = vault_client.BATCH, **options) -> DataFrame:
+    """`protect` with a vault behind a client: id, status, output, decisions, plan.
+
+    The distinct values that unblocked texts would tokenize are put in batches,
+    each once; a value that could not be stored is redacted wherever it stands
+    (mode redact_only_fallback), with one failure in each text. Values that the
+    store knows take its ids.
+    """
+    rows = kept(decided(df, policy, id_col=id_col, text_col=text_col, **options))
+    open_ = F.exists("__decisions", lambda d: d["action"] == "tokenize") & ~F.exists("__decisions", lambda d: d["action"] == "block")
+    asking = rows.where(open_).withColumn("__content", F.sha2(F.to_json("__decisions"), 256))
+    flat = asking.select("__content", F.explode("__decisions").alias("d")).where("d.action = 'tokenize'")
+    wanted = flat.select("__content", F.col("d.kind").alias("kind"), fn.canonical(F.col("d.kind"), F.col("d.value")).alias("value"), "d.ref_id").distinct()
+    stored = vault_client.put_values(wanted, connect, batch)
+    found = wanted.join(stored, ["kind", "value"]).groupBy("__content").agg(F.collect_list(F.struct("kind", "value", "stored_id")).alias("__stored"))
+
+    def named(d: Column) -> Column:
+        hit = fn.let(fn.canonical(d["kind"], d["value"]), lambda v: F.get(F.filter("__stored", lambda h: (h["kind"] == d["kind"]) & (h["value"] == v)), F.lit(0)))
+        ref = F.when(d["action"] == "tokenize", hit["stored_id"])
+        return F.struct(*[d[c].alias(c) for c in ("kind", "start", "end", "value", "action", "consent_id")], ref.alias("ref_id"))
+
+    met = asking.join(found, "__content").withColumn("__decisions", F.transform("__decisions", named).cast(DECISION))
+    every = met.select(*df.columns, "__decisions").unionByName(rows.where(~open_).select(*df.columns, "__decisions"))
+    return _shielded(every, lambda d: d["ref_id"].isNotNull(), text_col).select(F.col(id_col).alias("id"), "__protected.*")
+
+
+def resolve_through(df: DataFrame, connect: vault_client.Connect, strict: bool = False, id_col: str = "id", text_col: str = "text", batch: int = vault_client.BATCH) -> DataFrame:
+    """`resolve` with a vault behind a client; each distinct key is asked once."""
+    _, _, keys = _references(df, text_col)
+    values, failed = vault_client.get_values(keys, connect, batch)
+    return resolve(df, values, failed, strict, id_col, text_col)
+
+
 def protect(df: DataFrame, policy: policies.Policy, default: str = "tokenize", consents: DataFrame | None = None, now: int = 0, vault: DataFrame | None = None, salt: str = "", related: Column | None = None, vault_available: Column | None = None, expand: bool = True, deduplicate: bool = True, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """id, status, output, decisions, plan for every row of ``df``; ids may be null or repeated.
 

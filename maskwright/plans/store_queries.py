@@ -77,6 +77,25 @@ def write_without_dedup(spark, sf_dir):
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("ref_id").alias("n_references"))
 
 
+class Refusing:
+    """A store that takes no value with a 3 in it."""
+
+    def put(self, rows):
+        return [None if "3" in value else id_ for _, value, id_ in rows]
+
+    def get(self, keys):
+        return [None] * len(keys)
+
+
+@query(f"""WITH {O.spans(COMPOSED_SQL)} SELECT kind, CASE WHEN contains({O.canonical()}, '3') THEN 'redact_only_fallback' ELSE 'tokenized' END AS mode, count(*) AS n,
+ count(DISTINCT CASE WHEN NOT contains({O.canonical()}, '3') THEN {O.canonical()} END) AS n_references FROM kept GROUP BY ALL""")
+def vault_client_fallback(spark, sf_dir):
+    """Values that the store refuses are redacted, others have references."""
+    done = pipeline.protect_through(_composed(spark, sf_dir), {}, Refusing, salt=SALT)
+    rows = done.select(F.explode("plan.replacements").alias("r")).select("r.kind", "r.mode", "r.ref_id")
+    return rows.groupBy("kind", "mode").agg(F.count("*").alias("n"), F.countDistinct("ref_id").alias("n_references"))
+
+
 @query(f"WITH {O.spans(COMPOSED_SQL)} SELECT id, kind, start, '[' || kind || ']' AS shown FROM kept WHERE {ACTION(OPEN)} IN ('tokenize', 'redact')")
 def vault_down(spark, sf_dir):
     """Where the vault cannot be written, values are redacted."""
