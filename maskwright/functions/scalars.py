@@ -93,6 +93,35 @@ def fingerprint(kind: Column, value: Column, prefix: str = "maskwright-consent-v
     return F.sha2(encoded, 256)
 
 
+#: Five characters of base 58 make one digit; nine such digits hold 32 bytes.
+FIVE, WIDE = 58**5, 9
+
+
+def base58(hex_: Column) -> Column:
+    """The base58 text of 32 bytes given in hex, a leading 1 for each leading zero byte.
+
+    Long division by folds: each 32-bit word is multiplied into nine digits of
+    base 58**5, whose products stay within 64 bits.
+    """
+    words = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(hex_, i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+
+    def take(digits: Column, word: Column) -> Column:
+        def carry(acc: Column, d: Column) -> Column:
+            def split(x: Column) -> Column:
+                rest = F.pmod(x, F.lit(FIVE))  # what is left divides exactly, below 2**33
+                return F.struct(F.round((x - rest) / FIVE).cast("long").alias("rest"), F.concat(acc["out"], F.array(rest)).alias("out"))
+
+            return let(acc["rest"] + d * F.lit(1 << 32), split)
+
+        return F.aggregate(digits, F.struct(word.alias("rest"), F.array().cast("array<bigint>").alias("out")), carry, lambda acc: acc["out"])
+
+    digits = F.aggregate(words, F.array(*[F.lit(0).cast("long")] * WIDE), take)
+    letters = lambda d: F.concat(*[F.substring(F.lit(BASE58), (F.pmod(F.floor(d / F.lit(58**k)), F.lit(58)) + 1).cast("int"), F.lit(1)) for k in range(4, -1, -1)])
+    text = F.regexp_replace(F.array_join(F.transform(F.reverse(digits), letters), ""), "^1+", "")
+    zeros = F.length(F.regexp_extract(hex_, "^(?:00)*", 0)) / 2
+    return F.when(F.length(hex_) == 64, F.concat(F.repeat(F.lit("1"), zeros.cast("int")), text))
+
+
 def kind_tag(tag: Column) -> Column:
     """The kind that a tag names in any case, aliases included; null for others."""
     low = F.lower(tag)

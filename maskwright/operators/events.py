@@ -88,16 +88,68 @@ def proxy_events(requests: DataFrame) -> DataFrame:
 
     One route decision a request; then its protection with the counters as
     key=value tokens, or that it was blocked; then the provider's answer, or
-    that the provider was down (status null).
+    that the provider was down (status null). Where these columns are there,
+    also: provider, method, path and request_bytes with the route; bypass (the
+    request passed unread, and nothing else is said); missing_key and encoded
+    (it was refused before it was read); removed_headers; content_type and
+    content_encoding with the answer; intercepted (the answer was written back).
     """
-    route = _event("info", "route_decision", None, None, "route", request_message(target=F.col("target")))
+    has = lambda c: c in requests.columns
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if has(c) else F.lit(False)
+    some = lambda *names: {c: F.col(c) for c in names if has(c)}
+    header = lambda c: {c: F.coalesce(F.left(c, F.lit(80)), F.lit("none"))} if has(c) else {}
+    none = F.array().cast(f"array<{EVENT}>")
+    target = {"target": F.col("target")}
+    route = _event("info", "route_decision", None, None, "route", request_message(**target, **some("provider", "method", "path", "request_bytes")))
     counters = {c: F.col(c) for c in ("detections", "replacements", "tokenized", "blocked")}
-    protection = _event("info", "proxy_forward", None, None, "request_protection", request_message(target=F.col("target"), **counters))
-    stop = _event("warn", "proxy_forward", None, None, "blocked", request_message(target=F.col("target"), blocked=F.col("blocked")))
-    answer = _event("info", "proxy_forward", None, None, "provider_response", request_message(target=F.col("target"), status=F.col("status"), streaming=F.col("streaming")))
-    down = _event("error", "proxy_failure", None, None, "provider_down", request_message(target=F.col("target")))
-    rest = F.when(F.col("blocked") > 0, F.array(protection, stop)).otherwise(F.array(protection, F.when(F.col("status").isNull(), down).otherwise(answer)))
-    return requests.select("operation_id", F.posexplode(F.concat(F.array(route), rest)).alias("seq", "e")).select("operation_id", "seq", "e.*")
+    protection = _event("info", "proxy_forward", None, None, "request_protection", request_message(**target, **counters))
+    stop = _event("warn", "proxy_forward", None, None, "blocked", request_message(**target, blocked=F.col("blocked")))
+    answer = _event("info", "proxy_forward", None, None, "provider_response", request_message(**target, status=F.col("status"), **header("content_type"), **header("content_encoding"), streaming=F.col("streaming")))
+    written = _event("info", "proxy_forward", None, None, "intercepted_response_write", request_message(**target, status=F.col("status"), **header("content_type"), streaming=F.col("streaming")))
+    down = _event("error", "proxy_failure", None, None, "provider_down", request_message(**target))
+    bypass = _event("info", "proxy_bypass", None, None, "bypassing", request_message(**target))
+    no_key = _event("error", "proxy_failure", None, None, "config_required", request_message(**target))
+    unread = _event("warn", "proxy_failure", None, None, "blocked", request_message(**target, reason=F.lit("encoded")))
+    when = lambda test, event: F.when(test, F.array(event)).otherwise(none)
+    stripped = when(F.coalesce("removed_headers", F.lit(0)) > 0, _event("info", "proxy_forward", None, None, "request_integrity_headers_removed", request_message(**target, count=F.col("removed_headers")))) if has("removed_headers") else none
+    answered = F.when(F.col("status").isNull(), F.array(down)).otherwise(F.concat(F.array(answer), when(flag("intercepted"), written)))
+    read = F.when(F.col("blocked") > 0, F.array(protection, stop)).otherwise(F.concat(F.array(protection), stripped, answered))
+    rest = F.when(flag("missing_key"), F.array(no_key)).when(flag("encoded"), F.array(unread)).otherwise(read)
+    every = F.when(flag("bypass"), F.array(bypass)).otherwise(F.concat(F.array(route), rest))
+    return requests.select("operation_id", F.posexplode(every).alias("seq", "e")).select("operation_id", "seq", "e.*")
+
+
+#: Characters of the pieces by which values and messages meet.
+GRAM = 4
+
+
+def _grams(text: Column, n: int = GRAM) -> Column:
+    """The distinct pieces of ``n`` characters; a shorter text is one piece."""
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+    return F.array_distinct(pieces)
+
+
+def leaks(log: DataFrame, values: DataFrame) -> DataFrame:
+    """(id, kind, fingerprint) for every event of ``log`` that holds any of the ``values`` (kind, value), of whatever operation.
+
+    A value that an event holds has all its pieces of GRAM characters there. So
+    values with a piece that no event has are out at once, and each of the
+    others meets only the texts with its rarest piece, by key; an exact test
+    follows. Texts said more than once are looked at once. Values shorter than
+    a piece are looked for by pieces of their own length.
+    """
+    said = log.select("id", F.concat_ws("\x1f", "message", "reference", "action").alias("said"))
+    texts = said.groupBy(F.sha2("said", 256).alias("sid")).agg(F.first("said").alias("said"))
+    wanted = values.where("value <> ''").select("kind", "value").distinct()
+    short = [r["n"] for r in wanted.where(F.length("value") < GRAM).select(F.length("value").alias("n")).distinct().collect()]
+    whole = texts.select("sid", F.explode(_grams(F.col("said"))).alias("gram"))
+    for n in short:
+        whole = whole.unionByName(texts.select("sid", F.explode(_grams(F.col("said"), n)).alias("gram")))
+    counts = whole.groupBy("gram").agg(F.count("*").alias("k"))
+    pieces = wanted.select("kind", "value", F.explode(_grams(F.col("value"))).alias("gram"))
+    rare = pieces.join(counts, "gram", "left").groupBy("kind", "value").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "gram")).alias("m")).where("m.k > 0").select("kind", "value", F.col("m.gram").alias("gram"))
+    met = rare.join(whole, "gram").join(texts, "sid").where(F.col("said").contains(F.col("value"))).select("sid", "kind", fn.fingerprint(F.col("kind"), F.col("value")).alias("fingerprint")).distinct()
+    return said.select("id", F.sha2("said", 256).alias("sid")).join(met, "sid").select("id", "kind", "fingerprint")
 
 
 def migrate_log(old: DataFrame) -> DataFrame:

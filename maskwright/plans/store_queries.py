@@ -250,6 +250,33 @@ def events_name_no_value(spark, sf_dir):
     return rows.agg(F.count("*").alias("texts"), F.count_if(F.exists("decisions", lambda d: F.col("said").contains(d["value"]))).alias("leaks"))
 
 
+LEAKY = "c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN concat('sent to ', user_of, ' today') WHEN c_custkey % 9 = 1 THEN concat('seen <', phone_of, '>') ELSE concat('found at bytes ', c_custkey % 50, '..', c_custkey) END AS message, concat('email:', c_custkey) AS reference, 'detected' AS action"
+OTHERS = "*, concat('user', cast((c_custkey * 7 + 3) % 4000 as string), '@mail', cast(((c_custkey * 7 + 3) % 4000) % 7 as string), '.example.com') AS user_of, concat('+1415', lpad(cast((c_custkey * 3) % 4000 as string), 7, '0')) AS phone_of"
+
+
+@query(f"""WITH {O.spans(COMPOSED_SQL)}, v AS (SELECT DISTINCT kind, {O.canonical()} AS value FROM kept), l AS (SELECT {LEAKY} FROM (SELECT {OTHERS} FROM customer))
+SELECT l.id, v.kind, {O.fingerprint("v.kind", "v.value")} AS fingerprint FROM l JOIN v ON contains(l.message || chr(31) || l.reference || chr(31) || l.action, v.value)""")
+def log_leaks(spark, sf_dir):
+    """Events that hold a value of any text, planted ones of other operations among them."""
+    log = _read(spark, sf_dir, "customer").selectExpr(*_split(OTHERS)).selectExpr(*_split(LEAKY))
+    decided = pipeline.decide(_composed(spark, sf_dir), OPEN, salt=SALT)
+    return events.leaks(log, decided.select("kind", F.col("canonical").alias("value")))
+
+
+WORD = "CAST('0x' || substr(h, 8 * w + 1, 8) AS BIGINT)"
+
+
+@query(f"""WITH {O.spans(COMPOSED_SQL)}, f AS (SELECT DISTINCT kind, {O.canonical()} AS canonical, {O.fingerprint()} AS h FROM kept),
+ d AS (SELECT *, list_reduce(list_prepend(list_transform(range(9), lambda x: CAST(0 AS HUGEINT)), list_transform(range(8), lambda w: [CAST({WORD} AS HUGEINT)])),
+  lambda digits, word: list_reduce(list_prepend([word[1]], list_transform(digits, lambda x: [x])), lambda a, b: list_concat(a[1:len(a) - 1], [(a[len(a)] + 4294967296 * b[1]) % {fn.FIVE}, (a[len(a)] + 4294967296 * b[1]) // {fn.FIVE}]))[1:9]) AS digits FROM f)
+SELECT kind, canonical, repeat('1', len(regexp_extract(h, '^(?:00)*')) // 2) || ltrim(list_aggregate(list_transform(list_reverse(digits), lambda d: list_aggregate(list_transform([11316496, 195112, 3364, 58, 1], lambda k: substr('{fn.BASE58}', CAST((d // k) % 58 + 1 AS INT), 1)), 'string_agg', '')), 'string_agg', ''), '1') AS print FROM d""")
+def fingerprint_base58(spark, sf_dir):
+    """Fingerprints in base58, by long division on both sides."""
+    decided = pipeline.decide(_composed(spark, sf_dir), OPEN, salt=SALT)
+    rows = decided.select("kind", "canonical").distinct()
+    return rows.select("kind", "canonical", fn.base58(fn.fingerprint(F.col("kind"), F.col("canonical"))).alias("print"))
+
+
 PROXY = "cast(o_orderkey as string) AS operation_id, concat('t', cast(o_custkey % 4 as string)) AS target, o_orderkey % 3 AS detections, o_orderkey % 3 AS replacements, o_orderkey % 2 AS tokenized, CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS blocked, CASE WHEN o_orderkey % 5 > 0 THEN 200 END AS status, o_orderkey % 2 = 0 AS streaming"
 
 

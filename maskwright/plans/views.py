@@ -42,6 +42,16 @@ def wallet_detail(vault_: DataFrame, key: str) -> DataFrame:
     return row.select("key", fn.kind_from_key(F.col("key")).alias("kind"), "value", fn.day_label(F.col("created_at")).alias("first_seen"), F.concat(F.lit("["), "key", F.lit("]")).alias("reference"))
 
 
+#: Ranges that a reader may choose, in days before today (UTC); all has no beginning.
+RANGES = {"today": 0, "7d": 7, "30d": 30, "all": None}
+
+
+def since_of(range_: str, now: int) -> int | None:
+    """The first second of a named range: midnight for today, else so many days before ``now``."""
+    days = RANGES[range_]
+    return None if days is None else now - now % 86_400 if days == 0 else now - days * 86_400
+
+
 def activity_events(log: DataFrame, since: int | None = None) -> DataFrame:
     """id, ts, day, actor, kind, decision, audit_id of the events that decide something."""
     actors = events.operation_actors(log)

@@ -8,7 +8,7 @@ import tomllib
 from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import consent, events, traffic
@@ -23,6 +23,25 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("id"), F.col("content"))
 
 
+def read_captures(spark: SparkSession, path: str) -> DataFrame:
+    """(path, pos, event) of event-stream captures of any size: events without the blank line that ends them.
+
+    Spark cuts files at byte ranges and reads whole lines (of any line end), so
+    a capture is read by many tasks. A line's event is numbered by the blank
+    lines before it: those of its own range, and those of earlier ranges, of
+    which only counts are moved. Lines then meet by event, so no row is larger
+    than an event. ``pos`` rises with the file, with gaps where blank lines repeat.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"), "value")
+    blank = F.when(F.col("value") == "", 1).otherwise(0)
+    own = F.sum(blank).over(Window.partitionBy("path", "at").orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
+    starts = lines.groupBy("path", "at").agg(F.sum(blank).alias("n")).select("path", "at", F.coalesce(before, F.lit(0)).alias("start"))
+    placed = lines.withColumn("own", own).where("value <> ''").join(starts, ["path", "at"]).withColumn("pos", F.col("start") + F.col("own"))
+    held = placed.groupBy("path", "pos").agg(F.array_sort(F.collect_list(F.struct("at", "row", "value"))).alias("lines"))
+    return held.select("path", "pos", F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("event"))
+
+
 def valid_only(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, text) of the valid files, and the ids of the others."""
     text = files.withColumn("text", F.try_validate_utf8(F.col("content").cast("string")))
