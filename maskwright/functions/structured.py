@@ -295,3 +295,13 @@ def transform_bodies(df: DataFrame, transform: Callable[[DataFrame], DataFrame],
     met = rows.join(lists, "content", "left").select("id", "body", "new")
     given = F.transform(body_strings("body"), lambda t: F.coalesce(F.col("new")[t], t))
     return _rewritten(met.withColumn("__texts", F.when(F.col("new").isNotNull(), given)).drop("new"), "body", "__texts", with_json_strings)
+
+
+def map_typed(df: DataFrame, f: TextMap, body_col: str = "body", type_col: str = "content_type") -> DataFrame:
+    """``df`` with each body mapped as its content type says, in its own row; null bodies stay null."""
+
+    @F.pandas_udf(T.StringType())
+    def mapped(bodies: pd.Series, types: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else map_body(b, t, f) for b, t in zip(bodies, types, strict=True)], dtype=object)
+
+    return df.withColumn(body_col, mapped(body_col, type_col))

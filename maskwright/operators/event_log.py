@@ -59,11 +59,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path).select(*[c.split(" ")[0] for c in SCHEMA.split(", ")])
 
 
-def write_events(events: DataFrame, path: str, checkpoint: str, writer: str = "stream", now: Callable[[], int] | None = None) -> StreamingQuery:
+def write_events(events: DataFrame, path: str, checkpoint: str, writer: str = "stream", now: Callable[[], int] | None = None, once: bool = False) -> StreamingQuery:
     """Start a stream of audit events into the log at ``path``; ``writer`` names the query in the log.
 
     The batch's number and ``writer`` are its place in the log, so a batch that
-    runs again after a crash keeps its ids, its time and its rows.
+    runs again after a crash keeps its ids, its time and its rows. ``once`` stops
+    when all that is there has been written.
     """
     clock = now or (lambda: int(time.time()))
-    return events.writeStream.foreachBatch(lambda batch, number: append(batch, path, writer, number, clock()) and None).option("checkpointLocation", checkpoint).start()
+    sink = events.writeStream.foreachBatch(lambda batch, number: append(batch, path, writer, number, clock()) and None).option("checkpointLocation", checkpoint)
+    return (sink.trigger(availableNow=True) if once else sink).start()

@@ -154,6 +154,20 @@ def check_rules(rules: list[dict], enabled: set[str] | None = None) -> list[str]
     return found + [f"enabled app {i} does not exist" for i in sorted((enabled or set()) - set(ids))]
 
 
+def problems(rules: DataFrame, enabled: DataFrame | None = None) -> DataFrame:
+    """`check_rules` for rules as a table: one row (problem, app_id) for each thing that is wrong."""
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    names = ("domains", "ips", "urls", "ports", "protocols", "process_names")
+    filters = sum((F.coalesce(F.size(F.col("match")[n]), F.lit(0)) for n in names), F.lit(0))
+    said = lambda df, what: df.select(F.lit(what).alias("problem"), F.col("id").alias("app_id"))
+    inspects = rules.where("action = 'inspect'")
+    found = said(rules.where(blank("id")), "no id").unionByName(said(rules.groupBy("id").count().where("count > 1"), "id used twice"))
+    found = found.unionByName(said(inspects.where(F.coalesce(filters, F.lit(0)) == 0), "inspects without a rule"))
+    for column in ("provider", "upstream"):
+        found = found.unionByName(said(inspects.where(F.coalesce(F.col(column) == "", F.lit(True))), f"inspects without {column}"))
+    return found if enabled is None else found.unionByName(said(enabled.select("id").distinct().join(rules, "id", "left_anti"), "enabled app does not exist"))
+
+
 def distinct_routes(routes: DataFrame) -> DataFrame:
     """(host, ..., ordinal): one route a host, the last one's values at the first one's place."""
     rest = [c for c in routes.columns if c not in ("host", "ordinal")]

@@ -316,3 +316,43 @@ def traffic_rule_table(spark, sf_dir):
     )
     rules = rows.select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("id"), F.lit(True).alias("enabled"), (F.col("id") % 7).cast("int").alias("priority"), F.col("id").alias("ordinal"), match.alias("match"), F.lit("inspect").alias("action"))
     return traffic.decide_by_table(pages, rules, "allow").select("id", "app_id")
+
+
+@query("SELECT conv_id, coalesce(string_agg(replace(text, 'e', '*'), '' ORDER BY turn), '') AS text FROM conversations GROUP BY conv_id")
+def event_stream(spark, sf_dir):
+    """Each conversation as an event stream in chunks of 41 bytes, rewritten with a tail of four events; its deltas read back."""
+    rows = _read(spark, sf_dir, "conversations")
+    event = F.concat(F.lit("data: "), F.to_json(F.struct(F.struct(F.coalesce("text", F.lit("")).alias("text")).alias("delta"))), F.lit("\n\n"))
+    raw = rows.select("conv_id", "turn", F.encode(event, "UTF-8").alias("raw"))
+    at = F.explode(F.sequence(F.lit(1), F.octet_length("raw"), F.lit(41)))
+    chunks = raw.withColumn("k", at).select(F.col("conv_id").cast("string").alias("stream_id"), (F.col("turn") * 1_000_000_000 + F.col("k")).alias("seq"), F.expr("substring(raw, k, 41)").alias("chunk"))
+    done = streams.transform_chunks(chunks, lambda t: t.replace("e", "*"), "events")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.hex("chunk").alias("x")))), lambda c: c["x"]), "")
+    whole = done.groupBy("stream_id").agg(F.decode(F.unhex(body), "UTF-8").alias("body"))
+    return whole.select(F.col("stream_id").cast("long").alias("conv_id"), structured.stream_text("body").alias("text"))
+
+
+TYPED = "CASE c_custkey % 3 WHEN 0 THEN concat('data: {\"text\":\"', c_name, '\"}', chr(10), chr(10)) WHEN 1 THEN concat('{\"a\":\"', c_name, '\",\"c_name\":', c_custkey, '}') ELSE concat('c_name ', c_name) END"
+
+
+@query(f"SELECT id, kind, CASE WHEN id % 3 = 1 THEN replace(replace(body, 'Customer', 'CUSTOMER'), 'c_name', 'c_name') ELSE replace(body, 'Customer', 'CUSTOMER') END AS body FROM (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'text/event-stream; charset=utf-8' WHEN 1 THEN 'application/json' END AS kind, {TYPED} AS body FROM customer)")
+def typed_bodies(spark, sf_dir):
+    """Bodies mapped as their content type says: events, JSON values (not keys), or text."""
+    kind = F.expr("CASE c_custkey % 3 WHEN 0 THEN 'text/event-stream; charset=utf-8' WHEN 1 THEN 'application/json' END")
+    rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), kind.alias("kind"), F.expr(TYPED).alias("body"))
+    return structured.map_typed(rows, lambda t: t.replace("Customer", "CUSTOMER"), "body", "kind")
+
+
+BOUND = "concat('app', s_suppkey % 60) AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'allow' ELSE 'inspect' END AS action, s_suppkey % 5 > 0 AS ruled, CASE WHEN s_suppkey % 7 > 0 THEN 'p' END AS provider, CASE WHEN s_suppkey % 11 > 0 THEN 'u' ELSE '' END AS upstream"
+
+
+@query(f"""WITH r AS (SELECT {BOUND} FROM supplier) SELECT 'id used twice' AS problem, id AS app_id FROM r GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'inspects without a rule', id FROM r WHERE action = 'inspect' AND NOT ruled
+ UNION ALL SELECT 'inspects without provider', id FROM r WHERE action = 'inspect' AND provider IS NULL UNION ALL SELECT 'inspects without upstream', id FROM r WHERE action = 'inspect' AND upstream = ''
+ UNION ALL SELECT 'enabled app does not exist', 'app' || n_nationkey * 9 FROM nation WHERE 'app' || n_nationkey * 9 NOT IN (SELECT id FROM r)""")
+def rule_problems(spark, sf_dir):
+    """What is wrong with a table of rules."""
+    rows = _read(spark, sf_dir, "supplier").selectExpr(*_split(BOUND))
+    none = lambda t="string": F.array().cast(f"array<{t}>")
+    match = F.struct(F.when(F.col("ruled"), F.array(F.lit("x"))).otherwise(none()).alias("domains"), none().alias("ips"), none().alias("urls"), none("int").alias("ports"), none().alias("protocols"), none().alias("process_names"))
+    enabled = _read(spark, sf_dir, "nation").selectExpr("concat('app', n_nationkey * 9) AS id")
+    return traffic.problems(rows.withColumn("match", match), enabled)

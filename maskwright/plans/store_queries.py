@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import detect
 from ..functions import scalars as fn
 from ..operators import consent, event_log, events, vault
+from ..sources import tables
 from ..sources.shared import fresh
 from . import oracles as O
 from . import pipeline, reports, views
@@ -322,3 +324,51 @@ def doctor_counts(spark, sf_dir):
 def failure_modes(spark, sf_dir):
     rows = _read(spark, sf_dir, "nation").selectExpr("n_name AS name", "CASE WHEN n_regionkey = 0 THEN 'block_on_error' END AS failure_mode", "CASE WHEN n_nationkey % 4 = 0 THEN array(n_name) ELSE array() END AS diagnostics")
     return reports.failure_modes(rows, "redact_only")
+
+
+# Stores, files and sinks
+
+
+@query(f"SELECT * FROM ({CONSENT_SQL})")
+def stored_consents(spark, sf_dir):
+    """A store written as a snapshot and read back."""
+    path = fresh(spark, "consents")
+    tables.write_snapshot(_consents(spark, sf_dir), path)
+    return tables.read_store(spark, path, "consents")
+
+
+@query(f"WITH {O.spans(COMPOSED_SQL)}, " + O.spliced("""SELECT id, start, "end", '[' || kind || ']' AS new FROM kept""") + " SELECT output AS line FROM done")
+def text_files(spark, sf_dir):
+    """Redacted texts written as files, and read back whole."""
+    path = fresh(spark, "texts")
+    done = pipeline.protect(_composed(spark, sf_dir), {}, default="redact", salt=SALT)
+    tables.write_texts(done, path)
+    files, invalid = tables.valid_only(tables.read_texts(spark, f"{path}/part-*"))
+    lines = files.unionByName(invalid.select("id", F.lit("not UTF-8").alias("text")))
+    return lines.select(F.explode(F.split(F.regexp_replace("text", "\n$", ""), "\n")).alias("line"))
+
+
+IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
+
+
+@query(f"SELECT doc_id AS id, unnest(regexp_extract_all(text, '{IP}')) AS value FROM documents")
+def custom_detector(spark, sf_dir):
+    """A detector of one's own beside the built-in ones."""
+    own = detect.Detector("ip", 5, IP, lambda t: t.contains("."))
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return docs.select("id", F.explode(detect.matches(F.col("text"), own)).alias("s")).select("id", "s.value")
+
+
+@query(f"""WITH {O.spans("SELECT conv_id * 1000 + turn AS id, text || ' mail a@site.org' AS text FROM conversations")},
+ k AS (SELECT id, count(*) AS n FROM kept GROUP BY id) SELECT 'detection' AS event_type, sum(n) AS n, sum(n) AS ids FROM k UNION ALL SELECT 'policy_decision', sum(n), sum(n) FROM k UNION ALL SELECT 'redaction', sum(n), sum(n) FROM k""")
+def event_sink(spark, sf_dir):
+    """A live stream of messages protected, its events in the log; the stream runs again without its checkpoint, as after a loss."""
+    schema = _read(spark, sf_dir, "conversations").schema
+    path = fresh(spark, "sink")
+    for _ in range(2):
+        live = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversation*.parquet")
+        rows = live.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat("text", F.lit(" mail a@site.org")).alias("text"))
+        made = events.protect_events(pipeline.protect(rows, {}, default="redact", salt=SALT))
+        event_log.write_events(made, path, fresh(spark, "check"), "sink", lambda: NOW, once=True).awaitTermination()
+    log = event_log.read(spark, path)
+    return log.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
