@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -100,6 +100,13 @@ def notice_texts() -> dict[str, list[str]]:
     for title, name, versions in GNU:
         for v in versions:
             full = v if "." in v else v + ".0"
+            for short in (f"{name} version {v}", f"{name} v{v}", f"{name}v{v}", f"{name}-{v}"):
+                add(f"{name}-{full}-only", f"licensed under the {short}", f"licensed under the {short} only", f"under the {short} license")
+                add(f"{name}-{full}-or-later", f"licensed under the {short} or later", f"licensed under the {short} or any later version", f"under the {short} or later license")
+            add(f"{name}-{full}-only", f"licensed under the {title} v{full} only", f"licensed under the {title}, version {v} only")
+            add(f"{name}-{full}-or-later", f"licensed under the {title} v{full} or later")
+            start = f"free software: you can redistribute it and/or modify it under the terms of the {title} as published by the Free Software Foundation, version {v}"
+            add(f"{name}-{full}-only", f"This program is {start}.", f"This program is {start} of the License.")
             add(f"{name}-{full}-only", f"licensed under the {title}, version {v}", f"under the terms of the {title} version {v} as published by the Free Software Foundation")
             head = f"free software: you can redistribute it and/or modify it under the terms of the {title} as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version."
             add(f"{name}-{full}-or-later", f"licensed under the {title}, version {v} or later", f"licensed under the {title}, version {v} or any later version", f"This program is {head}")
@@ -107,22 +114,43 @@ def notice_texts() -> dict[str, list[str]]:
         for v, port in PORTS:
             add(f"CC-{name}-{v}", f"licensed under a Creative Commons {title} {v} {port} License", f"licensed under the Creative Commons {title} {v} License", f"licensed under CC {name} {v}")
     add("CC0-1.0", "Licensed under CC0 1.0", "Creative Commons CC0 1.0 Universal Public Domain Dedication license")
+    for name in list(out):
+        add(name, f"SPDX-License-Identifier: {name}")
+    return out
+
+
+def joined_texts() -> dict[str, list[str]]:
+    """What names a further license right after a notice: "... or the Apache License, Version 2.0"."""
+    out: dict[str, list[str]] = {}
+    for title, name, versions in VERSIONED:
+        for v in versions:
+            out.setdefault(name.format(v), []).extend([f"or the {title}, Version {v}", f"or {title} {v}", f"or the {title} {v}"])
+    for title, name in UNVERSIONED:
+        out.setdefault(name, []).extend([f"or the {title}", f"or {title}"])
+    for title, name, versions in GNU:
+        for v in versions:
+            full = v if "." in v else v + ".0"
+            out.setdefault(f"{name}-{full}-only", []).append(f"or the {title}, version {v}")
+            out.setdefault(f"{name}-{full}-or-later", []).append(f"or the {title}, version {v} or later")
     return out
 
 
-#: Words of which every template has one: where none occurs, no block is a candidate.
-CUES = ("licens", "licenc", "permission", "permitted", "redistribut", "unencumbered", "waived")
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 #: Words that must agree in number and order: negations, and words that tell one license from another. Numbers must agree, too.
 NEGATIONS = frozenset("not never neither nor no cannot isn't without".split())
 TELLING = frozenset(
     "apache mozilla eclipse european development artistic boost sil font academic open universal mit isc bsd zlib postgresql microsoft reciprocal gnu library lesser affero later only "
     "creative cc attribution attribution-sharealike attribution-noncommercial attribution-noderivatives attribution-noderivs attribution-noncommercial-sharealike attribution-noncommercial-noderivatives "
-    "by by-sa by-nc by-nd by-nc-sa by-nc-nd sharealike noncommercial noderivatives noderivs".split()
+    "by by-sa by-nc by-nd by-nc-sa by-nc-nd sharealike noncommercial noderivatives noderivs unlicense ntp wtfpl ms-pl ms-rl gpl lgpl agpl".split()
 )
+#: What ends a sentence: a negation before a notice counts within its own.
+SENTENCE = re.compile(r"[.!?;:](?=\s)|\n\s*\n")
+TAG = "spdx-license-identifier"
 NUMBER = re.compile("[0-9]")
-#: Least share of a block's size that its best template must save, most words that may differ by template word, and cues a template is tried at.
-LEAST_SAVED, MOST_DIFFERENT, MOST_CUES = 0.25, 0.1, 3
+#: Least share of a block's size that its best template must save, and most words that may differ by template word.
+LEAST_SAVED, MOST_DIFFERENT = 0.1, 0.1
+#: Words in a row by which a template is tried; templates too short to keep so many under all edits allowed are tried at each pair, or word.
+GRAMS = (3, 2, 1)
 
 
 def _words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
@@ -146,9 +174,9 @@ class Template:
     license: str
     number: int
     words: tuple[str, ...]
-    cues: tuple[int, ...]
     telling: list[str]
     packer: zstandard.ZstdCompressor
+    joined: bool = False
 
 
 def _packer(dictionary: bytes | None) -> zstandard.ZstdCompressor:
@@ -159,24 +187,40 @@ def _packer(dictionary: bytes | None) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(compression_params=params, dict_data=held)
 
 
+def most_different(template: Template) -> int:
+    return max(1, int(MOST_DIFFERENT * len(template.words)))
+
+
 @functools.lru_cache(maxsize=1)
 def templates() -> list[Template]:
-    """All templates; each is tried at its cues that the fewest templates share, so that an edited cue does not lose it."""
-    split = [(name, number, tuple(_words(text)[0])) for name, texts in notice_texts().items() for number, text in enumerate(texts)]
-    shared = Counter(x for _, _, w in split for x in set(w))
-    found = []
-    for name, number, w in split:
-        cues = sorted((k for k, x in enumerate(w) if any(c in x for c in CUES)), key=lambda k: (shared[w[k]], k))[:MOST_CUES]
-        found.append(Template(name, number, w, tuple(cues), telling(w), _packer(" ".join(w).encode())))
-    return found
+    out = []
+    for texts, joined in ((notice_texts(), False), (joined_texts(), True)):
+        for name, held in texts.items():
+            for number, text in enumerate(held):
+                words = tuple(_words(text)[0])
+                out.append(Template(name, number, words, telling(words), _packer(" ".join(words).encode()), joined))
+    return out
+
+
+def gram_size(template: Template) -> int:
+    """The most words in a row of which some stay whole under every edit allowed: an edit touches as many runs as they have words.
+
+    Words that must agree cannot be edited, so a template too short for that is tried at these.
+    """
+    n, k = len(template.words), most_different(template)
+    return next((q for q in GRAMS if n - q + 1 - q * k >= 1), 1)
 
 
 @functools.lru_cache(maxsize=1)
-def by_cue() -> dict[str, list[tuple[Template, int]]]:
-    out: dict[str, list[tuple[Template, int]]] = {}
+def by_gram() -> dict[tuple[str, ...], list[tuple[Template, int]]]:
+    """Where templates are tried: at any of their grams."""
+    out: dict[tuple[str, ...], list[tuple[Template, int]]] = {}
     for t in templates():
-        for k in t.cues:
-            out.setdefault(t.words[k], []).append((t, k))
+        q = gram_size(t)
+        for k in range(len(t.words) - q + 1):
+            gram = t.words[k : k + q]
+            if q > 1 or telling(gram) or TAG in gram:
+                out.setdefault(gram, []).append((t, k))
     return out
 
 
@@ -210,41 +254,54 @@ def wording(template: tuple[str, ...], block: list[str]) -> tuple[int, int, int,
 def notices(text: str) -> list[tuple[str, int, int, float, int, int, int]]:
     """(license, start, end, saved share, differences, missing, added) of the notices in a text, in order.
 
-    Around every cue, each template that has that word proposes the block of
-    its own length. The block is compressed alone and with the template as raw
+    Wherever some words in a row are those of a template, it proposes the block
+    of its own length around them; the words are so few that some survive any
+    edit allowed. The block is compressed alone and with the template as raw
     dictionary, and templates are ranked by the bytes they save. The first one
     whose exact wording is confirmed takes the block, or a later one whose
     notice goes on beyond it: few words may differ, none of them a number, a
     negation or a word that tells licenses apart, and no negation may stand
-    just before the notice.
+    before the notice in its sentence. Further licenses that a notice or an
+    SPDX tag joins by "or" or "and" count, too.
     """
-    low = text.lower()
-    if not any(c in low for c in CUES):
+    if leading().isdisjoint(WORD.findall(text.lower())):
         return []
     words, spans = _words(text)
-    found, taken = [], -1
+    ends = [m.end() for m in SENTENCE.finditer(text)]
+    grams, first_words, tried = by_gram(), leading(), set()
+    found: list[tuple] = []
+    taken = -1
+    alone: dict[tuple[int, int], int] = {}
     for at, word in enumerate(words):
-        if at <= taken or word not in by_cue():
+        if word not in first_words or at <= taken:
             continue
-        ranked, alone = [], {}
-        for t, k in by_cue()[word]:
-            slack = max(1, int(MOST_DIFFERENT * len(t.words)))
-            first, end = max(taken + 1, at - k - slack), min(len(words), at - k + len(t.words) + slack)
-            if end - first < len(t.words) - slack:
-                continue
-            block = words[first:end]
-            raw = " ".join(block).encode()
-            if (first, end) not in alone:
-                alone[first, end] = len(_plain().compress(raw))
-            saved = alone[first, end] - len(t.packer.compress(raw))
-            if saved >= LEAST_SAVED * alone[first, end]:
-                ranked.append((saved, saved / alone[first, end], t, first, block))
+        ranked = []
+        for q in GRAMS:
+            for t, k in grams.get(tuple(words[at : at + q]), ()):
+                if (id(t), at - k) in tried or t.joined and (not found or abs(at - k - taken - 1) > 1):
+                    continue
+                tried.add((id(t), at - k))
+                slack = most_different(t)
+                first, end = max(taken + 1, at - k - slack), min(len(words), at - k + len(t.words) + slack)
+                if end - first < len(t.words) - slack:
+                    continue
+                block = words[first:end]
+                raw = " ".join(block).encode()
+                if (first, end) not in alone:
+                    alone[first, end] = len(_plain().compress(raw))
+                saved = alone[first, end] - len(t.packer.compress(raw))
+                if saved >= LEAST_SAVED * alone[first, end]:
+                    ranked.append((saved, saved / alone[first, end], t, first, block))
         best = None
         for _, share, t, first, block in sorted(ranked, key=lambda r: (-r[0], r[2].license, r[2].number)):
             differ, missing, added, a, b = wording(t.words, block)
-            if differ > max(1, MOST_DIFFERENT * len(t.words)) or b <= a or telling(block[a:b]) != t.telling:
+            if differ > most_different(t) or b <= a or telling(block[a:b]) != t.telling:
+                continue
+            if t.joined and (first + a != taken + 1 or block[a] not in ("or", "and")):
                 continue
-            if NEGATIONS & set(words[max(0, first + a - 3) : first + a]):
+            begin = bisect.bisect_right(ends, spans[first + a][0])
+            sentence = ends[begin - 1] if begin else 0
+            if NEGATIONS & set(_words(text[max(sentence, spans[taken][1] if taken >= 0 else 0) : spans[first + a][0]])[0]):
                 continue
             if best is None or (first + a <= best[0] and first + b >= best[1] and b - a > best[1] - best[0]):
                 best = (first + a, first + b, t.license, share, differ, missing, added)
@@ -252,9 +309,23 @@ def notices(text: str) -> list[tuple[str, int, int, float, int, int, int]]:
             a, b, name, *numbers = best
             found.append((name, spans[a][0], spans[b - 1][1], *numbers))
             taken = b - 1
+            while words[a] == TAG and taken + 2 < len(words) and words[taken + 1] in ("or", "and") and words[taken + 2] in identifiers():
+                taken += 2
+                found.append((identifiers()[words[taken]], *spans[taken], *numbers))
     return found
 
 
+@functools.lru_cache(maxsize=1)
+def leading() -> frozenset[str]:
+    """The first words of all grams: a text without any holds no notice."""
+    return frozenset(gram[0] for gram in by_gram())
+
+
+@functools.lru_cache(maxsize=1)
+def identifiers() -> dict[str, str]:
+    return {name.lower(): name for name in notice_texts()}
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per notice: doc_id, license, start, end (code points), saved, differences, missing, added.
 

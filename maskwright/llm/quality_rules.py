@@ -75,8 +75,8 @@ def thresholds(stats: DataFrame, labels: DataFrame, stratum: str = "stratum", ri
 def judge(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", risk: float = 0.05, level: float = 0.05) -> DataFrame:
     """Base counts, base verdict and the verdict under risk-controlled cutoffs.
 
-    Null texts have no words (and fail the base rules); a null stratum is a
-    stratum of its own; a stratum without enough labelled good documents has no
+    Null texts have no words (and fail the base rules); a null stratum and an
+    empty one are one stratum; a stratum without enough labelled good documents has no
     cutoff and rejects by the base rules only. Repeated rows are judged alike,
     each on its own row. Labels of a document that disagree count as good if
     one says so. Empty tables give no rows. The text is read once.

@@ -876,6 +876,48 @@ def test_edited_full_texts(texts):
         assert [n[0] for n in licenses.notices("Copyright by them. " + " ".join(words))][:1] == [name]
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("// SPDX-License-Identifier: Apache-2.0", ["Apache-2.0"]), ("SPDX-License-Identifier: MIT OR Apache-2.0 and GPL-2.0-only or nothing", ["MIT", "Apache-2.0", "GPL-2.0-only"]),
+        ("Dual licensed under the MIT License or the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]), ("It is under the GPL version 3 or later license.", ["GPL-3.0-or-later"]), ("licensed under the LGPL v2.1 only", ["LGPL-2.1-only"]),
+        ("licensed under the GNU General Public License v2.0 only", ["GPL-2.0-only"]), ("No part may be licensed under the MIT License", []), ("No cats. It is licensed under the MIT License", ["MIT"]), ("Never mind: licensed under the MIT License", ["MIT"]),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3.", ["AGPL-3.0-only"]),
+        ("They walked to town or the MIT License", []), ("Everyone is allowed to copy and distribute verbatim or modified copies of this licence document, and changing it is allowed as long as the name is changed.", ["WTFPL"]),
+    ],
+)
+def test_tags_joined_and_negated_notices(text, want):
+    assert [n[0] for n in licenses.notices(text)] == want
+
+
+def confirmed_by_hand(text):
+    """Licenses whose templates are within their edits anywhere in the text, by aligning every template with all of it."""
+    words, _ = licenses._words(text)
+    out = set()
+    for t in licenses.templates():
+        if not t.joined and len(set(t.words) & set(words)) >= 0.5 * len(set(t.words)):
+            differ, _, _, a, b = licenses.wording(t.words, words)
+            if differ <= licenses.most_different(t) and licenses.telling(words[a:b]) == t.telling:
+                out.add(t.license)
+    return out
+
+
+def test_edited_notices_are_found_at_any_edit():
+    """Up to a tenth of the words changed, inserted or left out, cue words among them; every template is tried at every place by hand."""
+    rnd, seen = random.Random(12), Counter()
+    plain = [t for t in licenses.templates() if not t.joined]
+    for t in rnd.sample(plain, 150):
+        words = list(t.words)
+        free = [k for k, w in enumerate(words) if not licenses.telling([w]) and licenses.TAG != w]
+        for k in sorted(rnd.sample(free, min(len(free), rnd.randint(0, licenses.most_different(t)))), reverse=True):
+            words[k : k + 1] = rnd.choice([["zzz"], [], [words[k], "yyy"]])
+        text = "One two three. " + " ".join(words) + ". Four five six."
+        want, got = confirmed_by_hand(text), [n[0] for n in licenses.notices(text)]
+        assert set(got) <= want, text
+        seen["found" if got else "lost" if want else "none"] += 1
+    assert seen["lost"] == 0 and seen["found"] > 130, seen
+
+
 def test_licenses_awkward(spark, awkward, documents, texts):
     assert licenses.scan(awkward).count() == 0
     lines = {"CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0-only": "This work is licensed under the GNU General Public License, version 3.", "MIT": "Released under the MIT License."}
