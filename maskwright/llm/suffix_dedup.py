@@ -1,4 +1,4 @@
-"""Operator 2, repeated byte strings: distributed prefix doubling over blocks of positions.
+"""Operator 2, repeated byte strings: prefix doubling, adapted to blocks of positions.
 
 Plain prefix doubling ranks every position of the corpus by its first 1, 2, 4,
 ... bytes: seven rounds over all positions, some forty times the text through
@@ -9,13 +9,15 @@ rank is a name of the bytes that all strings of the block share:
   name of 32 bytes is its anchor. Equal strings have equal anchors at equal
   offsets, so the strings with one anchor form a block, ranked by the anchor;
 * later rounds halve the distance to the threshold (69, 93 and 100 bytes; the
-  blocks shrink to 32, 8 and 1 positions) and rank each block by its parent's
-  rank and the further bytes.
+  blocks shrink to 32, 8 and 1 positions) and name each block anew by all the
+  bytes its strings share.
 
 In each round Spark brings equal ranks together (sorted in round 0, grouped by
 hash later); blocks whose rank is unique hold no repeat and drop out, blocks
 that equal an earlier one in all bytes of all their strings are copies, and
-only the rest goes on. A rank is a 64-bit name, not a place in a sorted list. Texts move once, into
+only the rest goes on. What is kept of prefix doubling is the rounds of growing
+length and that unique ranks drop out; a rank is a 64-bit name of bytes, not a
+place in a sorted list, and not made of two earlier ranks. Texts move once, into
 a table bucketed by document, where later rounds read them in place.
 """
 
@@ -217,8 +219,8 @@ def read_blocks(texts: DataFrame, leaders: DataFrame, firsts: DataFrame, thresho
     return _visit(texts, asked, read, "bucket long, pos int, doc_id long, anchor int, low int, high int, held binary")
 
 
-def next_round(rows: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """(copies, blocks that go on) after ranking blocks of ``width`` positions by the bytes their strings share.
+def next_round(rows: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(copies, blocks that go on, the saved table that both read) after ranking blocks of ``width`` positions by the bytes their strings share.
 
     Ranks and whole blocks are counted by partial sums, and a frequent one
     meets its rows only in joins, which adaptive execution splits.
@@ -237,7 +239,7 @@ def next_round(rows: DataFrame, width: int, threshold: int) -> tuple[DataFrame,
     placed = tied.join(earliest.select("name", "e"), "name").withColumn("copy", (F.col("doc_id") != F.col("e.doc_id")) | (F.col("start") != F.col("e.start")))
     copies = placed.where("copy").select("bucket", "pos", "start", (F.col("anchor") - F.col("low") + threshold).alias("end"))
     onward = placed.where("NOT copy").join(partly, "rank", "left_semi").select("bucket", "pos", "doc_id", "anchor", "low", "high", "held")
-    return copies, onward
+    return copies, onward, tied
 
 
 def _merged(spans: Iterator[tuple[int, int]]) -> list[list[int]]:
@@ -276,11 +278,15 @@ def repeated_spans(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id"
 
     ranked = first_round(texts, leaders, threshold)
     span = ("bucket", "pos", (F.col("anchor") - F.col("high")).alias("start"), (F.col("anchor") - F.col("low") + threshold).alias("end"))
-    cuts = [ranked.where("copy").select(*span)]
-    rows = S.save(read_blocks(texts, leaders, ranked.where("NOT copy"), threshold), "held")
+    cuts = [S.save(ranked.where("copy").select(*span), "cuts")]
+    rows = read = S.save(read_blocks(texts, leaders, ranked.where("NOT copy"), threshold), "held")
+    S.discard(ranked)
     for width in WIDTHS:
-        copies, rows = next_round(rows, width, threshold)
-        cuts.append(copies)
+        copies, rows, tied = next_round(rows, width, threshold)
+        cuts.append(S.save(copies, "cuts"))
+        S.discard(read)  # the round's own table holds all that goes on
+        read = tied
+    S.discard(read)
     cut = functools.reduce(DataFrame.unionByName, cuts)
 
     def finish(t: _Texts) -> dict:
