@@ -40,3 +40,19 @@ def test_query(spark, duck, data, name):
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     assert rows == sorted((tuple(value(r[names.index(c)]) for c in columns) for r in cursor.fetchall()), key=str)
+
+
+@pytest.mark.parametrize("name", ["wallet_search_sort", "consent_page", "log_page"])
+def test_order_as_it_comes(spark, duck, data, name):
+    """Lists whose order is part of the answer are compared unsorted."""
+    df = QUERIES[name](spark, data)
+    cursor = duck.execute(ORACLES[name])
+    names = [d[0] for d in cursor.description]
+    want = [tuple(value(r[names.index(c)]) for c in df.columns) for r in cursor.fetchall()]
+    assert [tuple(value(v) for v in r) for r in df.collect()] == want and len(want) > 1
+
+
+@pytest.mark.parametrize("name", ["activity_feed", "system_scope"])
+def test_feeds_are_newest_first(spark, data, name):
+    ids = [r["id"] for r in QUERIES[name](spark, data).collect()]
+    assert ids == sorted(ids, reverse=True) and len(ids) > 1
