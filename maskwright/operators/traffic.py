@@ -199,6 +199,19 @@ def choose_target(requests: DataFrame, targets: list[dict]) -> DataFrame:
     return requests.withColumn("target", F.coalesce(exact, by_provider, F.lit(targets[0]["name"] if targets else None).cast("string")))
 
 
+def choose_target_by_table(requests: DataFrame, targets: DataFrame) -> DataFrame:
+    """`choose_target` with the targets as a table (name, provider, upstream, ordinal): three joins on keys that targets hold once."""
+    first = F.min(F.struct("ordinal", "name"))
+    held = targets.withColumn("__host", fn.normalize_route_host(F.col("upstream")))
+    by_name = held.groupBy(F.col("provider").alias("provider_hint"), F.col("name").alias("name_hint")).agg(first.alias("__n"))
+    by_host = held.groupBy(F.col("provider").alias("provider_hint"), "__host").agg(first.alias("__h"))
+    by_provider = held.groupBy(F.col("provider").alias("provider_hint")).agg(first.alias("__p"))
+    top = held.agg(first.alias("t")).first()["t"]
+    joined = requests.withColumn("__host", fn.normalize_route_host(F.col("host"))).join(by_name, ["provider_hint", "name_hint"], "left").join(by_host, ["provider_hint", "__host"], "left").join(by_provider, "provider_hint", "left")
+    near = F.least(F.col("__n"), F.col("__h"))
+    return joined.select(*requests.columns, F.coalesce(near["name"], F.col("__p.name"), F.lit(top["name"] if top else None).cast("string")).alias("target"))
+
+
 def missing_targets(routes: DataFrame, targets: DataFrame) -> DataFrame:
     """Routes whose (name, provider, upstream) no target has."""
     return routes.join(targets, ["name", "provider", "upstream"], "left_anti")

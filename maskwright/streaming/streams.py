@@ -59,11 +59,16 @@ def transform_stream(chunks: DataFrame, f: Callable[[str], str], kind: str = "by
     ``kind`` is bytes or events. The state of a stream is its held tail; the
     row flagged ``last`` flushes and removes it. Where streams may break off,
     give ``idle_ms``: a stream silent for so long is flushed and removed, too
-    (Spark then runs batches all the time, to look at the clock).
+    (Spark then runs batches all the time, to look at the clock). A chunk
+    without a stream id is a stream of its own.
     """
     step = STEPS[kind]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if key[0] is None:
+            alone = [(None, row.seq, step(b"", row.chunk or b"", True, f)[0]) for batch in batches for row in batch.itertuples(index=False)]
+            yield pd.DataFrame([r for r in alone if r[2]], columns=["stream_id", "seq", "chunk"])
+            return
         pending, at = state.get if state.exists else (b"", -1)
         rows, ended = [], state.hasTimedOut
         if ended:

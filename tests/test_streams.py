@@ -202,6 +202,16 @@ def test_chunks_without_a_stream_pass_alone(spark):
     assert b"".join(bytes(r["chunk"]) for r in sorted((r for r in got if r["stream_id"] == "s"), key=lambda r: r["seq"])) == b"Y" * 100 + b"Z"
 
 
+@pytest.mark.parametrize("size", [2, 100])
+def test_live_chunks_without_a_stream_pass_alone(spark, tmp_path, size):
+    from maskwright.streaming import streams
+
+    rows = [(None, 1, b"mail a", False), ("s", 1, b"y" * 100, False), (None, 2, b"x", False), ("s", 2, b"z", True)]
+    got = streamed(spark, tmp_path, rows, "stream_id string, seq long, chunk binary, last boolean", size, lambda live: streams.transform_stream(live, lambda t: t.upper()))
+    assert sorted(bytes(c) for s, _, c in got if s is None) == [b"MAIL A", b"X"]
+    assert b"".join(bytes(c) for s, _, c in sorted((r for r in got if r[0]), key=lambda r: r[1])) == b"Y" * 100 + b"Z"
+
+
 def test_protection_stays_on_for_other_types(spark):
     from maskwright.functions import scalars as fn
 
