@@ -41,8 +41,8 @@ def active(consents: DataFrame, now: int, scope: str = SCOPE) -> DataFrame:
     return live.groupBy(kind.alias("kind"), "value_fingerprint").agg(F.max_by("id", F.struct("expires_at", "id")).alias("consent_id"))
 
 
-#: Times are seconds within 2**40 of 1970; pieces of time are 32**level seconds long.
-FAR, BASE, LEVELS = 1 << 40, 32, 8
+#: Times are seconds within 2**40 of 1970; pieces of time are BASE**level seconds long.
+FAR, BASE, LEVELS = 1 << 40, 8, 14
 
 
 def time_pieces(start: Column, end: Column) -> Column:

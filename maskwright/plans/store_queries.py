@@ -372,3 +372,27 @@ def event_sink(spark, sf_dir):
         event_log.write_events(made, path, fresh(spark, "check"), "sink", lambda: NOW, once=True).awaitTermination()
     log = event_log.read(spark, path)
     return log.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
+APP = "n_nationkey AS place, concat('app', n_nationkey) AS id, n_regionkey % 2 = 0 AS enabled, CAST(n_nationkey % 5 AS INT) AS priority, concat('*.', lower(n_name), '.example') AS domain, CASE WHEN n_regionkey = 1 THEN 'inspect' ELSE 'allow' END AS action"
+
+
+@query(f"SELECT 'made' AS name, 'allow' AS default_action, CAST(row_number() OVER (ORDER BY place) - 1 AS INT) AS ordinal, id, enabled, priority, domain, action FROM (SELECT {APP} FROM nation)")
+def profile_file(spark, sf_dir):
+    """A traffic profile written as JSON and loaded again, an app a row."""
+    path = fresh(spark, "profile")
+    rows = _read(spark, sf_dir, "nation").selectExpr(*_split(APP))
+    app = F.struct("place", "id", "enabled", "priority", F.struct(F.array("domain").alias("domains")).alias("match"), "action")
+    apps = rows.agg(F.array_sort(F.collect_list(app)).alias("apps"))
+    apps.select(F.to_json(F.struct(F.lit(1).alias("version"), F.lit("made").alias("name"), F.lit("allow").alias("default_action"), "apps")).alias("value")).write.text(path)
+    return tables.read_profile(spark, path).select("name", "default_action", "ordinal", "id", "enabled", "priority", F.col("match.domains")[0].alias("domain"), "action")
+
+
+@query("SELECT concat('p', s_suppkey) AS id, s_name AS name, concat('app', s_nationkey, ',app', s_suppkey % 3) AS apps FROM supplier")
+def profile_folder(spark, sf_dir):
+    """Integration profiles as a folder of JSON files, read with one schema."""
+    path = fresh(spark, "profiles")
+    rows = _read(spark, sf_dir, "supplier")
+    apps = F.array(F.concat(F.lit("app"), "s_nationkey"), F.concat(F.lit("app"), F.col("s_suppkey") % 3))
+    rows.select(F.concat(F.lit("p"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), apps.alias("traffic_app_ids"), F.lit(1).alias("other")).write.option("maxRecordsPerFile", 1).json(path)
+    return tables.read_profiles(spark, path).select("id", "name", F.array_join("traffic_app_ids", ",").alias("apps"))

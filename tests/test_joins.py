@@ -24,11 +24,11 @@ def test_pieces_of_time_cover_it_once(spark):
     for r in rows:
         a, b = max(r["a"], -consent.FAR), min(r["b"], consent.FAR)
         at = a
-        for level, place in sorted(((x["level"], x["place"]) for x in r["p"]), key=lambda x: x[1] * 32 ** x[0]):
-            assert place * 32**level == at
-            at += 32**level
+        for level, place in sorted(((x["level"], x["place"]) for x in r["p"]), key=lambda x: x[1] * consent.BASE ** x[0]):
+            assert place * consent.BASE**level == at
+            at += consent.BASE**level
         assert at == b if b > a else not r["p"]
-        assert len(r["p"]) <= 2 * 31 * 8 + 2
+        assert len(r["p"]) <= 2 * 7 * 14 + 2
 
 
 def test_consents_at_their_time(spark):
