@@ -358,14 +358,14 @@ def rule_problems(spark, sf_dir):
     return traffic.problems(rows.withColumn("match", match), enabled)
 
 
-HELD = "concat('t', s_suppkey % 70) AS name, concat('p', s_suppkey % 9) AS provider, concat('https://H', s_suppkey % 50, '.example:443/x') AS upstream, s_suppkey AS ordinal"
+TARGETS_HELD = "concat('t', s_suppkey % 70) AS name, concat('p', s_suppkey % 9) AS provider, concat('https://H', s_suppkey % 50, '.example:443/x') AS upstream, s_suppkey AS ordinal"
 ASKED = "o_orderkey AS id, CASE WHEN o_orderkey % 5 > 0 THEN concat('p', o_custkey % 11) END AS provider_hint, CASE WHEN o_orderkey % 3 = 0 THEN concat('t', o_orderkey % 90) END AS name_hint, concat('h', o_orderkey % 60, '.example') AS host"
 
 
-@query(f"""WITH t AS (SELECT *, lower(split_part(split_part(upstream, '://', 2), ':', 1)) AS h FROM (SELECT {HELD} FROM supplier)), r AS (SELECT {ASKED} FROM orders),
+@query(f"""WITH t AS (SELECT *, lower(split_part(split_part(upstream, '://', 2), ':', 1)) AS h FROM (SELECT {TARGETS_HELD} FROM supplier)), r AS (SELECT {ASKED} FROM orders),
  m AS (SELECT r.id, min(t.ordinal) FILTER (t.name = r.name_hint OR t.h = r.host) AS near, min(t.ordinal) AS mine FROM r JOIN t ON t.provider = r.provider_hint GROUP BY r.id)
 SELECT r.id, t.name AS target FROM r LEFT JOIN m ON m.id = r.id JOIN t ON t.ordinal = coalesce(m.near, m.mine, (SELECT min(ordinal) FROM t))""")
 def route_targets(spark, sf_dir):
     """Targets as a table: hinted provider with hinted name or host, else the provider's first, else the first of all."""
-    targets = _read(spark, sf_dir, "supplier").selectExpr(*_split(HELD))
+    targets = _read(spark, sf_dir, "supplier").selectExpr(*_split(TARGETS_HELD))
     return traffic.choose_target_by_table(_read(spark, sf_dir, "orders").selectExpr(*_split(ASKED)), targets).select("id", "target")
