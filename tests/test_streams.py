@@ -181,7 +181,7 @@ def test_event_sink_of_a_stream(spark, tmp_path):
     log = event_log.read(spark, path).orderBy("id").collect()
     assert [r["id"] for r in log] == list(range(1, 10)) and all(r["timestamp"] == NOW for r in log)
     for k in range(3):
-        assert len({r["id"] // 1 for r in log if r["operation_id"] == f"op{k}"}) == 3
+        assert len({r["id"] for r in log if r["operation_id"] == f"op{k}"}) == 3
 
 
 # Rows of their own
