@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 
 import numpy as np
 import regex
@@ -12,6 +13,9 @@ import regex
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: The same for the word-end tokenizer file (fixed value).
 WORD_END = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Both for printable ASCII, where they give the same pieces, by a faster engine.
+PLAIN_BYTE_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+| +(?![^ ])| +")
+PLAIN_WORD_END = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^ A-Za-z0-9]+")
 #: Words with the one blank before them; no piece of BYTE_LEVEL crosses their borders
 #: as long as blanks and line feeds are the only white space.
 WORDS = re.compile(r"[ \n]?[^ \n]+|[ \n]+(?=[ \n][^ \n])|[ \n]+")
@@ -28,6 +32,7 @@ def _byte_letters() -> list[str]:
 
 
 LETTERS = _byte_letters()
+SPELLED = dict(enumerate(LETTERS))
 
 
 class _Cache(dict):
@@ -65,19 +70,23 @@ class Encoder:
         self.pieces = _Cache(self._piece)
         kind = str(self.tokenizer.pre_tokenizer)
         if kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind and self.tokenizer.normalizer is None:
-            self.split, self.encode = BYTE_LEVEL.findall, self._byte_level
+            self.split, self.plain, self.encode = BYTE_LEVEL.findall, PLAIN_BYTE_LEVEL.findall, self._byte_level
         elif kind.startswith("Sequence") and r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in kind and "Lowercase" in str(self.tokenizer.normalizer):
-            self.split, self.encode = WORD_END.findall, self._word_end
+            self.split, self.plain, self.encode = WORD_END.findall, PLAIN_WORD_END.findall, self._word_end
         else:
-            self.split, self.encode = None, self._whole
+            self.split, self.plain, self.encode = None, None, self._whole
         self.words = _Cache(self._word)
 
     def _piece(self, piece: str) -> bytes:
-        spelled = "".join([LETTERS[b] for b in piece.encode()])
-        return np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
+        spelled = piece.encode().decode("latin-1").translate(SPELLED)
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.split(word)))
+        parts = self.plain(word) if word.isascii() and word.isprintable() else self.split(word)
+        if len(parts) == 1:  # kept as a word, so not as a piece, too
+            return self._piece(parts[0])
+        return b"".join(map(self.pieces.__getitem__, parts))
 
     def _byte_level(self, text: str) -> bytes:
         if OTHER_SPACE.search(text):

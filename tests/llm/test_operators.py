@@ -1119,3 +1119,14 @@ def test_classifier_awkward(awkward, labels):
     assert len(rows) == len(AWKWARD) and all(0 <= r["score"] <= 1 for r in rows)
     rows = quality_classifier.score_documents(awkward, labels.where("false")).collect()
     assert {round(r["score"], 2) for r in rows} == {0.5}
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_plain_words_are_split_alike_without_regex(path):
+    """op3: printable ASCII goes through the faster patterns, with the pieces and ids of the slower ones."""
+    made, rnd = encoding.Encoder(path), random.Random(3)
+    drawn = ["".join(rnd.choices("ab Z019'st,.-_|~", k=rnd.randrange(1, 12))) for _ in range(20_000)]
+    assert all(made.plain(w) == made.split(w) for w in drawn)
+    want = [np.array(made.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in drawn[:3000]]
+    made.split = None
+    assert [made.encode(w) for w in drawn[:3000]] == want
