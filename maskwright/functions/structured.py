@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -142,7 +143,7 @@ def _data(event: list[tuple[bool, str]]) -> str | None:
     return "\n".join(lines) if lines else None
 
 
-def _render(event: list[tuple[bool, str]], new: str | None) -> str:
+def _lines(event: list[tuple[bool, str]], new: str | None) -> list[str]:
     out, written = [], False
     for is_data, x in event:
         if not is_data:
@@ -152,7 +153,7 @@ def _render(event: list[tuple[bool, str]], new: str | None) -> str:
         elif not written:
             out.append(f"data: {new}")
             written = True
-    return "\n".join(out)
+    return out
 
 
 class EventStream:
@@ -188,17 +189,36 @@ class EventStream:
                     changed.add(k)
         return changed
 
+    def with_rest(self, f: TextMap) -> str | None:
+        """The body with all lines but the data of events that hold strings mapped as text; None if nothing changes."""
+        lines = [(False, "")]
+        for event, value in zip(self.events, self.values, strict=True):
+            held = value is not None and next(_strings(value), None) is not None
+            lines += [*[(is_data and held, line) for is_data, line in zip((d for d, _ in event), _lines(event, None), strict=True)], (False, "")]
+        runs = [(held, "\n".join(line for _, line in run)) for held, run in groupby(lines[1:-1], lambda x: x[0])]
+        new = [text if held or not text.strip() else f(text) for held, text in runs]
+        return "\n".join(new) + self.tail if new != [text for _, text in runs] else None
+
     def render(self, changed: set[int]) -> str:
-        return "\n\n".join(_render(e, _dump(v) if k in changed else None) for k, (e, v) in enumerate(zip(self.events, self.values, strict=True))) + self.tail
+        return "\n\n".join("\n".join(_lines(e, _dump(v) if k in changed else None)) for k, (e, v) in enumerate(zip(self.events, self.values, strict=True))) + self.tail
 
 
 def map_event_stream(body: str, f: TextMap) -> str:
-    """A stream of events with its texts mapped: first the joined deltas, then the string values of every event; a body without any is mapped as text."""
+    """A stream of events with its texts mapped: first the joined deltas, then the string values of every event.
+
+    A body without any is mapped as text. Where none changes, what is not the
+    data of an event with such values is mapped as text; keys are no texts.
+    """
     stream, changed = EventStream(body), set()
     if stream.paths and (mapped := f(old := stream.joined())) != old:
         changed |= stream.set_joined(mapped)
-    changed |= stream.set_strings([f(s) for s in stream.strings()])
-    return stream.render(changed) if changed else f(body)
+    strings = stream.strings()
+    changed |= stream.set_strings([f(s) for s in strings])
+    if changed:
+        return stream.render(changed)
+    if not strings:
+        return f(body)
+    return body if (rest := stream.with_rest(f)) is None else rest
 
 
 def map_body(body: str, content_type: str | None, f: TextMap) -> str:

@@ -193,6 +193,25 @@ def test_other_event_streams():
     assert structured.map_body("x a@b.co", "text/plain", f) == "x [email]"
 
 
+def stars(text: str) -> str:
+    return text.replace("e", "*")
+
+
+def test_keys_of_events_without_a_change_stay():
+    same = 'data: {"delta":{"text":""}}\n\ndata:{"delta":{"text":"on"}}\n\n'
+    assert structured.map_event_stream(same, stars) == same
+    mixed = 'data: see\ndata: me\n\nid: e\ndata: {"text":"on"}\n\ndata: {"e":1}\n\n'
+    assert structured.map_event_stream(mixed, lambda t: stars(t) if "{" not in t or "1" in t else t) == 'data: s**\ndata: m*\n\nid: *\ndata: {"text":"on"}\n\ndata: {"*":1}\n\n'
+
+
+def test_deltas_that_a_window_left_empty_keep_their_keys(spark):
+    texts = ["here", *["there"] * 5, "on", "on", "on"]
+    body = "".join(f'data: {{"delta":{{"text":"{t}"}}}}\n\n' for t in texts).encode()
+    rows = [("s", k, body[k : k + 41]) for k in range(0, len(body), 41)]
+    done = streams.transform_chunks(spark.createDataFrame(rows, "stream_id string, seq long, chunk binary"), lambda t: t.replace("e", "*"), "events").orderBy("seq").collect()
+    assert structured.EventStream(b"".join(bytes(r["chunk"]) for r in done).decode()).joined() == stars("".join(texts))
+
+
 @pytest.mark.parametrize("size", [1, 3, 7, 1000])
 def test_byte_chunks(size):
     data, out, pending = ("é" * 30 + " a@b.co " + "x" * 200 + "é").encode(), b"", b""
