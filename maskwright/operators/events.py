@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from ..sources.shared import kept
 
 SCHEMA = "id long, timestamp long, operation_id string, level string, event_type string, kind string, reference string, action string, message string"
 EVENT = "struct<level:string,event_type:string,kind:string,reference:string,action:string,message:string>"
@@ -119,37 +122,40 @@ def proxy_events(requests: DataFrame) -> DataFrame:
     return requests.select("operation_id", F.posexplode(every).alias("seq", "e")).select("operation_id", "seq", "e.*")
 
 
-#: Characters of the pieces by which values and messages meet.
-GRAM = 4
-
-
-def _grams(text: Column, n: int = GRAM) -> Column:
-    """The distinct pieces of ``n`` characters; a shorter text is one piece."""
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
-    return F.array_distinct(pieces)
+#: Longest pieces by which values and texts meet.
+PIECE = 16
 
 
 def leaks(log: DataFrame, values: DataFrame) -> DataFrame:
     """(id, kind, fingerprint) for every event of ``log`` that holds any of the ``values`` (kind, value), of whatever operation.
 
-    A value that an event holds has all its pieces of GRAM characters there. So
-    values with a piece that no event has are out at once, and each of the
-    others meets only the texts with its rarest piece, by key; an exact test
-    follows. Texts said more than once are looked at once. Values shorter than
-    a piece are looked for by pieces of their own length.
+    Texts are cut into pieces of a size, values have a piece of that size at
+    each of as many offsets; the size is the largest power of two that a value
+    is at least twice as long as, up to PIECE. Wherever a value stands in a
+    text, just one piece of the text is the value's piece at one of these
+    offsets. So pieces tell (by distinct piece, offset and length, not by
+    value) where a value of which length may stand, and what stands there
+    meets the values as a whole: the work grows with texts and values, not
+    with their product. Texts said more than once are looked at once. Joins
+    are by key, as nothing here is small enough to be sent to every task.
     """
-    said = log.select("id", F.concat_ws("\x1f", "message", "reference", "action").alias("said"))
-    texts = said.groupBy(F.sha2("said", 256).alias("sid")).agg(F.first("said").alias("said"))
-    wanted = values.where("value <> ''").select("kind", "value").distinct()
-    short = [r["n"] for r in wanted.where(F.length("value") < GRAM).select(F.length("value").alias("n")).distinct().collect()]
-    whole = texts.select("sid", F.explode(_grams(F.col("said"))).alias("gram"))
-    for n in short:
-        whole = whole.unionByName(texts.select("sid", F.explode(_grams(F.col("said"), n)).alias("gram")))
-    counts = whole.groupBy("gram").agg(F.count("*").alias("k"))
-    pieces = wanted.select("kind", "value", F.explode(_grams(F.col("value"))).alias("gram"))
-    rare = pieces.join(counts, "gram", "left").groupBy("kind", "value").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "gram")).alias("m")).where("m.k > 0").select("kind", "value", F.col("m.gram").alias("gram"))
-    met = rare.join(whole, "gram").join(texts, "sid").where(F.col("said").contains(F.col("value"))).select("sid", "kind", fn.fingerprint(F.col("kind"), F.col("value")).alias("fingerprint")).distinct()
-    return said.select("id", F.sha2("said", 256).alias("sid")).join(met, "sid").select("id", "kind", "fingerprint")
+    said = log.select("id", F.concat_ws("\x1f", "message", "reference", "action").alias("said")).withColumn("sid", F.unhex(F.sha2("said", 256)))
+    texts = said.select("sid", "said").distinct()
+    wanted = kept(values.where("value <> ''").select("kind", "value").distinct())
+    size = F.least(F.expr("shiftleft(1, greatest(length(bin(length(value))) - 2, 0))"), F.lit(PIECE))
+    held = wanted.select("value", F.length("value").alias("n"), size.alias("size"))
+    sizes = [r["size"] for r in held.select("size").distinct().collect()]  # five at most
+    if not sizes:
+        return said.select("id", F.lit("").alias("kind"), F.lit("").alias("fingerprint")).limit(0)
+    key = lambda n, piece: F.xxhash64(n, piece)
+    offsets = held.withColumn("offset", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
+    asked = offsets.select(key(F.col("size"), F.expr("substring(value, offset + 1, size)")).alias("key"), "offset", "n").distinct()
+    cut = lambda n: F.posexplode(F.regexp_extract_all("said", F.lit(f"(?s).{{{n}}}"), F.lit(0))).alias("k", "piece")
+    pieces = [texts.select("sid", cut(n)).select("sid", (F.col("k") * n).alias("at"), key(F.lit(n), F.col("piece")).alias("key")) for n in sizes]
+    spots = reduce(DataFrame.unionByName, pieces).join(asked.hint("merge"), "key").where("at >= offset").select("sid", (F.col("at") - F.col("offset") + 1).alias("start"), "n")
+    parts = spots.join(texts.hint("merge"), "sid").select("sid", F.expr("substring(said, start, n)").alias("value"))
+    met = parts.join(wanted.hint("merge"), "value").select("sid", "kind", fn.fingerprint(F.col("kind"), F.col("value")).alias("fingerprint")).distinct()
+    return said.select("id", "sid").join(met.hint("merge"), "sid").select("id", "kind", "fingerprint")
 
 
 def migrate_log(old: DataFrame) -> DataFrame:

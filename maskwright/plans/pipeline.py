@@ -100,7 +100,8 @@ def decided(df: DataFrame, policy: policies.Policy, default: str = "tokenize", c
 def decide(df: DataFrame, policy: policies.Policy, default: str = "tokenize", consents: DataFrame | None = None, now: int = 0, vault: DataFrame | None = None, salt: str = "", related: Column | None = None, id_col: str = "id", text_col: str = "text", deduplicate: bool = True) -> DataFrame:
     """Exploded decisions: id, pos, kind, start, end, value, action, canonical, consent_id, ref_id."""
     rows = decided(df, policy, default, consents, now, vault, salt, related, id_col, text_col, deduplicate)
-    flat = rows.select(F.col(id_col).alias("id"), F.posexplode("__decisions").alias("pos", "d")).select("id", "pos", "d.*")
+    every = F.posexplode_outer("__decisions").alias("pos", "d")  # for an inner one Spark would make all decisions twice, first to see if there are any
+    flat = rows.select(F.col(id_col).alias("id"), every).where("pos IS NOT NULL").select("id", "pos", "d.*")
     return flat.withColumn("canonical", fn.canonical(F.col("kind"), F.col("value")))
 
 

@@ -261,7 +261,7 @@ SELECT l.id, v.kind, {O.fingerprint("v.kind", "v.value")} AS fingerprint FROM l
 def log_leaks(spark, sf_dir):
     """Events that hold a value of any text, planted ones of other operations among them."""
     log = _read(spark, sf_dir, "customer").selectExpr(*_split(OTHERS)).selectExpr(*_split(LEAKY))
-    decided = pipeline.decide(_composed(spark, sf_dir), OPEN, salt=SALT)
+    decided = pipeline.decide(_composed(spark, sf_dir, spread=True), OPEN, salt=SALT)
     return events.leaks(log, decided.select("kind", F.col("canonical").alias("value")))
 
 

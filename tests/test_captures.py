@@ -61,6 +61,49 @@ def test_leaks_are_those_of_comparing_all(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def rows_joined(df) -> list[int]:
+    """Rows made by each join of the plan that was run, broadcasts counted as too many."""
+    made, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if "Broadcast" in name:
+                made.append(10**9)
+            elif "Join" in name:
+                made.append(node.metrics().apply("numOutputRows").value())
+            todo += [node.children().apply(k) for k in range(node.children().size())]
+    return made
+
+
+def test_leaks_of_like_values_and_texts_make_no_product(spark):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("01") for _ in range(n))
+    values, said = sorted({word(rnd.choice((10, 12))) for _ in range(600)}), [word(40) for _ in range(600)]
+    log = spark.createDataFrame([(k, m, None, "x") for k, m in enumerate(said)], "id long, message string, reference string, action string")
+    got = events.leaks(log, spark.createDataFrame([("n", v) for v in values], "kind string, value string"))
+    assert len(got.collect()) == sum(v in m for m in said for v in values) > 1000
+    assert 1000 < max(rows_joined(got)) < len(values) * len(said) / 3
+
+
+@pytest.mark.parametrize("value", ["q", "ab", "é😀c", "0123", "x" * 16, "0123456789abcdef😀" * 9, "a.b\nc.d\n" * 5])
+def test_leaks_anywhere_in_a_text(spark, value):
+    said = [f"{'é' * k}{value}{'-' * (k % 3)}" for k in range(35)] + [value[:-1] + "#" + value[1:], value]
+    log = spark.createDataFrame([(k, m, None, None) for k, m in enumerate(said)], "id long, message string, reference string, action string")
+    got = events.leaks(log, spark.createDataFrame([("a", value), ("b", value)], "kind string, value string")).collect()
+    assert sorted((r["id"], r["kind"]) for r in got) == [(k, kind) for k, m in enumerate(said) if value in m for kind in "ab"]
+
+
+def test_leaks_of_no_values(spark):
+    log = spark.createDataFrame([(1, "m", None, "x")], "id long, message string, reference string, action string")
+    got = events.leaks(log, spark.createDataFrame([("a", "")], "kind string, value string"))
+    assert got.columns == ["id", "kind", "fingerprint"] and got.collect() == []
+
+
 def test_proxied_requests_say_what_happened(spark):
     schema = "operation_id string, target string, provider string, method string, status int, streaming boolean, detections int, replacements int, tokenized int, blocked int, bypass boolean, missing_key boolean, encoded boolean, removed_headers int, content_type string, content_encoding string, intercepted boolean"
     base = ("t", "p", "POST", 200, True, 1, 1, 1, 0)
