@@ -221,11 +221,24 @@ def protect(df: DataFrame, policy: policies.Policy, default: str = "tokenize", c
     return done.select(F.col(id_col).alias("id"), "__protected.*")
 
 
+def written() -> Column:
+    """array<struct<kind,value,ref_id>> of what was tokenized in a row of `protect`; null for blocked texts."""
+
+    def stored(d: Column) -> Column:
+        return (d["action"] == "tokenize") & F.exists("plan.replacements", lambda r: (r["start"] == d["start"]) & (r["mode"] == "tokenized"))
+
+    value = lambda d: F.struct(d["kind"].alias("kind"), fn.canonical(d["kind"], d["value"]).alias("value"), d["ref_id"].alias("ref_id"))
+    return F.when(F.col("status") == "protected", F.transform(F.filter("decisions", stored), value))
+
+
 def written_values(protected: DataFrame) -> DataFrame:
     """(kind, value, ref_id) that protecting tokenized: what `operators.vault.write_values` takes."""
-    rows = protected.where("status = 'protected'").select(F.explode("decisions").alias("d"), "plan").where("d.action = 'tokenize'")
-    ok = F.exists("plan.replacements", lambda r: (r["start"] == F.col("d.start")) & (r["mode"] == "tokenized"))
-    return rows.where(ok).select("d.kind", fn.canonical(F.col("d.kind"), F.col("d.value")).alias("value"), "d.ref_id").distinct()
+    return distinct_values(protected.select(written().alias("written")))
+
+
+def distinct_values(rows: DataFrame) -> DataFrame:
+    """The distinct values of column ``written``, made by `written`; texts are not made twice to see whether they have any."""
+    return rows.select(F.explode_outer("written").alias("w")).where("w IS NOT NULL").select("w.*").distinct()
 
 
 def resolved(df: DataFrame, vault: DataFrame, failed: DataFrame | None = None, strict: bool = False, text_col: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ from ..functions import scalars as fn
 from ..functions.detect import DETECTORS, detections, matches
 from ..operators import consent, events, traffic, vault
 from ..operators.policy import decide as policy_decide
+from ..sources.shared import kept
 from . import oracles as O
 from . import pipeline, reports, views
 
@@ -205,10 +206,11 @@ def vault_dedup(spark, sf_dir):
 @query(f"""WITH {O.spans(COMPOSED_SQL)}, toks AS ({_reps({k: 'tokenize' for k in OPEN})}), {O.spliced('SELECT id, start, "end", CASE WHEN kind IN (' + chr(39) + 'email' + chr(39) + ',' + chr(39) + 'domain' + chr(39) + ') THEN ' + O.canonical() + ' ELSE value END AS new FROM kept')} SELECT id, 'resolved' AS status, output FROM done""")
 def roundtrip(spark, sf_dir):
     every = {k: "tokenize" for k in OPEN}
-    done = pipeline.protect(_composed(spark, sf_dir), every, salt=SALT)
+    made = pipeline.protect(_composed(spark, sf_dir, spread=True), every, salt=SALT)
+    done = kept(made.select("id", F.col("output").alias("text"), pipeline.written().alias("written")))
     empty = spark.createDataFrame([], "key string, value string, created_at long, updated_at long")
-    stored = vault.write_values(empty, pipeline.written_values(done), NOW)
-    return pipeline.resolve(done.select("id", F.col("output").alias("text")), stored).select("id", "status", "output")
+    stored = vault.write_values(empty, pipeline.distinct_values(done), NOW)
+    return pipeline.resolve(done.select("id", "text"), stored).select("id", "status", "output")
 
 
 @query(f"WITH {O.spans(COMPOSED_SQL)}, {VAULT_SQL} SELECT kind, count(*) AS n, min(value) AS first_value, max(value) AS last_value FROM (SELECT split_part(key, ':', 1) AS kind, value FROM vault) GROUP BY kind")

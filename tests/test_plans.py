@@ -308,6 +308,22 @@ def test_protecting_shuffles_no_text(spark, data):
     assert "Exchange" not in plan and "Python" not in plan and plan.count("FileScan") == 1
 
 
+def test_a_round_trip_makes_its_texts_once_on_all_cores(spark, data):
+    from maskwright.plans import queries
+
+    plan = queries.QUERIES["roundtrip"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan  # all that reads the texts reads what was kept
+    spread = queries._composed(spark, data, spread=True)
+    assert spread.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and spread.count() == queries._composed(spark, data).count()
+
+
+def test_written_values(spark):
+    rows = spark.createDataFrame([(1, "a@b.co and a@B.co, c@d.co"), (2, "a@b.co"), (3, "nothing"), (4, None), (5, "x@y.co ssn 123-45-6789")], "id long, text string")
+    done = pipeline.protect(rows, {"ssn": "block", "domain": "allow"}, salt="s")
+    assert sorted(r["value"] for r in pipeline.written_values(done).collect()) == ["a@b.co", "c@d.co"]
+    assert pipeline.written_values(pipeline.protect(rows, {}, "redact")).collect() == []
+
+
 def test_many_spans_cost_no_more_than_the_text(spark):
     import time
 
