@@ -51,12 +51,15 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt to all cores by ``key``, however few tasks read its file."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def _composed(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
-    """``spread``: customers are dealt to all cores first, however few tasks read their file."""
     rows = _read(spark, sf_dir, "customer")
-    if spread:
-        rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "c_custkey")
-    return rows.select(F.col("c_custkey").alias("id"), F.expr(COMPOSED).alias("text"))
+    return (_spread(rows, "c_custkey") if spread else rows).select(F.col("c_custkey").alias("id"), F.expr(COMPOSED).alias("text"))
 
 
 def _spans(df: DataFrame, *more: str) -> DataFrame:

@@ -12,7 +12,7 @@ from ..sources import tables
 from ..sources.shared import fresh
 from . import oracles as O
 from . import pipeline, reports, views
-from .queries import ACTION, COMPOSED_SQL, CONSENT_SQL, LOG_SQL, NOW, OPEN, POLICY, SALT, STORE_SQL, TYPED_SQL, _composed, _consents, _log, _own_consents, _read, _split, _store, _typed_store, query
+from .queries import ACTION, COMPOSED_SQL, CONSENT_SQL, LOG_SQL, NOW, OPEN, POLICY, SALT, STORE_SQL, TYPED_SQL, _composed, _consents, _log, _own_consents, _read, _split, _spread, _store, _typed_store, query
 
 DAY = "strftime(to_timestamp({c}) AT TIME ZONE 'UTC', '%Y-%m-%d')"
 #: Every customer's address, its reference id, and whether the vault has it.
@@ -390,9 +390,14 @@ def profile_file(spark, sf_dir):
 
 @query("SELECT concat('p', s_suppkey) AS id, s_name AS name, concat('app', s_nationkey, ',app', s_suppkey % 3) AS apps FROM supplier")
 def profile_folder(spark, sf_dir):
-    """Integration profiles as a folder of JSON files, read with one schema."""
+    """Integration profiles as a folder of JSON files, a profile a file, read with one schema.
+
+    Making a file costs milliseconds however small it is, so all cores make
+    files, and each task moves its own into the folder.
+    """
     path = fresh(spark, "profiles")
-    rows = _read(spark, sf_dir, "supplier")
+    rows = _spread(_read(spark, sf_dir, "supplier"), "s_suppkey")
     apps = F.array(F.concat(F.lit("app"), "s_nationkey"), F.concat(F.lit("app"), F.col("s_suppkey") % 3))
-    rows.select(F.concat(F.lit("p"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), apps.alias("traffic_app_ids"), F.lit(1).alias("other")).write.option("maxRecordsPerFile", 1).json(path)
+    profiles = rows.select(F.concat(F.lit("p"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), apps.alias("traffic_app_ids"), F.lit(1).alias("other"))
+    profiles.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").json(path)
     return tables.read_profiles(spark, path).select("id", "name", F.array_join("traffic_app_ids", ",").alias("apps"))

@@ -317,6 +317,14 @@ def test_a_round_trip_makes_its_texts_once_on_all_cores(spark, data):
     assert spread.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and spread.count() == queries._composed(spark, data).count()
 
 
+def test_profile_files_are_one_a_profile_and_made_by_many_tasks(spark, data):
+    from maskwright.plans import queries, store_queries  # noqa: F401
+
+    files = [f.rsplit("/", 1)[1] for f in queries.QUERIES["profile_folder"](spark, data).inputFiles()]
+    n = spark.read.parquet(f"{data}/supplier.parquet").count()
+    assert len(files) == n and len({f.split("-")[1] for f in files}) >= min(n, 4) > 1
+
+
 def test_written_values(spark):
     rows = spark.createDataFrame([(1, "a@b.co and a@B.co, c@d.co"), (2, "a@b.co"), (3, "nothing"), (4, None), (5, "x@y.co ssn 123-45-6789")], "id long, text string")
     done = pipeline.protect(rows, {"ssn": "block", "domain": "allow"}, salt="s")
